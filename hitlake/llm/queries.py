@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hitlake.llm import host_rules, mixing, packing, secrets, simhash
+from hitlake.llm import host_rules, lz_fingerprint, mixing, packing, quality_cnn, secrets, simhash
 from hitlake.llm.common import table
 
 
@@ -14,6 +15,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
+    net = quality_cnn.train(quality_cnn.sample_chunks(docs, labels))
+    return quality_cnn.score_documents(docs, net).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -22,6 +31,10 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op8_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -30,5 +43,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_mixing, op7_host_rules, op9_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_quality, op5_mixing, op7_host_rules, op8_lz_fingerprint, op9_packing, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
