@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitlake.llm import host_rules, lz_fingerprint, mixing, packing, quality_cnn, secrets, simhash
+from hitlake.llm import host_rules, lz_fingerprint, mixing, packing, quality_cnn, secrets, simhash, warc
 from hitlake.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"))).drop("url")
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.verdicts(table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_quality, op5_mixing, op7_host_rules, op8_lz_fingerprint, op9_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_quality, op5_mixing, op6_warc, op7_host_rules, op8_lz_fingerprint, op9_packing, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
