@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitlake.llm import host_rules, lm_scoring, lz_fingerprint, mixing, packing, quality_cnn, secrets, simhash, warc
+from hitlake.llm import host_rules, lm_scoring, lz_fingerprint, mixing, packing, quality_cnn, secrets, simhash, suffix_dedup, warc
 from hitlake.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(docs, lm_scoring.fit(docs, good))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -54,5 +58,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op4_quality, op5_mixing, op6_warc, op7_host_rules, op8_lz_fingerprint, op9_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op3_suffix_dedup, op4_quality, op5_mixing, op6_warc, op7_host_rules, op8_lz_fingerprint, op9_packing, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
