@@ -1,6 +1,515 @@
-"""The registered queries over the driver's tables and their SQL."""
+"""The registered queries: each applies library operators to views over the driver's tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hitlake.functions import bins
+from hitlake.functions import geometry as geo
+from hitlake.operators import dictionary, groups, match, nearest, reconcile, split, stats, targets
+from hitlake.plans import build
+from hitlake.plans.oracle import ORACLE_SQL  # noqa: F401  re-exported for the driver's entry
+from hitlake.schema import KEY, LAYERS, PHI
+from hitlake.sources import readers, views
+from hitlake.streaming import incremental
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+#: With few voxels and a wide window, captures and voxels get several hits in the driver's tables.
+WIDE, FEW = 1500.0, 12
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) + F.lit(0.0) for c in columns})
+
+
+def _deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.dedup_last_wins(views.captures(spark, sf_dir))
+
+
+def _hits(spark: SparkSession, sf_dir: str, window: float = WIDE) -> DataFrame:
+    return match.matched_hits(views.photons(spark, sf_dir), _deduped(spark, sf_dir), window)
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_brute(_hits(spark, sf_dir), views.voxels(spark, sf_dir, FEW))
+
+
+def _dictionary(spark: SparkSession, sf_dir: str, column: str, empty: str | None = None) -> DataFrame:
+    return dictionary.extend(dictionary.collect_names(views.local_dictionary(spark, sf_dir, column), empty))
+
+
+def _global_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures with global material and volume ids, mapped from the file-local ones."""
+    nc = views.with_local_ids(spark, sf_dir)
+    for column, local, out, empty in (("material", "mat_local", "mat_id", None), ("volume", "vol_local", "vol_id", "noVolume")):
+        nc = dictionary.remap(nc, views.local_dictionary(spark, sf_dir, column), _dictionary(spark, sf_dir, column, empty), local, out, empty)
+    return nc
+
+
+# ---------------------------------------------------------------- scans and filters
+
+
+@query
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid hits per capture and region, with cylindrical coordinates."""
+    rows = build.capture_regions(views.photons(spark, sf_dir), views.captures(spark, sf_dir), views.voxels(spark, sf_dir, FEW), WIDE)
+    x, y = geo.mm(F.col("x")), geo.mm(F.col("y"))
+    out = rows.select(*KEY, "total_hits", *LAYERS, geo.radius(x, y).alias("r_mm"), geo.azimuth(x, y).alias("phi_rad"))
+    return rounded(out, "r_mm", "phi_rad")
+
+
+@query
+def raw_nc_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nc = views.captures(spark, sf_dir)
+    return rounded(nc.select(*KEY, "row_ix", "nc_time", *[geo.mm(F.col(c)).alias(f"{c}_mm") for c in "xyz"], F.col("gammas")[0]["e"].alias("e1"), "flag"), "x_mm", "y_mm", "z_mm")
+
+
+@query
+def raw_optical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(views.photons(spark, sf_dir).select("photon_id", *KEY, "det_uid", *[geo.mm(F.col(c)).alias(f"{c}_mm") for c in "xyz"], "px", "py", "pz", "time"), "x_mm", "y_mm", "z_mm", "px", "py", "pz")
+
+
+@query
+def detector_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.detector_filter(views.photons(spark, sf_dir)).select("photon_id", "det_uid")
+
+
+@query
+def dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _deduped(spark, sf_dir).select(*KEY, "row_ix", "nc_time")
+
+
+@query
+def time_window_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.time_window_join(match.detector_filter(views.photons(spark, sf_dir)), _deduped(spark, sf_dir)).select("photon_id", *KEY, "time")
+
+
+@query
+def orphan_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = match.orphans_unmatched(match.detector_filter(views.photons(spark, sf_dir)), _deduped(spark, sf_dir))
+    return found.groupBy("file_idx").agg(F.count("*").alias("n_orphans"))
+
+
+@query
+def orphan_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.orphans_sentinel(views.photons(spark, sf_dir)).groupBy("file_idx").agg(F.count("*").alias("n_orphans"))
+
+
+@query
+def direction_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = match.direction_filter(match.valid_rows(match.detector_filter(views.photons(spark, sf_dir))))
+    return rows.select("photon_id", geo.region(F.col("z")).alias("region"))
+
+
+# ---------------------------------------------------------------- voxels and targets
+
+
+@query
+def nearest_voxel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_brute(_hits(spark, sf_dir, 200.0), views.voxels(spark, sf_dir)).select("photon_id", "voxel_index")
+
+
+@query
+def nearest_voxel_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_grid(_hits(spark, sf_dir, 200.0), views.voxels(spark, sf_dir), cell=1000.0).select("photon_id", "voxel_index")
+
+
+@query
+def voxel_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return targets.voxel_hits(_assigned(spark, sf_dir))
+
+
+@query
+def region_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return targets.region_hits(targets.voxel_hits(_assigned(spark, sf_dir)), views.voxels(spark, sf_dir, FEW))
+
+
+@query
+def dense_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = targets.dense_target(targets.voxel_hits(_assigned(spark, sf_dir)), views.voxels(spark, sf_dir, FEW))
+    return full.select(*KEY, F.posexplode("target").alias("pos", "hits"))
+
+
+@query
+def voxel_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(targets.voxel_metadata(views.voxels(spark, sf_dir)), "r", "phi", "z", *[f"is_{n}" for n in LAYERS])
+
+
+@query
+def dimension_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The static dimensions of a training set as (dimension, key, value) rows."""
+    rows = [_dictionary(spark, sf_dir, c, e).select(F.lit(c).alias("dimension"), F.col("name").alias("key"), F.col("id").cast("double").alias("value")) for c, e in (("material", None), ("volume", "noVolume"))]
+    rows.append(views.voxels(spark, sf_dir).select(F.posexplode("center").alias("i", "value"), "index").select(F.concat(F.lit("center_"), F.col("i").cast("string")).alias("dimension"), F.col("index").alias("key"), "value"))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+# ---------------------------------------------------------------- features
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return targets.features(match.dedup_last_wins(_global_ids(spark, sf_dir)))
+
+
+@query
+def nc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [c for c in PHI[:14]]
+    return rounded(_features(spark, sf_dir).select(*KEY, *[F.col(f"`{c}`").alias(c.replace("#gamma", "n_gamma")) for c in names]), *[c.replace("#gamma", "n_gamma") for c in names]).transform(lambda d: d.withColumns({c: F.round(c, 3) for c in d.columns if c.endswith("_mm") or c.endswith("keV")}))
+
+
+@query
+def gamma_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_features(spark, sf_dir).select(*KEY, *PHI[14:]), *PHI[14:])
+
+
+@query
+def gamma_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots = geo.gamma_slots(F.col("gammas"))
+    return rounded(_deduped(spark, sf_dir).select(*KEY, geo.mean_direction(slots, "r").alias("p_mean_r"), geo.mean_direction(slots, "z").alias("p_mean_z")), "p_mean_r", "p_mean_z")
+
+
+# ---------------------------------------------------------------- dictionaries
+
+
+@query
+def dictionary_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The volume dictionary of the first files, extended by the names of all."""
+    local = views.local_dictionary(spark, sf_dir, "volume")
+    first = dictionary.extend(dictionary.collect_names(local.where("file_idx = 0")))
+    return dictionary.extend(dictionary.collect_names(local), first)
+
+
+@query
+def dictionary_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _global_ids(spark, sf_dir).groupBy("file_idx", "mat_local", "mat_id", "vol_local", "vol_id").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- split, weights, training set
+
+
+@query
+def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.group_split(views.captures(spark, sf_dir))
+
+
+@query
+def split_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split saved when every seventh file was not there yet: its captures train."""
+    nc = _deduped(spark, sf_dir)
+    saved = split.group_split(nc.where("file_idx % 7 <> 0"))
+    return split.reuse_split(nc, saved, ("file_idx", "evtid")).groupBy("file_idx", "split").agg(F.count("*").alias("n"))
+
+
+@query
+def event_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.event_weight(views.captures(spark, sf_dir), KEY).withColumn("weight", F.round("weight", 12))
+
+
+@query
+def event_weight_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.event_weight(views.captures(spark, sf_dir), KEY, first_files=5).withColumn("weight", F.round("weight", 12))
+
+
+def _training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nc = _global_ids(spark, sf_dir)
+    return build.training_set(views.photons(spark, sf_dir), nc, views.voxels(spark, sf_dir, FEW), split.group_split(nc), WIDE)
+
+
+@query
+def build_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _training_set(spark, sf_dir).select(*KEY, "split", "total_hits", *LAYERS, F.col("matID").cast("int").alias("mat_id"), F.col("volID").cast("int").alias("vol_id"), "r_NC_mm", "weight")
+    return rows.withColumns({"r_NC_mm": F.round(F.col("r_NC_mm").cast("double"), 3), "weight": F.round(F.col("weight").cast("double"), 9)})
+
+
+@query
+def completeness_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return targets.completeness(_deduped(spark, sf_dir), _training_set(spark, sf_dir))
+
+
+@query
+def distinct_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.distinct_captures(views.captures(spark, sf_dir))
+
+
+@query
+def reconcile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Input captures against the rows of a build that lost every 29th file."""
+    nc = views.captures(spark, sf_dir)
+    rows = split.reuse_split(_deduped(spark, sf_dir).where("file_idx % 29 <> 1"), split.group_split(nc), ("file_idx", "evtid"))
+    return rounded(reconcile.reconcile(nc, rows), "pct_recovered", "pct_lost", "pct_train", "pct_validation")
+
+
+@query
+def processing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per file: captures with and without valid hits, rows of both splits, hits without a capture."""
+    nc = _deduped(spark, sf_dir)
+    rows = targets.with_targets(nc, targets.region_hits(targets.voxel_hits(_assigned(spark, sf_dir)), views.voxels(spark, sf_dir, FEW)))
+    rows = split.reuse_split(rows, split.group_split(nc), ("file_idx", "evtid"))
+    count = lambda c: F.count(F.when(c, 1))
+    per = rows.groupBy("file_idx").agg(count(F.col("total_hits") > 0).alias("n_with"), count(F.col("total_hits") == 0).alias("n_without"), count(F.col("split") == "train").alias("n_train"), count(F.col("split") == "validation").alias("n_validation"))
+    lost = orphan_unmatched(spark, sf_dir)
+    return per.join(lost, "file_idx", "left").withColumn("n_orphans", F.coalesce("n_orphans", F.lit(0)))
+
+
+# ---------------------------------------------------------------- files
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = views.captures(spark, sf_dir).select("file_idx").distinct().withColumn("source_file", F.expr(views.source_file("file_idx")))
+    return paths.join(readers.manifest(paths), "source_file")
+
+
+@query
+def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the runs 001 to 008, with their place in path order."""
+    runs = _files(spark, sf_dir).select("run").where("run <= 'run008'")
+    return readers.of_runs(_files(spark, sf_dir), runs).select("source_file", "file_idx", "file_rank", "file_name", "run")
+
+
+@query
+def file_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.sample_files(_files(spark, sf_dir).select("source_file"), 10)
+
+
+@query
+def remaining_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir).select("source_file", "file_idx")
+    return incremental.remaining_files(files, files.where("file_idx % 3 = 0"))
+
+
+@query
+def file_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose local dictionary lost an entry: every fifth file lacks one material, every sixth one volume."""
+    nc = views.with_local_ids(spark, sf_dir)
+    for column, local, out, empty, gone in (("material", "mat_local", "mat_id", None, "file_idx % 5 = 0 and local_id = 3"), ("volume", "vol_local", "vol_id", "noVolume", "file_idx % 6 = 0 and local_id = 4")):
+        nc = dictionary.remap(nc, views.local_dictionary(spark, sf_dir, column).where(f"not ({gone})"), _dictionary(spark, sf_dir, column, empty), local, out, empty)
+    return dictionary.quarantine(nc, ("mat_id", "vol_id"))
+
+
+# ---------------------------------------------------------------- statistics
+
+
+def _yields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.yield_distribution(views.photons(spark, sf_dir), views.captures(spark, sf_dir))
+
+
+def _file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.file_stats(views.photons(spark, sf_dir), views.captures(spark, sf_dir))
+
+
+def _photon_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = stats.nc_photon_table(match.detector_filter(views.photons(spark, sf_dir)), _global_ids(spark, sf_dir))
+    x, y, z = (geo.mm(F.col(c)) for c in "xyz")
+    return table.withColumns({"r": geo.radius(x, y), "z_mm": z.cast("double"), "gamma1": F.col("gammas")[0]["e"], "total": F.col("gamma_total")})
+
+
+def _dt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.relative_times(match.detector_filter(views.photons(spark, sf_dir)), _deduped(spark, sf_dir))
+
+
+@query
+def file_photon_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_file_stats(spark, sf_dir), "pct_orphaned", "pct_zero")
+
+
+@query
+def photon_yield_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stats.yield_summary(_file_stats(spark, sf_dir), _yields(spark, sf_dir))
+    return rounded(out, "mean", "median", "std", "q25", "q75", "median_positive", "median_1_100", "pct_orphaned", "pct_zero")
+
+
+@query
+def top_orphan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.top_orphan_files(_file_stats(spark, sf_dir)).select("file_idx", "n_photons", "n_orphaned", "pct_orphaned"), "pct_orphaned")
+
+
+@query
+def photon_yield_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _yields(spark, sf_dir)
+
+
+@query
+def zero_photon_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.zero_photon_captures(views.photons(spark, sf_dir), views.captures(spark, sf_dir))
+
+
+@query
+def nc_photon_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_photon_table(spark, sf_dir).select(*KEY, "row_ix", "n_photons", "r", "z_mm", "gamma1", "total", "mat_id", "flag"), "r", "z_mm", "gamma1", "total")
+
+
+@query
+def dt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.distribution(_dt(spark, sf_dir), "dt"), "mean", "median", "std", "min", "max", "q25", "q75")
+
+
+@query
+def dt_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.percentiles(_dt(spark, sf_dir), "dt"), "value")
+
+
+@query
+def dt_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.window_counts(_dt(spark, sf_dir), "dt"), "pct")
+
+
+@query
+def material_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a dictionary that lacks one material: its captures show as Unknown_<id>."""
+    names = _dictionary(spark, sf_dir, "material").where("name <> '5-LOW'")
+    return rounded(stats.material_yield(_photon_table(spark, sf_dir), names), "photons_per_capture")
+
+
+@query
+def flag_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.flag_comparison(_photon_table(spark, sf_dir)), "mean_flagged", "mean_other", "median_flagged", "median_other", "pct_flagged", "mean_ratio")
+
+
+@query
+def nc_range_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("r", "z_mm", "gamma1", "total")
+    return rounded(stats.range_summary(_photon_table(spark, sf_dir), columns), *[f"{c}_{n}" for c in columns for n in ("min", "max", "median")])
+
+
+# ---------------------------------------------------------------- histograms
+
+
+@query
+def group_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits per capture by volume name: 50 bins from 0 to the largest, also per event of the group."""
+    rows = _photon_table(spark, sf_dir)
+    table = bins.histogram(rows, "n_photons", bins.linear(0.0, max(bins.largest(rows, "n_photons"), 1.0), 50), ("volume",))
+    events = rows.groupBy("volume").agg(F.count("*").alias("_events"))
+    return rounded(table.join(events, "volume").withColumn("per_event", F.col("n") / F.col("_events")).drop("_events"), "lo", "hi", "per_event")
+
+
+@query
+def hist_log_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _yields(spark, sf_dir)
+    return rounded(bins.histogram(rows, "n_photons", bins.zero_and_log(bins.largest(rows, "n_photons"))), "lo", "hi")
+
+
+@query
+def hist_small_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bins.histogram(_yields(spark, sf_dir).where("n_photons <= 100"), "n_photons", bins.small_counts()), "lo", "hi")
+
+
+@query
+def hist_file_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphaned and zero-photon percentages per file, 30 bins each from smallest to largest."""
+    rows, out = rounded(_file_stats(spark, sf_dir), "pct_orphaned", "pct_zero"), None
+    for c in ("pct_orphaned", "pct_zero"):
+        lo, hi = bins.smallest(rows, c), bins.largest(rows, c)
+        one = bins.histogram(rows, c, bins.linear(lo, hi if hi > lo else lo + 1, 30)).withColumn("metric", F.lit(c))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "lo", "hi")
+
+
+@query
+def hist_dt_symlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _dt(spark, sf_dir)
+    return rounded(bins.histogram(rows, "dt", bins.symmetric_log(bins.smallest(rows, "dt"), bins.largest(rows, "dt"))), "lo", "hi")
+
+
+@query
+def hist_dt_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _dt(spark, sf_dir).where("dt between -50 and 500")
+    return rounded(bins.histogram(rows, "dt", bins.linear(-50.0, 500.0, 99)), "lo", "hi")
+
+
+@query
+def hist_flag_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _photon_table(spark, sf_dir)
+    edges = bins.log_space(0.0, max(bins.largest(rows, "n_photons"), 1.000001), 50)
+    return rounded(bins.histogram(rows, "n_photons", edges, ("flag",)), "lo", "hi")
+
+
+@query
+def hist2d_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bins.histogram_2d(_photon_table(spark, sf_dir), "r", "z_mm", bins.linear(0.0, 6000.0, 99), bins.linear(-5000.0, 4000.0, 99))
+
+
+@query
+def hist2d_energy_photons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total gamma energy above 0 against hits up to their 99th percentile."""
+    rows = _photon_table(spark, sf_dir).where("total > 0")
+    top = rows.agg(F.percentile(F.col("n_photons"), F.lit(0.99)), F.max("total")).first()
+    return bins.histogram_2d(rows, "total", "n_photons", bins.linear(0.0, float(top[1] or 1.0), 59), bins.linear(0.0, max(float(top[0] or 0.0), 1.0), 59))
+
+
+# ---------------------------------------------------------------- groups and names
+
+
+@query
+def regex_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.grouped_names(views.captures(spark, sf_dir), "phys_volume")
+
+
+@query
+def unmatched_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.unmatched_names(groups.grouped_names(views.captures(spark, sf_dir), "phys_volume"))
+
+
+def _event_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _deduped(spark, sf_dir).select(*KEY, F.col("phys_volume").alias("name"))
+    return groups.event_totals(events, targets.voxel_hits(_assigned(spark, sf_dir)), KEY)
+
+
+@query
+def event_hit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _event_totals(spark, sf_dir).drop("name")
+
+
+@query
+def group_spectrum_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = groups.grouped_names(views.captures(spark, sf_dir), "phys_volume")
+    return rounded(groups.spectrum_stats(_event_totals(spark, sf_dir), grouped), "mean_hits", "mean_voxels", "median_hits", "median_voxels")
+
+
+@query
+def extract_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link targets of the raw pages, one line at a time, with their lengths."""
+    lines = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.explode(F.split("html", "\n")).alias("value"))
+    return groups.extract_names(lines, r'<a[^>]* href="([^"]+)"').withColumn("n_chars", F.length("name"))
+
+
+@query
+def incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures written as a folder of files, built file by file by a stream, read back: rows per split."""
+    base = f"{_scratch(spark)}/incremental-{uuid.uuid4().hex}"
+    nc = views.captures(spark, sf_dir).select(*KEY, "row_ix", "nc_time")
+    nc.repartition(8, "file_idx").write.parquet(f"{base}/in")
+    frozen = split.group_split(nc)
+
+    def make(batch: DataFrame) -> DataFrame:
+        return split.reuse_split(match.dedup_last_wins(batch), frozen, ("file_idx", "evtid"))
+
+    incremental.incremental_build(spark, f"{base}/in", nc.schema, f"{base}/state", f"{base}/out", make, files_per_batch=3)
+    return spark.read.parquet(f"{base}/out").groupBy("split").agg(F.count("*").alias("n"))
+
+
+_own_scratch: dict[str, str] = {}
+
+
+def _scratch(spark: SparkSession) -> str:
+    """The session's shared folder, or a temporary one in a local session that has none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    import tempfile
+
+    app = spark.sparkContext.applicationId
+    if app not in _own_scratch:
+        _own_scratch[app] = tempfile.mkdtemp(prefix="spark-hitlake-")
+    return _own_scratch[app]
