@@ -46,7 +46,7 @@ def photons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detector hits from lineitem; no capture (-1) for every 13th part."""
     k = "l_orderkey"
     return _table(spark, sf_dir, "lineitem").selectExpr(
-        f"{k} * 10 + l_linenumber as photon_id", f"cast({k} div 1000 as int) as file_idx", f"({k} % 1000) div 4 as evtid", f"case when l_partkey % 13 = 0 then -1L else {k} % 4 end as nc_id", "1963 + l_linenumber as det_uid",
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as photon_id", f"cast({k} div 1000 as int) as file_idx", f"({k} % 1000) div 4 as evtid", f"case when l_partkey % 13 = 0 then -1L else {k} % 4 end as nc_id", "1963 + l_linenumber as det_uid",
         "cast(((l_partkey % 100) - 49.5D) * 0.09D as float) as x", "cast(((l_suppkey % 100) - 49.5D) * 0.09D as float) as y", "cast(l_quantity * 0.2D - 5.2D as float) as z",
         "cast(l_discount - 0.05D as float) as px", "cast(l_tax - 0.04D as float) as py", "cast((l_linenumber - 4) / 4.0D as float) as pz", "cast(datediff(cast(l_shipdate as date), date '1992-01-01') as double) as time",
     )
