@@ -71,7 +71,7 @@ def count(docs: DataFrame) -> DataFrame:
                 e = at[lo : lo + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), part, np.int32)), pa.array(e.astype(np.int32)), pa.array(both[1, e]), pa.array(both[:, e].sum(axis=0))], names=["part", "entry", "target", "background"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("is_target").cast("int").alias("is_target"))
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("is_target").cast("int"), F.lit(0)).alias("is_target"))
     counted = rows.mapInArrow(tally, "part int, entry int, target bigint, background bigint")
     return counted.groupBy("part", "entry").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 

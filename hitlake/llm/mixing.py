@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from hitlake.llm.common import WORD, materialise
 
 NEAR = 1e-9
+LANDING_DOCS = 12  # all outcomes of the landing are looked at, so this bounds it to 2**14
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most_repeats: float = 3.0) -> DataFrame:
@@ -86,24 +87,23 @@ def landing(chance: np.ndarray, size: np.ndarray, owed: float) -> np.ndarray:
     return chance.round()
 
 
-def _fly(last: bool, landing_docs: int = 12):
-    """In a source's last block, `landing_docs` documents of spread sizes stay out of the flight and land with the rest."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id", "chance"], ascending=[False, True, True], kind="stable")
-        chance, size = rows["chance"].to_numpy(float), rows["size"].to_numpy(float)
-        seed = int(rows["_block"].iloc[0]) * 1_000_003 + int(size.sum()) * 31 + len(rows)
-        flying = np.ones(len(rows), bool)
-        open_ = np.flatnonzero((chance > NEAR) & (chance < 1 - NEAR))
-        if last and len(open_):
-            flying[np.unique(open_[np.linspace(len(open_) // 4, len(open_) - 1, landing_docs).astype(int)])] = False
-        moved = chance.copy()
-        moved[flying] = flight(chance[flying], size[flying], seed)
-        if last:
-            moved = landing(moved, size, float((chance * size).sum()))
-        return rows.assign(chance=moved)
-
-    return run
+def _fly(rows: pd.DataFrame) -> pd.DataFrame:
+    """One block. If it is its source's only one, LANDING_DOCS documents of spread sizes stay out of the flight and
+    land with what it leaves; else up to two fractions are left for the next round.
+    """
+    rows = rows.sort_values(["size", "doc_id", "chance"], ascending=[False, True, True], kind="stable")
+    chance, size = rows["chance"].to_numpy(float), rows["size"].to_numpy(float)
+    seed = int(rows["_block"].iloc[0]) * 1_000_003 + int(size.sum()) * 31 + len(rows)
+    last = rows["_blocks"].iloc[0] == 1
+    flying = np.ones(len(rows), bool)
+    open_ = np.flatnonzero((chance > NEAR) & (chance < 1 - NEAR))
+    if last and len(open_):
+        flying[np.unique(open_[np.linspace(len(open_) // 4, len(open_) - 1, LANDING_DOCS).astype(int)])] = False
+    moved = chance.copy()
+    moved[flying] = flight(chance[flying], size[flying], seed)
+    if last:
+        moved = landing(moved, size, float((chance * size).sum()))
+    return rows.assign(chance=moved)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most_repeats: float = 3.0, block_docs: int = 4096) -> DataFrame:
@@ -116,19 +116,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     due = F.when(F.abs(due - F.round(due)) < 1e-7, F.round(due)).otherwise(due)
     rows = sized.join(goal, sized["source"].eqNullSafe(goal["_source"])).drop("_source")
     rows = rows.withColumn("whole", F.floor(due).cast("int")).withColumn("chance", due - F.floor(due))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", _block bigint"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", _blocks bigint, _block bigint"
 
     done: list[DataFrame] = []
     left = rows
     while True:
-        counted = left.groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "_source")
-        counted = counted.select("_source", F.ceil(F.col("n") / block_docs).cast("bigint").alias("blocks"))
-        last = not counted.where("blocks > 1").limit(1).count()
+        counted = left.groupBy("source").agg(F.ceil(F.count("*") / block_docs).cast("bigint").alias("_blocks")).withColumnRenamed("source", "_source")
+        last = not counted.where("_blocks > 1").limit(1).count()
         blocked = left.join(counted, left["source"].eqNullSafe(counted["_source"])).drop("_source")
-        # The row number spreads repeated rows; all inputs here are written tables, so a retry gives it the same value.
-        spread = F.pmod(F.xxhash64("doc_id", "text_hash", F.col("_row")), F.col("blocks"))
-        blocked = blocked.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("size"))).withColumn("_block", spread).drop("_row", "blocks")
-        flown = materialise(blocked.groupBy("source", "_block").applyInPandas(_fly(last), schema).drop("_block"))
+        # The row number spreads repeated rows over the blocks; such rows are alike, so any of them may get any number.
+        row = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("size"))
+        blocked = blocked.withColumn("_row", row).withColumn("_block", F.pmod(F.xxhash64("doc_id", "text_hash", "_row"), "_blocks")).drop("_row")
+        flown = materialise(blocked.groupBy("source", "_block").applyInPandas(_fly, schema).drop("_block", "_blocks"))
         if last:
             done.append(flown)
             break
