@@ -43,7 +43,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.verdicts(table(spark, sf_dir, "documents"))
+    return host_rules.verdicts(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op8_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +59,33 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op3_suffix_dedup, op4_quality, op5_mixing, op6_warc, op7_host_rules, op8_lz_fingerprint, op9_packing, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+
+_BLANK = r"[\x20\x09-\x0D]+"
+
+#: For the queries that SQL can express; the others are held against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, p.payload_digest AS payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 100
+""",
+    "op7_host_rules": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text, [w FOR w IN string_split_regex(coalesce(text, ''), '{_BLANK}') IF w <> ''] AS words,
+    [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_replace(x, '{_BLANK}', '', 'g') <> ''] AS lines FROM documents),
+tri AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS t FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM d WHERE len(words) >= 4)),
+cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM (SELECT rid, i FROM tri QUALIFY count(*) OVER (PARTITION BY rid, t) > 1) CROSS JOIN range(3) r(k) GROUP BY rid),
+m AS (
+  SELECT d.rid, doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{_BLANK}', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM d LEFT JOIN cov ON cov.rid = d.rid),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 10 * n_symbols > word_chars OR 100 * n_dup_lines > 30 * n_words AS strict_failed FROM m),
+h AS (SELECT source, count(*) AS docs, count(*) FILTER (base_failed OR strict_failed) AS failures FROM j GROUP BY source),
+s AS (SELECT avg(failures::DOUBLE / docs) AS mean, var_pop(failures::DOUBLE / docs) AS spread, avg(1::DOUBLE / docs) AS thin FROM h),
+q AS (SELECT mean, greatest(mean * (1 - mean) / greatest(spread - mean * (1 - mean) * thin, mean * (1 - mean) / 1000, 1e-9::DOUBLE) - 1, 1e-3::DOUBLE) AS strength FROM s),
+r AS (SELECT source, (failures + mean * strength + 0.5::DOUBLE) / (docs + strength + 1) AS rate FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (rate > 0.6::DOUBLE AND strict_failed) AS kept, round(rate, 6) AS host_rate
+FROM j JOIN r ON j.source IS NOT DISTINCT FROM r.source
+""",
+}
