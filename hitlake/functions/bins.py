@@ -34,19 +34,23 @@ def symmetric_log(lo: float, hi: float, edges: int = 50) -> list[float]:
     return [*below, *([-1.0] if not below else []), 0.0, *([1.0] if not above else []), *above]
 
 
-def histogram(df: DataFrame, value: str, edges: list[float], by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., bin, lo, hi, n) for every bin, also empty ones.
+def counted(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., value, n): how often each value occurs. Histograms, edges and group sizes all follow from it."""
+    return df.groupBy(*by, F.col(value).cast("double").alias(value)).agg(F.count("*").alias("n"))
 
-    Values are counted first, so the edges are compared once per distinct value and group, not once per row.
+
+def histogram(counts: DataFrame, value: str, edges: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., bin, lo, hi, n) for every bin, also empty ones, from `counted` values.
+
+    The edges are compared once per distinct value and group, not once per row.
     """
-    spark, n = df.sparkSession, len(edges) - 1
-    counts = df.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col("_v"))) - 1
-    placed = counts.where(F.col("_v").between(float(edges[0]), float(edges[-1]))).withColumn("bin", F.least(at, F.lit(n - 1)))
-    sums = placed.groupBy(*by, "bin").agg(F.sum("_n").alias("n"))
+    spark, n = counts.sparkSession, len(edges) - 1
+    at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(value))) - 1
+    placed = counts.where(F.col(value).between(float(edges[0]), float(edges[-1]))).withColumn("bin", F.least(at, F.lit(n - 1)))
+    sums = placed.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
     table = spark.createDataFrame([(i, float(edges[i]), float(edges[i + 1])) for i in range(n)], "bin int, lo double, hi double")
     if by:
-        table = df.select(*by).distinct().join(F.broadcast(table))  # the list of edges: a few dozen rows
+        table = counts.select(*by).distinct().join(F.broadcast(table))  # the list of edges: a few dozen rows
         same = [table[c].eqNullSafe(sums[c]) for c in (*by, "bin")]
         return table.join(sums, same, "left").select(*[table[c] for c in by], table["bin"], "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
     return table.join(sums, "bin", "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))

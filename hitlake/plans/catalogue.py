@@ -15,6 +15,7 @@ from hitlake.plans import build
 from hitlake.plans.oracle import ORACLE_SQL  # noqa: F401  re-exported for the driver's entry
 from hitlake.schema import KEY, LAYERS, PHI
 from hitlake.sources import readers, views
+from hitlake.sources.scratch import materialise, scratch
 from hitlake.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -383,54 +384,59 @@ def nc_range_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- histograms
 
 
+def _counted(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts by value, written once: the edges need their ends first, then the bins need them again."""
+    return materialise(bins.counted(rows, value, by))
+
+
 @query
 def group_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits per capture by volume name: 50 bins from 0 to the largest, also per event of the group."""
-    rows = _photon_table(spark, sf_dir)
-    table = bins.histogram(rows, "n_photons", bins.linear(0.0, max(bins.largest(rows, "n_photons"), 1.0), 50), ("volume",))
-    events = rows.groupBy("volume").agg(F.count("*").alias("_events"))
+    counts = _counted(_photon_table(spark, sf_dir), "n_photons", ("volume",))
+    table = bins.histogram(counts, "n_photons", bins.linear(0.0, max(bins.largest(counts, "n_photons"), 1.0), 50), ("volume",))
+    events = counts.groupBy("volume").agg(F.sum("n").alias("_events"))
     return rounded(table.join(events, "volume").withColumn("per_event", F.col("n") / F.col("_events")).drop("_events"), "lo", "hi", "per_event")
 
 
 @query
 def hist_log_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _yields(spark, sf_dir)
-    return rounded(bins.histogram(rows, "n_photons", bins.zero_and_log(bins.largest(rows, "n_photons"))), "lo", "hi")
+    counts = _counted(_yields(spark, sf_dir), "n_photons")
+    return rounded(bins.histogram(counts, "n_photons", bins.zero_and_log(bins.largest(counts, "n_photons"))), "lo", "hi")
 
 
 @query
 def hist_small_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bins.histogram(_yields(spark, sf_dir).where("n_photons <= 100"), "n_photons", bins.small_counts()), "lo", "hi")
+    return rounded(bins.histogram(bins.counted(_yields(spark, sf_dir).where("n_photons <= 100"), "n_photons"), "n_photons", bins.small_counts()), "lo", "hi")
 
 
 @query
 def hist_file_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphaned and zero-photon percentages per file, 30 bins each from smallest to largest."""
-    rows, out = rounded(_file_stats(spark, sf_dir), "pct_orphaned", "pct_zero"), None
+    rows, out = materialise(rounded(_file_stats(spark, sf_dir), "pct_orphaned", "pct_zero")), None
     for c in ("pct_orphaned", "pct_zero"):
         lo, hi = bins.smallest(rows, c), bins.largest(rows, c)
-        one = bins.histogram(rows, c, bins.linear(lo, hi if hi > lo else lo + 1, 30)).withColumn("metric", F.lit(c))
+        one = bins.histogram(bins.counted(rows, c), c, bins.linear(lo, hi if hi > lo else lo + 1, 30)).withColumn("metric", F.lit(c))
         out = one if out is None else out.unionByName(one)
     return rounded(out, "lo", "hi")
 
 
 @query
 def hist_dt_symlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _dt(spark, sf_dir)
-    return rounded(bins.histogram(rows, "dt", bins.symmetric_log(bins.smallest(rows, "dt"), bins.largest(rows, "dt"))), "lo", "hi")
+    counts = _counted(_dt(spark, sf_dir), "dt")
+    return rounded(bins.histogram(counts, "dt", bins.symmetric_log(bins.smallest(counts, "dt"), bins.largest(counts, "dt"))), "lo", "hi")
 
 
 @query
 def hist_dt_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _dt(spark, sf_dir).where("dt between -50 and 500")
-    return rounded(bins.histogram(rows, "dt", bins.linear(-50.0, 500.0, 99)), "lo", "hi")
+    counts = bins.counted(_dt(spark, sf_dir).where("dt between -50 and 500"), "dt")
+    return rounded(bins.histogram(counts, "dt", bins.linear(-50.0, 500.0, 99)), "lo", "hi")
 
 
 @query
 def hist_flag_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _photon_table(spark, sf_dir)
-    edges = bins.log_space(0.0, max(bins.largest(rows, "n_photons"), 1.000001), 50)
-    return rounded(bins.histogram(rows, "n_photons", edges, ("flag",)), "lo", "hi")
+    counts = _counted(_photon_table(spark, sf_dir), "n_photons", ("flag",))
+    edges = bins.log_space(0.0, max(bins.largest(counts, "n_photons"), 1.000001), 50)
+    return rounded(bins.histogram(counts, "n_photons", edges, ("flag",)), "lo", "hi")
 
 
 @query
@@ -441,7 +447,7 @@ def hist2d_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def hist2d_energy_photons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total gamma energy above 0 against hits up to their 99th percentile."""
-    rows = _photon_table(spark, sf_dir).where("total > 0")
+    rows = materialise(_photon_table(spark, sf_dir).where("total > 0").select("total", "n_photons"))
     top = rows.agg(F.percentile(F.col("n_photons"), F.lit(0.99)), F.max("total")).first()
     return bins.histogram_2d(rows, "total", "n_photons", bins.linear(0.0, float(top[1] or 1.0), 59), bins.linear(0.0, max(float(top[0] or 0.0), 1.0), 59))
 
@@ -485,7 +491,7 @@ def extract_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures written as a folder of files, built file by file by a stream, read back: rows per split."""
-    base = f"{_scratch(spark)}/incremental-{uuid.uuid4().hex}"
+    base = f"{scratch(spark)}/incremental-{uuid.uuid4().hex}"
     nc = views.captures(spark, sf_dir).select(*KEY, "row_ix", "nc_time")
     nc.repartition(8, "file_idx").write.parquet(f"{base}/in")
     frozen = split.group_split(nc)
@@ -495,21 +501,3 @@ def incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     incremental.incremental_build(spark, f"{base}/in", nc.schema, f"{base}/state", f"{base}/out", make, files_per_batch=3)
     return spark.read.parquet(f"{base}/out").groupBy("split").agg(F.count("*").alias("n"))
-
-
-_own_scratch: dict[str, str] = {}
-
-
-def _scratch(spark: SparkSession) -> str:
-    """The session's shared folder, or a temporary one in a local session that has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    import tempfile
-
-    app = spark.sparkContext.applicationId
-    if app not in _own_scratch:
-        _own_scratch[app] = tempfile.mkdtemp(prefix="spark-hitlake-")
-    return _own_scratch[app]

@@ -136,7 +136,7 @@ def test_weights(spark):
 
 def test_last_bin_is_closed(spark):
     df = spark.createDataFrame([(0.0,), (5.0,), (10.0,), (11.0,), (-1.0,), (None,)], "v double")
-    assert [r["n"] for r in bins.histogram(df, "v", [0.0, 5.0, 10.0]).orderBy("bin").collect()] == [1, 2]
+    assert [r["n"] for r in bins.histogram(bins.counted(df, "v"), "v", [0.0, 5.0, 10.0]).orderBy("bin").collect()] == [1, 2]
     assert bins.symmetric_log(-100.0, 100.0, 3) == sorted(bins.symmetric_log(-100.0, 100.0, 3))
 
 
