@@ -18,13 +18,13 @@ def capture_regions(photons: DataFrame, captures: DataFrame, voxels: DataFrame,
     return targets.with_targets(nc, regions)
 
 
-def training_set(photons: DataFrame, captures: DataFrame, voxels: DataFrame, splits: DataFrame, window: float = 200.0, fraction_keys: tuple[str, ...] = ("file_idx", "evtid"), scale: float = 1000.0, geometry: Geometry = Geometry()) -> DataFrame:
+def training_set(photons: DataFrame, captures: DataFrame, voxels: DataFrame, splits: DataFrame, window: float = 200.0, split_keys: tuple[str, ...] = ("file_idx", "evtid"), scale: float = 1000.0, geometry: Geometry = Geometry(), sample_files: int | None = None) -> DataFrame:
     """Key, split, 30 features, 4 region counts and the weight; `captures` carry global mat_id and vol_id."""
     rows = capture_regions(photons, captures, voxels, window, geometry)
     phi = targets.features(rows, scale, geometry)
     regions = rows.select(*KEY, "total_hits", "pit", "bot", "wall", "top")
-    weight = split.event_weight(captures, KEY).select(F.col("weight").cast("float").alias("weight"))
-    joined = split.reuse_split(phi.join(regions, list(KEY)), splits, fraction_keys)
+    weight = split.event_weight(captures, KEY, sample_files).select(F.col("weight").cast("float").alias("weight"))
+    joined = split.reuse_split(phi.join(regions, list(KEY)), splits, split_keys)
     return joined.join(F.broadcast(weight))  # one row
 
 
