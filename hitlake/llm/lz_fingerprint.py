@@ -123,7 +123,7 @@ def compare_with_next(docs: DataFrame, size: int = 128, ranges: int | None = Non
     ranges = ranges or 8 * parts
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST))
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), order.alias("order"))
-    steps = keyed.where("doc_id is not null").approxQuantile("order", [i / ranges for i in range(1, ranges)], 0.25 / ranges)
+    steps = keyed.where("doc_id is not null").approxQuantile("order", [i / ranges for i in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
     bounds = np.unique(np.array(steps, np.float64)).astype(np.int64)
 
     @F.arrow_udf("int")
