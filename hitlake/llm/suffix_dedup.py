@@ -8,10 +8,11 @@ A byte goes if a string of `length` bytes that covers it starts at another place
 2. Copies of one extract are added up first; one of them stands for all, and its number of places tells that all of it
    repeats. An anchor with a single extract at a single place has no repeat and drops out.
 3. Different extracts under one anchor go to a shard, their bytes joined back from the documents. Each shard builds a
-   suffix array over all its extracts by Larsson-Sadakane refinement (ranks by the first 7 symbols, then doubled, only
+   suffix array over all its extracts by Larsson-Sadakane refinement (ranks by the first symbols, then doubled, only
    unsorted groups sorted again) and Kasai's common prefixes; neighbours that share `length` bytes repeat.
-4. An anchor with more than `shard_extracts` extracts is spread over several shards. Each shard then also hands on one
-   key for each different window of it, and the shards' sorted key lists are merged by binary search.
+4. An anchor with more than `shard_extracts` extracts is spread over several shards. Each shard then also hands on
+   sorted runs of keys, one key for each different window, cut into as many buckets as there are shards; the runs of a
+   bucket are merged by binary search. No task holds more than about a shard's share of windows.
 5. The repeated stretches are joined back to every place of their extract, united for each document, and cut out.
 
 Every step but the search inside a bounded shard is a Spark shuffle on anchors, digests or documents.
@@ -231,26 +232,46 @@ def _stretches(flags: np.ndarray, length: int) -> list[tuple[int, int]]:
     return out
 
 
+FOUND = "anchor bigint, d1 bigint, d2 bigint, spans array<struct<a: int, b: int>>, bucket int, shard int, keys binary, owners binary"
+SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+
 def _search(length: int, shard_bytes: int = 1 << 20):
-    """Rows (anchor, sub, spread, d1, d2, data) sorted by (anchor, sub): groups are gathered into shards of about shard_bytes.
+    """Rows (anchor, sub, shards, d1, d2, data) sorted by (anchor, sub): groups are gathered into shards of about shard_bytes.
 
-    Out: repeated stretches (a, b, w1 and w2 null), and for spread anchors each different window (w1, w2 its key).
+    Out: the repeated stretches of an extract; and, where an anchor has several shards, runs of sorted window keys with
+    their owners (d1, d2, window), one run for each bucket of keys. A class of repeated windows hands on one key.
     """
-    names = ["anchor", "d1", "d2", "a", "b", "w1", "w2", "shard"]
-    kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.int32()]
+    kinds = [pa.int64()] * 3 + [SPANS, pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["anchor", "d1", "d2", "spans", "bucket", "shard", "keys", "owners"]
+
+    def runs(anchor: int, sub: int, shards: int, keys: list[int], owners: list[tuple[int, int, int]]) -> Iterator[tuple]:
+        key, owner = np.array(keys, np.uint64), np.array(owners, np.int64).reshape(-1, 3)
+        bucket = (key % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((key, bucket))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            at = order[lo:hi]
+            yield anchor, None, None, None, int(bucket[at[0]]), sub, key[at].tobytes(), owner[at].tobytes()
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         flags, numbers = repeats_in_shard([r[5] for r in rows], length)
         out: list[tuple] = []
-        handed: set[tuple[int, int]] = set()
-        for (anchor, sub, spread, d1, d2, data), again, number in zip(rows, flags, numbers):
-            out += [(anchor, d1, d2, a, b, None, None, sub) for a, b in _stretches(again, length)]
-            if spread:
-                for i, c in enumerate(number.tolist()):
-                    if (c, again[i]) not in handed or not again[i]:
-                        if again[i]:
-                            handed.add((c, True))
-                        out.append((anchor, d1, d2, i, i + length, *_digest(data[i : i + length]), sub))
+        spread: dict[tuple[int, int, int], tuple[list, list, set]] = {}
+        for (anchor, sub, shards, d1, d2, data), again, number in zip(rows, flags, numbers):
+            if again.any():
+                out.append((anchor, d1, d2, [{"a": a, "b": b} for a, b in _stretches(again, length)], None, None, None, None))
+            if shards > 1:
+                keys, owners, handed = spread.setdefault((anchor, sub, shards), ([], [], set()))
+                for i, (c, known) in enumerate(zip(number.tolist(), again.tolist())):
+                    if known and c in handed:
+                        continue
+                    if known:
+                        handed.add(c)
+                    keys.append(xxhash.xxh3_64_intdigest(data[i : i + length]))
+                    owners.append((d1, d2, i))
+        for group, (keys, owners, _) in spread.items():
+            out += runs(*group, keys, owners)
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,25 +290,40 @@ def _search(length: int, shard_bytes: int = 1 << 20):
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Window keys of spread anchors, sorted by (w1, shard): each shard's sorted run is looked up in the others'.
+def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Owners of keys that stand in more than one sorted run: each run is looked up in all by binary search."""
+    every = np.sort(np.concatenate([k for k, _ in runs]))
+    found = []
+    for keys, owners in runs:
+        own = np.searchsorted(keys, keys, "right") - np.searchsorted(keys, keys, "left")
+        total = np.searchsorted(every, keys, "right") - np.searchsorted(every, keys, "left")
+        found.append(owners[total > own])
+    return np.concatenate(found)
 
-    Equal keys of one task are all here (dealt by key). A run's key that another shard's run holds repeats there.
-    """
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
-        return
-    shard, key = table.column("shard").to_numpy(), table.column("w1").to_numpy()
-    order = np.lexsort((key, shard))
-    begins = np.concatenate([[0], np.flatnonzero(np.diff(shard[order])) + 1, [len(order)]])
-    every = np.sort(key)
-    hit = np.zeros(len(order), bool)
-    for lo, hi in zip(begins[:-1], begins[1:]):
-        run = key[order[lo:hi]]  # sorted
-        inside = np.searchsorted(run, run, "right") - np.searchsorted(run, run, "left")
-        total = np.searchsorted(every, run, "right") - np.searchsorted(every, run, "left")
-        hit[order[lo:hi]] = total > inside
-    yield from table.filter(pa.array(hit)).select(["anchor", "d1", "d2", "a", "b"]).to_batches()
+
+def _merge(length: int):
+    """Rows (anchor, bucket, keys, owners) sorted by (anchor, bucket): the runs of a bucket, one from each shard."""
+
+    def solve(anchor: int, runs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        hits = merge_runs([(np.frombuffer(k, np.uint64), np.frombuffer(o, np.int64).reshape(-1, 3)) for k, o in runs])
+        by: dict[tuple[int, int], list[dict]] = {}
+        for d1, d2, i in hits.tolist():
+            by.setdefault((d1, d2), []).append({"a": i, "b": i + length})
+        return pa.RecordBatch.from_arrays([pa.array([anchor] * len(by), pa.int64()), pa.array([d for d, _ in by], pa.int64()), pa.array([d for _, d in by], pa.int64()), pa.array(list(by.values()), SPANS)], names=["anchor", "d1", "d2", "spans"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, runs = None, []
+        for batch in batches:
+            for anchor, bucket, keys, owners in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                if group not in (None, (anchor, bucket)):
+                    yield solve(group[0], runs)
+                    runs = []
+                group = (anchor, bucket)
+                runs.append((keys, owners))
+        if group is not None:
+            yield solve(group[0], runs)
+
+    return run
 
 
 # ---------------------------------------------------------------- the operator
@@ -303,16 +339,17 @@ def repeated_stretches(docs: DataFrame, length: int = 400, gram: int = 64, shard
     whole = met.where("copies > 1").select("anchor", "d1", "d2", F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") + length - 1).alias("b"))).alias("spans"))
 
     shards = F.ceil(F.col("extracts") / shard_extracts).cast("int")
-    searched = met.where("extracts > 1").select("kid", "th", F.struct("anchor", F.pmod("d1", shards).cast("int").alias("sub"), (shards > 1).cast("int").alias("spread"), "d1", "d2", "start", "windows", "copies").alias("e"))
+    searched = met.where("extracts > 1").select("kid", "th", F.struct("anchor", F.pmod("d1", shards).cast("int").alias("sub"), shards.alias("shards"), "d1", "d2", "start", "windows").alias("e"))
     wanted = searched.groupBy("kid", "th").agg(F.collect_list("e").alias("es"))  # bounded by the document's own length
     one = keyed.select("kid", "th", F.encode("text", "UTF-8").alias("raw"))
-    cut = lambda e: F.struct(*[e[c].alias(c) for c in ("anchor", "sub", "spread", "d1", "d2", "copies")], F.substring(F.col("raw"), (e["start"] + 1).cast("int"), e["windows"] + length - 1).alias("data"))
+    cut = lambda e: F.struct(*[e[c].alias(c) for c in ("anchor", "sub", "shards", "d1", "d2")], F.substring(F.col("raw"), (e["start"] + 1).cast("int"), e["windows"] + length - 1).alias("data"))
     bytes_ = one.join(wanted, ["kid", "th"]).select(F.explode(F.transform("es", cut)).alias("e")).select("e.*")
-    bytes_ = bytes_.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub").select("anchor", "sub", "spread", "d1", "d2", "data")
-    found = materialise(bytes_.mapInArrow(_search(length), "anchor bigint, d1 bigint, d2 bigint, a int, b int, w1 bigint, w2 bigint, shard int"))
-    across = found.where("w1 is not null").repartition("w1").mapInArrow(_merge, "anchor bigint, d1 bigint, d2 bigint, a int, b int")
-    again = found.where("w1 is null").select("anchor", "d1", "d2", "a", "b").unionByName(across)
-    again = again.groupBy("anchor", "d1", "d2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # bounded by the extract's length
+    bytes_ = bytes_.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub").select("anchor", "sub", "shards", "d1", "d2", "data")
+    found = materialise(bytes_.mapInArrow(_search(length), FOUND))
+    runs = found.where("keys is not null").select("anchor", "bucket", "keys", "owners").repartition("anchor", "bucket").sortWithinPartitions("anchor", "bucket")
+    across = runs.mapInArrow(_merge(length), "anchor bigint, d1 bigint, d2 bigint, spans array<struct<a: int, b: int>>")
+    again = found.where("keys is null").select("anchor", "d1", "d2", "spans").unionByName(across)
+    again = again.groupBy("anchor", "d1", "d2").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # bounded by the extract's length
     marked = whole.unionByName(again.join(whole, ["anchor", "d1", "d2"], "left_anti"))
     spans = places.join(marked, ["anchor", "d1", "d2"]).select("kid", "th", F.explode(F.transform("spans", lambda s: F.struct((F.col("start") + s["a"]).alias("a"), (F.col("start") + s["b"]).alias("b")))).alias("s"))
     return spans.groupBy("kid", "th").agg(F.collect_set("s").alias("spans"))  # distinct, so bounded by the document's length
