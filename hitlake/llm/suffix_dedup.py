@@ -139,32 +139,33 @@ def _anchor_rows(length: int, gram: int):
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Larsson-Sadakane: sort by a prefix of h symbols, then by the ranks of h and 2h, until all ranks differ.
 
-    Only suffixes whose group still has equals are sorted again. Symbols are non-negative and below 512.
+    Only suffixes whose group still has equals are sorted again.
     """
     n = len(symbols)
     if n == 0:
         return np.zeros(0, np.int64)
+    used, codes = np.unique(symbols, return_inverse=True)  # as many symbols as fit into the first key
+    bits = len(used).bit_length()
+    h = 62 // bits
     key = np.zeros(n, np.int64)
-    wide = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(7, np.int64)])
-    for j in range(6):
-        key = key << 10 | wide[j : j + n]
-    order = np.argsort(key, kind="stable")
-    rank = np.zeros(n + 1, np.int64)  # rank of the empty suffix: -1
-    rank[n] = -1
+    wide = np.concatenate([codes.astype(np.int64) + 1, np.zeros(h, np.int64)])
+    for j in range(h):
+        key = key << bits | wide[j : j + n]
+    order = np.argsort(key)
+    rank = np.zeros(n + 1, np.int64)
+    rank[n] = -1  # the empty suffix
     ordered = key[order]
     head = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    h = 6
     tail = np.concatenate([head[1:], [True]])
     open_ = np.flatnonzero(~(head & tail))  # places in `order` whose group is not single
     while len(open_):
         suffixes = order[open_]
-        group = rank[suffixes]
-        following = rank[np.minimum(suffixes + h, n)]
-        resorted = np.lexsort((following, group))
-        suffixes, group, following = suffixes[resorted], group[resorted], following[resorted]
+        key = rank[suffixes] * (n + 1) + rank[np.minimum(suffixes + h, n)] + 1
+        resorted = np.argsort(key)
+        suffixes, key = suffixes[resorted], key[resorted]
         order[open_] = suffixes  # groups keep their places, as open_ ascends and groups sort by rank
-        head = np.concatenate([[True], (group[1:] != group[:-1]) | (following[1:] != following[:-1])])
+        head = np.concatenate([[True], key[1:] != key[:-1]])
         rank[suffixes] = np.maximum.accumulate(np.where(head, open_, 0))
         tail = np.concatenate([head[1:], [True]])
         open_ = open_[~(head & tail)]
@@ -172,26 +173,40 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     return order
 
 
-def common_prefixes(text: bytes, order: np.ndarray) -> np.ndarray:
-    """Kasai: lcp[i] of suffixes order[i - 1] and order[i]; each suffix starts from one less than the one before it."""
+def common_prefixes(text: bytes, order: np.ndarray, wanted: np.ndarray | None = None, most: int | None = None) -> np.ndarray:
+    """Kasai: lcp[i] of suffixes order[i - 1] and order[i]; each suffix starts from one less than the one before it.
+
+    `wanted` limits the suffixes that are looked at (others get 0), `most` the prefix lengths.
+    """
     n = len(text)
-    lcp = [0] * n
+    most = n if most is None else most
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     at = np.empty(n, np.int64)
     at[order] = np.arange(n)
-    places = at.tolist()
-    same = 0
-    for i, j in enumerate(before.tolist()):
+    starts = np.arange(n) if wanted is None else np.flatnonzero(wanted)
+    found = np.zeros(len(starts), np.int64)
+    same, last = 0, -2
+    for k, (i, j) in enumerate(zip(starts.tolist(), before[starts].tolist())):
         if j < 0:
-            same = 0
+            same, last = 0, -2
             continue
-        most = n - max(i, j)
-        while same < most and text[i + same] == text[j + same]:
-            same += 1
-        lcp[places[i]] = same
-        same = same - 1 if same else 0
-    return np.array(lcp, np.int64)
+        same = same - 1 if same and i == last + 1 else 0
+        last = i
+        limit = min(most, n - i, n - j)
+        if same < limit and text[i + same] == text[j + same]:
+            if limit - same <= 512 and text[i + same : i + limit] == text[j + same : j + limit]:
+                same = limit
+            step = 128
+            while step:  # what is still equal in strides, then halves of them
+                if same + step <= limit and text[i + same : i + same + step] == text[j + same : j + same + step]:
+                    same += step
+                else:
+                    step >>= 1
+        found[k] = same
+    lcp = np.zeros(n, np.int64)
+    lcp[at[starts]] = found
+    return lcp
 
 
 def repeats_in_shard(extracts: list[bytes], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -205,9 +220,9 @@ def repeats_in_shard(extracts: list[bytes], length: int) -> tuple[list[np.ndarra
     raw = np.frombuffer(text, np.uint8)
     symbols[inside] = raw[inside]
     order = suffix_array(symbols)
-    lcp = common_prefixes(text, order)
     left = np.repeat(bases + sizes, sizes + 1) - np.arange(len(symbols))  # bytes up to the end of the own extract
     window = left >= length
+    lcp = common_prefixes(text, order, window, length)
     # Equal windows stand side by side, and every suffix between them has the same `length` bytes.
     joint = np.zeros(len(order) + 1, bool)
     joint[1:-1] = (lcp[1:] >= length) & window[order[1:]] & window[order[:-1]]
