@@ -117,8 +117,11 @@ class Models:
 
 
 def fit(docs: DataFrame, target_ids: DataFrame) -> Models:
-    """Models from all documents; `target_ids` has the doc_id of the target's documents."""
-    ids = target_ids.select(F.col("doc_id").alias("_target_id")).where("_target_id is not null").distinct()
+    """Models from all documents; `target_ids` has the doc_id of the target's documents.
+
+    The ids grow with the corpus, so they always meet the documents in a shuffle join, never by broadcast.
+    """
+    ids = target_ids.select(F.col("doc_id").alias("_target_id")).where("_target_id is not null").distinct().hint("merge")
     marked = docs.join(ids, docs["doc_id"] == ids["_target_id"], "left").select(docs["text"], F.col("_target_id").isNotNull().alias("is_target"))
     return Models(count(marked).toArrow())
 
