@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hitlake.sources.scratch import materialise, scratch  # noqa: F401  used by the operators
 
@@ -13,6 +14,7 @@ from hitlake.sources.scratch import materialise, scratch  # noqa: F401  used by
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,3 +35,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def texts(column: pa.Array) -> list[str]:
     """Python strings of a column, nulls as empty."""
     return ["" if x is None else x for x in column.to_pylist()]
+
+
+def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """At most `rows` rows, those with the smallest hashes of their keys: the same ones on every run.
+
+    A share of the hash range is cut off first, so the tasks together hand on about twice that many rows, not each task
+    `rows` of its own.
+    """
+    total = df.count()
+    place = (F.xxhash64(*keys).cast("double") + 2.0**63) / 2.0**64
+    near = df.where(place <= 2.0 * rows / total) if total > 2 * rows else df
+    return near.orderBy(F.xxhash64(*keys), *keys).limit(rows)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitlake.llm.common import texts
+from hitlake.llm.common import bounded_sample, materialise, texts
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -78,13 +78,13 @@ def train(samples: DataFrame) -> RatioModel:
 def labelled_samples(docs: DataFrame, sample_docs: int = 1000, sample_words: int = 20_000, sample_random: int = 12_000, seed: int = 7) -> DataFrame:
     """(value, label): identifiers made of words of a bounded sample of documents, and seeded random strings.
 
-    `sample_docs` documents (smallest hash of doc_id and text), `sample_words` distinct words of them, alone and joined in
+    `sample_docs` documents (smallest hash of doc_id), `sample_words` distinct words of them, alone and joined in
     camelCase and snake_case, and `sample_random` random strings of 20 to 64 characters bound the training set.
     """
     spark: SparkSession = docs.sparkSession
-    some = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample_docs)
+    some = bounded_sample(docs.select("doc_id", F.col("text").cast("string").alias("text")), sample_docs, "doc_id")
     words = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{3,}"), F.lit(0))).alias("value")).distinct()
-    words = words.orderBy(F.xxhash64("value"), "value").limit(sample_words)
+    words = bounded_sample(materialise(words), sample_words, "value")
     other = F.lag("value").over(_order())
     compound = words.select("value", F.coalesce(other, F.lit("name")).alias("other"))
     identifiers = compound.select(
