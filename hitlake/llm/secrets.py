@@ -124,7 +124,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(docs: DataFrame, model: RatioModel, min_llr: float = 12.0) -> DataFrame:
+def scan(docs: DataFrame, model: RatioModel, min_llr: float = 18.0) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size, 69**3 numbers
 
@@ -143,7 +143,7 @@ def scan(docs: DataFrame, model: RatioModel, min_llr: float = 12.0) -> DataFrame
     return docs.select("doc_id", find(F.col("text").cast("string")).alias("found")).select("doc_id", "found.*")
 
 
-def redact(docs: DataFrame, model: RatioModel, min_llr: float = 12.0, mark: str = "[REDACTED]") -> DataFrame:
+def redact(docs: DataFrame, model: RatioModel, min_llr: float = 18.0, mark: str = "[REDACTED]") -> DataFrame:
     """The documents with every span replaced by `mark` (overlapping spans by one); n_chars, if there, follows the text.
 
     Documents without a secret come back unchanged, null texts as null.
