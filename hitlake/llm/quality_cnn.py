@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitlake.llm.common import utf8
+from hitlake.llm.common import bounded_sample, utf8
 
 WIDTH, STRIDE, BLOCK, PAD = 8, 4, 256, 256
 SYMBOLS = 257  # bytes and the padding
@@ -73,39 +73,27 @@ def pool(maxima: np.ndarray, blocks: np.ndarray) -> np.ndarray:
 
 
 def features(net: Network, data: np.ndarray, offsets: np.ndarray, slab: int = 1 << 20) -> np.ndarray:
-    """Pooled responses of each document; at most about `slab` bytes are convolved at once, longer documents in slabs."""
-    pooled, held, counts, held_bytes = [], [], [], 0
-
-    def flush() -> None:
-        nonlocal held, counts, held_bytes
-        if counts:
-            pooled.append(pool(np.concatenate(held), np.array(counts)))
-        held, counts, held_bytes = [], [], 0
-
+    """Pooled responses of each document; short documents are convolved together, long ones in slabs of about `slab` bytes."""
+    pooled: list[np.ndarray] = []
     waiting: list[tuple[np.ndarray, int]] = []
-    size = 0
 
-    def convolve() -> None:
-        nonlocal waiting, size
-        if not waiting:
-            return
+    def flush() -> None:
         symbols = np.concatenate([s for s, _ in waiting])
         bases = np.cumsum([0, *[len(s) for s, _ in waiting[:-1]]])
-        starts = np.concatenate([b + BLOCK * np.arange(n) for b, (_, n) in zip(bases, waiting)])
-        for lo in range(0, len(starts), slab // BLOCK):
-            held.append(net.blocks(symbols, starts[lo : lo + slab // BLOCK])[0].max(axis=1))
-        counts.extend(n for _, n in waiting)
-        waiting, size = [], 0
+        starts = np.concatenate([base + BLOCK * np.arange(n) for base, (_, n) in zip(bases, waiting)])
+        maxima = [net.blocks(symbols, starts[lo : lo + slab // BLOCK])[0].max(axis=1) for lo in range(0, len(starts), slab // BLOCK)]
+        pooled.append(pool(np.concatenate(maxima), np.array([n for _, n in waiting])))
+        waiting.clear()
 
+    size = 0
     for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         waiting.append(padded(data, lo, hi))
         size += len(waiting[-1][0])
-        held_bytes += size
         if size > slab:
-            convolve()
             flush()
-    convolve()
-    flush()
+            size = 0
+    if waiting:
+        flush()
     return np.concatenate(pooled) if pooled else np.zeros((0, len(net.out)), np.float32)
 
 
@@ -124,7 +112,7 @@ def score(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def sample_chunks(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000, chunks: int = 12) -> pd.DataFrame:
     """(doc_id, label, data): for each sampled document up to `chunks` stretches of two blocks plus a filter's width."""
     chosen = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    chosen = bounded_sample(chosen, sample_docs, "doc_id")
 
     @F.arrow_udf("array<binary>")
     def spread(column: pa.Array) -> pa.Array:
