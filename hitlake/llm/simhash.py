@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitlake.llm.common import materialise, utf8
+from hitlake.llm.common import bounded_sample, materialise, utf8
 
 BITS = 64
 
@@ -239,7 +239,7 @@ def link_fingerprints(distinct: DataFrame, max_distance: int = 4, sample_rows: i
     empty = distinct.select(F.col("fp").alias("src"), F.col("fp").alias("dst")).limit(0)
     if total < 2:
         return empty
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    sample = bounded_sample(distinct.select("fp"), sample_rows, "fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     plan = plan_partitions(sample, total, max_distance)
     probing = any(t > 0 for _, t in plan)
     rows = distinct.select("fp").mapInArrow(_file_and_probe(plan), "part int, key bigint, fp bigint, own boolean")
@@ -264,7 +264,9 @@ def connected(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> Data
 
     The links stay a distributed table; each round is one written table, so lost executors cost a re-read only.
     """
+    digest = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     edges = materialise(links.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    state = digest(edges)
     for _ in range(most_rounds):
         # Large star: every larger neighbour of a node is hung on the smallest neighbour.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -275,10 +277,8 @@ def connected(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> Data
         hung = large.join(low, "u")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         after = materialise(small.distinct())
-        one = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        done = tuple(one(edges)) == tuple(one(after))
-        edges = after
-        if done:
+        edges, before, state = after, state, digest(after)
+        if state == before:
             break
     else:
         raise RuntimeError("components did not settle")
