@@ -29,8 +29,9 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) + F.lit(0.0) for c in columns})
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """Doubles that both engines print alike; adding 0 turns -0.0 into 0.0."""
+    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) + F.lit(0.0) for c in columns})
 
 
 def _deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,8 +164,10 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def nc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [c for c in PHI[:14]]
-    return rounded(_features(spark, sf_dir).select(*KEY, *[F.col(f"`{c}`").alias(c.replace("#gamma", "n_gamma")) for c in names]), *[c.replace("#gamma", "n_gamma") for c in names]).transform(lambda d: d.withColumns({c: F.round(c, 3) for c in d.columns if c.endswith("_mm") or c.endswith("keV")}))
+    names = {c: c.replace("#gamma", "n_gamma") for c in PHI[:14]}
+    rows = _features(spark, sf_dir).select(*KEY, *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    coarse = [n for n in names.values() if n.endswith(("_mm", "_keV"))]
+    return rounded(rounded(rows, *[n for n in names.values() if n not in coarse]), *coarse, digits=3)
 
 
 @query
