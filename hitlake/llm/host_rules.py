@@ -22,6 +22,7 @@ from hitlake.llm.common import GAP, materialise
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+MOST_SENT_HOSTS = 100_000  # rows of a name and two numbers
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -78,8 +79,12 @@ def host_verdicts(measured: DataFrame, bad_rate: float = 0.6) -> DataFrame:
 
 
 def _judge(measured: DataFrame, bad_rate: float) -> DataFrame:
-    hosts = host_verdicts(measured, bad_rate).select("_hl_host", F.col("rate").alias("_hl_rate"), F.col("bad").alias("_hl_bad"))
-    joined = measured.join(hosts, measured["source"].eqNullSafe(hosts["_hl_host"]))
+    """Host verdicts joined back. A host table of checked, small size is sent to the tasks, so that texts stay where they
+    are; a larger one meets the documents in a shuffle join, whose hot hosts adaptive execution splits.
+    """
+    hosts = materialise(host_verdicts(measured, bad_rate).select("_hl_host", F.col("rate").alias("_hl_rate"), F.col("bad").alias("_hl_bad")))
+    few = hosts.count() <= MOST_SENT_HOSTS
+    joined = measured.join(F.broadcast(hosts) if few else hosts, measured["source"].eqNullSafe(hosts["_hl_host"]))
     return joined.withColumn("_hl_kept", ~F.col("_hl_base_failed") & ~(F.col("_hl_bad") & F.col("_hl_strict_failed")))
 
 
