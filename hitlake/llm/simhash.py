@@ -303,7 +303,11 @@ def drop_near_duplicates(docs: DataFrame, max_distance: int = 4) -> DataFrame:
 
     Documents without a doc_id stay only if a component has no other; then each distinct text stays once.
     """
-    groups = components(docs, max_distance)
+    return keep_first(docs, components(docs, max_distance))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The documents whose doc_id is the component_id of their group (doc_id, component_id), each text of theirs once."""
     keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
     columns = docs.columns
