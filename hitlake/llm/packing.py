@@ -15,7 +15,6 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import array
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,11 +56,11 @@ class Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): every document cut into pieces; the ids themselves are not kept."""
+    """(doc_id, piece, start, length, ids, ids_crc32): every document cut into pieces; ids are little-endian 32-bit integers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder(tokenizer_path), array.array("I", [end_id]).tobytes()
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        names = ["doc_id", "piece", "start", "length", "ids"]
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
@@ -70,13 +69,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
                 at, head = 0, n % capacity or capacity
                 for piece in range(-(-n // capacity)):
                     stop = min(n, at + (head if piece == 0 else capacity))
-                    for column, value in zip(rows, (doc_id, piece, at, stop - at, zlib.crc32(ids[4 * at : 4 * stop]))):
+                    for column, value in zip(rows, (doc_id, piece, at, stop - at, ids[4 * at : 4 * stop])):
                         column.append(value)
                     at = stop
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], batch.schema.field(0).type), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], batch.schema.field(0).type), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:4]), pa.array(rows[4], pa.binary())], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    cut_up = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
+    return cut_up.withColumn("ids_crc32", F.crc32("ids"))
 
 
 # ---------------------------------------------------------------- packing one block
@@ -210,12 +210,12 @@ def pack(lengths: list[int], capacity: int, search_nodes: int = 20_000) -> list[
 
 
 def pack_pieces(cut: DataFrame, capacity: int = 1024, block_pieces: int = 8192) -> DataFrame:
-    """Add sequence_id and offset to pieces, a written table. Blocks are hash buckets of about `block_pieces` pieces."""
+    """Add sequence_id and offset to pieces, a written table. Blocks are hash buckets of about `block_pieces` pieces, ids and all."""
     blocks = max(1, -(-cut.count() // block_pieces))
     # The row number takes part, so that repeated rows spread too; the written table gives it the same value on a retry.
     keyed = cut.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(blocks)))
     kind = cut.schema["doc_id"].dataType.simpleString()
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    columns = ["doc_id", "piece", "start", "length", "ids", "ids_crc32"]
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
@@ -232,9 +232,9 @@ def pack_pieces(cut: DataFrame, capacity: int = 1024, block_pieces: int = 8192)
                 begin += x
         return rows[columns].assign(sequence_id=sequence, offset=offset)
 
-    return keyed.groupBy("_block").applyInPandas(place, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return keyed.groupBy("_block").applyInPandas(place, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset."""
     return pack_pieces(materialise(pieces(docs, tokenizer_path, capacity)), capacity)

@@ -51,7 +51,9 @@ def op8_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    """The digests are taken from the ids of the packed pieces; the ids stay out of the result."""
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
