@@ -2,11 +2,11 @@
 
 A document is its token ids and an end id. Longer ones are cut into full pieces, the first one taking the remainder.
 Pieces are dealt by hash into blocks of a bounded number of pieces, and each block is packed by bin completion, a
-branch-and-bound search: around the largest piece left, undominated fillings of the rest of the sequence are tried
-fullest first; a branch whose waste already exceeds what the best known packing may waste is cut. Best-fit decreasing
-gives the first best known packing, and the search stops at the lower bound ceil(total / capacity) or after
-`search_nodes` nodes, keeping the best packing so far (valid in any case). Splitting into blocks costs less than one
-sequence a block.
+branch-and-bound search: around the largest piece left, undominated fillings of the rest of the sequence, of any
+number of pieces, are tried fullest first; a branch whose waste already exceeds what a better packing may waste is cut.
+Best-fit decreasing or a greedy packing gives the first best known packing, and the search stops at the lower bound (by
+total length, and by the most pieces a sequence can hold) or after `search_nodes` nodes, keeping the best packing so far
+(valid in any case). Splitting into blocks costs less than one sequence a block.
 
 Defined cases: null text = empty text (one piece, the end id); repeated rows are packed one by one; other columns are
 ignored; an empty table gives an empty result.
@@ -106,13 +106,61 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(counts: list[int], present: int, room: int, most: int = 4) -> list[tuple[int, ...]]:
-    """Undominated ways to fill `room` beside the largest piece, fullest first, at most `most` of them.
+def fillings(counts: list[int], present: int, room: int, top: int) -> Iterator[tuple[int, ...] | None]:
+    """Undominated ways to fill `room` beside one piece of the largest length `top`, of any number of pieces, fullest first, one at a time.
 
-    Considered: the largest piece that fits alone, and for each first piece the best second one, and the best pair after
-    it. A filling is dominated if one of its pieces could be swapped for a longer piece left over that still fits; taking
-    for each first piece the longest partner that fits leaves none such among those of the same shape.
+    A filling is dominated if a piece left over fits into its waste or could take the place of a shorter piece of it;
+    None stands for each of those, so that the caller can count them. The sums that the pieces up to each length can
+    reach are worked out first, so every branch of the enumeration ends in a filling. The counts must be those of the
+    call whenever the next filling is asked for.
     """
+    free = lambda x: counts[x] - (x == top)
+    if room > 0 and free(room):
+        yield (room,)  # a piece that fills the room dominates every other filling
+        return
+    lengths, left = [], present & ((1 << (room + 1)) - 1) if room > 0 else 0
+    while left:
+        low = left & -left
+        lengths.append(low.bit_length() - 1)
+        left ^= low
+    mask = (1 << (room + 1)) - 1
+    reach = [1]  # bit s of reach[k]: the k shortest lengths can add up to s
+    for x in lengths:
+        sums = reach[-1]
+        for _ in range(min(free(x), room // x)):
+            wider = sums | (sums << x) & mask
+            if wider == sums:
+                break
+            sums = wider
+        reach.append(sums)
+
+    def dominated(filling: tuple[int, ...], waste: int) -> bool:
+        for x in {0, *filling}:
+            for y in range(x + 1, min(x + waste, room) + 1):
+                if free(y) > filling.count(y):
+                    return True
+        return False
+
+    for total in range(room, -1, -1):
+        if not reach[-1] >> total & 1:
+            continue
+        # Longest pieces first: (lengths still usable, sum still missing, pieces taken).
+        stack: list[tuple[int, int, tuple[int, ...]]] = [(len(lengths), total, ())]
+        while stack:
+            k, missing, taken = stack.pop()
+            if not missing:
+                yield None if total < room and dominated(taken, room - total) else taken
+                continue
+            while k and not reach[k - 1] >> missing & 1 and lengths[k - 1] > missing:
+                k -= 1
+            x = lengths[k - 1]
+            for n in range(min(free(x), missing // x) + 1):  # most pieces of the longest length come off the stack first
+                if reach[k - 1] >> (missing - n * x) & 1:
+                    stack.append((k - 1, missing - n * x, taken + (x,) * n))
+
+
+def near_filling(counts: list[int], present: int, room: int) -> tuple[int, ...]:
+    """A full filling of up to four pieces that begins with one of the longest: quick, for a first packing only."""
 
     def largest(limit: int, used: tuple[int, ...] = ()) -> int:
         below = present & ((1 << (limit + 1)) - 1) if limit > 0 else 0
@@ -126,9 +174,9 @@ def fillings(counts: list[int], present: int, room: int, most: int = 4) -> list[
     found: dict[tuple[int, ...], int] = {}
     first = largest(room)
     if not first:
-        return [()]
+        return ()
     if first == room:
-        return [(room,)]  # a piece that fills the room dominates every other filling
+        return (room,)
     tried = 0
     while first and tried < 24:
         tried += 1
@@ -145,17 +193,49 @@ def fillings(counts: list[int], present: int, room: int, most: int = 4) -> list[
         if sum(filling) == room:
             break
         first = largest(first - 1)
-    return sorted(found, key=lambda f: (-found[f], len(f), tuple(-x for x in f)))[:most]
+    return min(found, key=lambda f: (-found[f], len(f), tuple(-x for x in f)))
+
+
+def near_fit(order: list[int], capacity: int) -> list[list[int]]:
+    """A packing that gives the longest piece left a `near_filling`, again and again."""
+    counts = [0] * (capacity + 1)
+    for x in order:
+        counts[x] += 1
+    present = sum(1 << x for x in range(1, capacity + 1) if counts[x])
+    bins = []
+    while present:
+        bin_: list[int] = []
+        for part in (lambda: (present.bit_length() - 1,), lambda: near_filling(counts, present, capacity - bin_[0])):
+            taken = part()
+            for x in taken:
+                counts[x] -= 1
+                if not counts[x]:
+                    present ^= 1 << x
+            bin_ += taken
+        bins.append(bin_)
+    return bins
+
+
+def lower_bound(order: list[int], capacity: int) -> int:
+    """Sequences needed at least: by the sum of the lengths, and by the most pieces that one sequence can hold."""
+    room, most = capacity, 0
+    for x in reversed(order):
+        room -= x
+        if room < 0:
+            break
+        most += 1
+    return max(-(-sum(order) // capacity), -(-len(order) // max(1, most)))
 
 
 def pack(lengths: list[int], capacity: int, search_nodes: int = 20_000) -> list[list[int]]:
-    """Bins of lengths: bin completion with best-fit decreasing as the first incumbent."""
+    """Bins of lengths: bin completion from the better of best-fit decreasing and `near_fit`."""
     order = sorted(lengths, reverse=True)
     best = best_fit(order, capacity)
     total = sum(order)
-    bound = -(-total // capacity)
+    bound = lower_bound(order, capacity)
     if len(best) <= bound or not order:
         return best
+    best = min(best, near_fit(order, capacity), key=len)
     counts = [0] * (capacity + 1)
     for x in order:
         counts[x] += 1
@@ -171,30 +251,29 @@ def pack(lengths: list[int], capacity: int, search_nodes: int = 20_000) -> list[
             present = present | (1 << x) if counts[x] else present & ~(1 << x)
 
     # Depth-first with an explicit stack: (fillings still to try around the largest piece, that piece).
-    stack: list[tuple[int, list[tuple[int, ...]]]] = []
+    stack: list[tuple[int, Iterator[tuple[int, ...] | None]]] = []
 
     def descend() -> None:
-        top = present.bit_length() - 1
-        take((top,), 1)
-        options = fillings(counts, present, capacity - top)
-        take((top,), -1)
-        stack.append((top, options[::-1]))
+        stack.append((top := present.bit_length() - 1, fillings(counts, present, capacity - top, top)))
 
     descend()
     while stack and nodes < search_nodes and len(best) > bound:
         top, options = stack[-1]
-        if not options:
+        rest = next(options, False)
+        if rest is None:
+            nodes += 1
+            continue
+        spent = 0 if rest is False else capacity - top - sum(rest)
+        # Fillings come fullest first: once one wastes more than any packing with fewer sequences may, so do all others.
+        if rest is False or waste + spent > (len(best) - 1) * capacity - total:
             stack.pop()
             if path:
                 undone = path.pop()
                 take(undone, -1)
                 waste -= capacity - sum(undone)
             continue
-        bin_ = (top, *options.pop())
+        bin_ = (top, *rest)
         nodes += 1
-        spent = capacity - sum(bin_)
-        if waste + spent > (len(best) - 1) * capacity - total and spent:
-            continue  # no packing with fewer sequences than the incumbent wastes that much
         take(bin_, 1)
         path.append(bin_)
         waste += spent
