@@ -4,143 +4,242 @@ Both models are n-gram models of order 4 over one shared vocabulary, the 256 byt
 smoothing: 4-grams back off to 2-grams and these to single bytes, each with a prior of `prior` pseudo-counts. They are
 matched in size: the background's counts, taken over all documents, are scaled to the number of tokens of the target.
 A document's score is the mean over its tokens of (target loss - background loss) in nats; lower is nearer the target.
+A document is scored without itself: its own counts are taken out of the background, and, if it belongs to the target,
+out of the target, so that having been counted does not make it look near.
 
-Counts are added up by Spark over every token of every document. The tables have fixed sizes: 2**22 hashed 4-grams,
-2**20 hashed 3-byte contexts, all 2-grams and all bytes, so what is broadcast for scoring is bounded whatever the input.
+Counts are exact: a run of four bytes is one 32-bit key, Spark adds the keys up over every token of every document into
+a written table, which grows with the corpus, and contexts, pairs and bytes follow from it. The table is cut into
+ranges of contexts of at most about `most_sent` keys. Scoring sends one range after the other to the tasks; a token's
+loss needs its own context only, so the ranges' sums add up to the loss with the whole table, and what is sent at once
+stays bounded however many keys there are.
 
 Defined cases: null or empty text = no tokens, losses and score 0.0; repeated rows each give a row and count each; no
-target document: every target count is 0 and the scores compare a uniform model; other columns are ignored.
+target document: every target count is 0 and the scores compare a uniform model; other columns are ignored; a null
+doc_id never belongs to the target. A text of any length is one sequence.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitlake.llm.common import utf8
+from hitlake.llm.common import materialise, utf8
 
-#: Table number: entries. 0 bytes, 1 pairs, 2 contexts of three bytes, 3 runs of four bytes.
-SIZES = (1 << 8, 1 << 16, 1 << 20, 1 << 22)
 START = 10  # a line feed stands before each text
+MOST_SENT_IDS = 1_000_000  # target ids of 8 bytes that are sent to the tasks; more of them meet the documents in a shuffle
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each byte of a text: the table entries of itself, its pair, its context and its run of four."""
-    wide = np.empty(len(data) + 3, np.uint64)
+def keys(data: np.ndarray) -> np.ndarray:
+    """For each byte of a text the run of four bytes that ends there."""
+    wide = np.empty(len(data) + 3, np.uint32)
     wide[:3] = START
     wide[3:] = data
-    before = wide[:-3] << np.uint64(16) | wide[1:-2] << np.uint64(8) | wide[2:-1]
-    run = before << np.uint64(8) | wide[3:]
-    hashed = lambda x, bits: ((x * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
-    return wide[3:].astype(np.int64), (run & np.uint64(0xFFFF)).astype(np.int64), hashed(before, 20), hashed(run, 22)
+    return wide[:-3] << np.uint32(24) | wide[1:-2] << np.uint32(16) | wide[2:-1] << np.uint32(8) | wide[3:]
 
 
-def slabs(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
-    """(document, its bytes) in pieces of bounded size; a very long text starts anew with each piece."""
-    for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-        for at in range(lo, hi, most):
-            yield i, data[at : min(hi, at + most)]
+def tallied(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys ascending, how often each)."""
+    ordered = np.sort(found)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[first], np.diff(np.concatenate([first, [len(ordered)]]))
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of several tallies."""
+    found, n = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    order = np.argsort(found, kind="stable")
+    found, n = found[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+    return found[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """(doc_id, text, is_target). The ids are sent to the tasks if they are few by count; else both sides are shuffled."""
+    ids = materialise(target_ids.select(F.col("doc_id").alias("_target_id")).where("_target_id is not null").distinct())
+    ids = F.broadcast(ids) if ids.count() <= MOST_SENT_IDS else ids.hint("merge")
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return own.join(ids, own["doc_id"] == ids["_target_id"], "left").select("doc_id", "text", F.col("_target_id").isNotNull().alias("is_target"))
 
 
 def count(docs: DataFrame) -> DataFrame:
-    """(part, entry, target, background) summed over all documents of (text, is_target)."""
+    """(key, target, background) summed over all tokens of all documents (text, is_target)."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros((2, n), np.int64) for n in SIZES]
+        sums: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             flags = batch.column(1).to_numpy(zero_copy_only=False)
             for target in (0, 1):
                 held, size = [], 0
-                for i, piece in slabs(data, offsets):
-                    if flags[i] == target:
-                        held.append(grams(piece))
-                        size += len(piece)
+                for i in np.flatnonzero(flags == target).tolist():
+                    held.append(keys(data[offsets[i] : offsets[i + 1]]))
+                    size += len(held[-1])
                     if size > 1 << 21:
-                        _add(sums, held, target)
+                        sums[target].append(tallied(np.concatenate(held)))
                         held, size = [], 0
-                _add(sums, held, target)
-        for part, both in enumerate(sums):
-            at = np.flatnonzero(both.any(axis=0))
-            for lo in range(0, len(at), 100_000):
-                e = at[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), part, np.int32)), pa.array(e.astype(np.int32)), pa.array(both[1, e]), pa.array(both[:, e].sum(axis=0))], names=["part", "entry", "target", "background"])
+                if held:
+                    sums[target].append(tallied(np.concatenate(held)))
+                if len(sums[target]) > 16:
+                    sums[target] = [added(sums[target])]
+        for target in (0, 1):
+            if sums[target]:
+                found, n = added(sums[target])
+                for lo in range(0, len(found), 100_000):
+                    part = n[lo : lo + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(found[lo : lo + 100_000].astype(np.int64)), pa.array(part * target), pa.array(part)], names=["key", "target", "background"])
 
     rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("is_target").cast("int"), F.lit(0)).alias("is_target"))
-    counted = rows.mapInArrow(tally, "part int, entry int, target bigint, background bigint")
-    return counted.groupBy("part", "entry").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def _add(sums: list[np.ndarray], held: list[tuple[np.ndarray, ...]], target: int) -> None:
-    if held:
-        for part in range(4):
-            sums[part][target] += np.bincount(np.concatenate([h[part] for h in held]), minlength=SIZES[part])
+    counted = rows.mapInArrow(tally, "key bigint, target bigint, background bigint")
+    return counted.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
+@dataclass
 class Models:
-    """Log-probability tables of both models, from summed counts."""
-
-    def __init__(self, counts: pa.Table, prior: float = 4.0):
-        part, entry = (counts.column(c).to_numpy() for c in ("part", "entry"))
-        self.prior, self.tables = prior, {}
-        total = {}
-        for name in ("target", "background"):
-            value = counts.column(name).to_numpy().astype(np.float64)
-            total[name] = value[part == 0].sum()
-            self.tables[name] = []
-            for k, n in enumerate(SIZES):
-                table = np.zeros(n, np.float32)
-                table[entry[part == k]] = value[part == k]
-                self.tables[name].append(table)
-        scale = total["target"] / total["background"] if total["background"] else 1.0
-        if total["target"]:
-            self.tables["background"] = [(t * scale).astype(np.float32) for t in self.tables["background"]]
-        self.totals = {name: float(tables[0].sum()) for name, tables in self.tables.items()}
-
-    def losses(self, data: np.ndarray) -> tuple[float, float]:
-        """Summed loss of a piece of text under the target and the background."""
-        one, two, context, four = grams(data)
-        previous = two >> 8
+    """The written counts and their totals."""
+
+    counts: DataFrame  # key, target, background
+    pairs: np.ndarray  # (2, 65536): target and background
+    cuts: list[int]  # contexts at which a new range begins
+    prior: float
+
+    @property
+    def totals(self) -> np.ndarray:
+        return self.pairs.sum(axis=1)
+
+    def part(self, i: int) -> Part:
+        lo, hi = self.cuts[i] << 8, (self.cuts[i + 1] << 8) if i + 1 < len(self.cuts) else 1 << 32
+        rows = self.counts.where((F.col("key") >= lo) & (F.col("key") < hi)).toArrow()
+        found = rows.column("key").to_numpy().astype(np.uint32)
+        order = np.argsort(found)
+        both = np.stack([rows.column(c).to_numpy()[order] for c in ("target", "background")])
+        return Part(found[order], both, self.pairs, self.prior, lo, hi)
+
+
+class Part:
+    """The counts of a range of contexts, with an exact look-up table (open addressing) of its keys."""
+
+    def __init__(self, found: np.ndarray, both: np.ndarray, pairs: np.ndarray, prior: float, lo: int = 0, hi: int = 1 << 32):
+        self.found, self.both, self.pairs, self.prior, self.lo, self.hi = found, both, pairs, prior, lo, hi
+        context = found >> np.uint32(8)
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(found) else np.zeros(0, np.int64)
+        self.contexts = context[first]
+        self.context_sums = np.add.reduceat(both, first, axis=1) if len(first) else np.zeros((2, 0), np.int64)
+        bits = max(4, int(2 * len(found)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        waiting, at = np.arange(len(found)), self._slot(found)
+        while len(waiting):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = waiting[free]
+            open_ = self.slots[at] != waiting
+            waiting, at = waiting[open_], (at[open_] + 1) & self.mask
+        self.singles = pairs.reshape(2, 256, 256).sum(axis=1)  # counts of a byte
+        self.before = pairs.reshape(2, 256, 256).sum(axis=2)  # counts of a byte that has one after it
+        self.total = pairs.sum(axis=1)
+        self.scale = np.array([1.0, self.total[0] / self.total[1] if self.total[0] and self.total[1] else 1.0])
+
+    def _slot(self, asked: np.ndarray) -> np.ndarray:
+        return ((asked.astype(np.uint64) * _MIX) >> self.shift).astype(np.int64)
+
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where there is none."""
+        out = np.full(len(asked), -1, np.int64)
+        open_, at = np.arange(len(asked)), self._slot(asked)
+        while len(open_) and len(self.found):
+            got = self.slots[at]
+            hit = got >= 0
+            same = hit.copy()
+            same[hit] = self.found[got[hit]] == asked[open_[hit]]
+            out[open_[same]] = got[same]
+            go = hit & ~same
+            open_, at = open_[go], (at[go] + 1) & self.mask
+        return out
+
+    def losses(self, asked: np.ndarray, n: np.ndarray, is_target: bool, counted: bool = True) -> tuple[float, float]:
+        """Summed losses of a document's distinct keys (ascending, n of each) under both models, those of this range only.
+
+        `counted`: the document is one of those that were counted, so its own counts are taken out.
+        """
+        own = np.array([float(counted and is_target), float(counted)])
+        pair, inverse = np.unique(asked & np.uint32(0xFFFF), return_inverse=True)
+        pair, own_pair = pair.astype(np.int64), np.bincount(inverse, n)
+        one, before = pair & 255, pair >> 8
+        own_one, own_before = np.bincount(one, own_pair, 256), np.bincount(before, own_pair, 256)
+        length = n.sum()
+        if self.lo or self.hi < 1 << 32:
+            lo, hi = np.searchsorted(asked, np.array([self.lo, self.hi - 1], np.uint64), "left")
+            hi += hi < len(asked) and asked[hi] == self.hi - 1
+            asked, n, inverse = asked[lo:hi], n[lo:hi], inverse[lo:hi]
+        if not len(asked):
+            return 0.0, 0.0
+        place = self.find(asked)
+        context = asked >> np.uint32(8)
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        own_context = np.add.reduceat(n, first)
+        if len(self.contexts):
+            at = np.minimum(np.searchsorted(self.contexts, context[first]), len(self.contexts) - 1)
+            known = self.contexts[at] == context[first]
+        else:
+            at, known = np.zeros(len(first), np.int64), np.zeros(len(first), bool)
+        spread = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(asked)]])))
         out = []
-        for name in ("target", "background"):
-            t1, t2, t3, t4 = self.tables[name]
-            p = (t1[one] + 1.0) / (self.totals[name] + 256.0)
-            p = (t2[two] + self.prior * p) / (t1[previous] + self.prior)
-            p = (t4[four] + self.prior * p) / (np.maximum(t3[context], t4[four]) + self.prior)
-            out.append(float(-np.log(p).sum()))
+        for m in (0, 1):
+            left = lambda value, mine: np.maximum(value - own[m] * mine, 0.0) * self.scale[m]  # noqa: B023, E731
+            p = (left(self.singles[m][one], own_one[one]) + 1.0) / (left(self.total[m], length) + 256.0)
+            p = (left(self.pairs[m][pair], own_pair) + self.prior * p) / (left(self.before[m][before], own_before[before]) + self.prior)
+            four = left(np.where(place >= 0, self.both[m][place], 0) if len(self.found) else np.zeros(len(asked)), n)
+            three = left(np.where(known, self.context_sums[m][at], 0) if len(self.contexts) else np.zeros(len(first)), own_context)
+            p = (four + self.prior * p[inverse]) / (three[spread] + self.prior)
+            out.append(float(-(np.log(p) * n).sum()))
         return out[0], out[1]
 
 
-def fit(docs: DataFrame, target_ids: DataFrame) -> Models:
-    """Models from all documents; `target_ids` has the doc_id of the target's documents.
-
-    The ids grow with the corpus, so they always meet the documents in a shuffle join, never by broadcast.
-    """
-    ids = target_ids.select(F.col("doc_id").alias("_target_id")).where("_target_id is not null").distinct().hint("merge")
-    marked = docs.join(ids, docs["doc_id"] == ids["_target_id"], "left").select(docs["text"], F.col("_target_id").isNotNull().alias("is_target"))
-    return Models(count(marked).toArrow())
-
-
-def score_documents(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (means per token), score = their difference."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # tables of fixed size, about 40 MB
-
-    @F.arrow_udf("struct<n_tokens: bigint, target_loss: double, background_loss: double>")
-    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        models = shared.value
-        for column in columns:
-            data, offsets = utf8(column)
-            n = np.diff(offsets)
-            sums = np.zeros((2, len(n)))
-            for i, piece in slabs(data, offsets):
-                sums[:, i] += models.losses(piece)
-            mean = sums / np.maximum(n, 1)
-            yield pa.StructArray.from_arrays([pa.array(n), pa.array(mean[0]), pa.array(mean[1])], names=["n_tokens", "target_loss", "background_loss"])
-
-    scored = docs.select("doc_id", run(F.col("text").cast("string")).alias("s")).select("doc_id", "s.*")
-    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+def fit(rows: DataFrame, prior: float = 4.0, most_sent: int = 4_000_000) -> Models:
+    """Models from all documents, rows of `marked`. What comes to the driver is bounded: pairs, and counts by first byte of a context."""
+    counts = materialise(count(rows))
+    pair = F.col("key").bitwiseAND(0xFFFF)
+    pairs = np.zeros((2, 1 << 16))
+    for r in counts.groupBy(pair.alias("pair")).agg(F.sum("target").alias("t"), F.sum("background").alias("b")).collect():
+        pairs[:, r["pair"]] = r["t"], r["b"]
+    # Contexts by their first two bytes: at most 65,536 sums, and at most 65,536 keys under one of them.
+    sizes = counts.groupBy(F.shiftright("key", 16).alias("top")).agg(F.count("*").alias("n")).orderBy("top").collect()
+    cuts, held = [0], 0
+    for r in sizes:
+        if held and held + r["n"] > most_sent:
+            cuts.append(r["top"] << 8)
+            held = 0
+        held += r["n"]
+    return Models(counts, pairs, cuts, prior)
+
+
+def score_documents(rows: DataFrame, models: Models, counted: bool = True) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss (means per token), score = their difference, for rows of `marked`."""
+    context = rows.sparkSession.sparkContext
+
+    def losses(shared):
+        @F.arrow_udf("struct<n: bigint, target: double, background: double>")
+        def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            part = shared.value
+            for column, flags in columns:
+                data, offsets = utf8(column)
+                flag = flags.to_numpy(zero_copy_only=False)
+                n, sums = np.diff(offsets), np.zeros((2, len(offsets) - 1))
+                for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                    if hi > lo:
+                        sums[:, i] = part.losses(*tallied(keys(data[lo:hi])), bool(flag[i]), counted)
+                yield pa.StructArray.from_arrays([pa.array(n), pa.array(sums[0]), pa.array(sums[1])], names=["n", "target", "background"])
+
+        return run
+
+    parts = [losses(context.broadcast(models.part(i)))("text", "is_target") for i in range(len(models.cuts))]
+    scored = rows.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce("is_target", F.lit(False)).alias("is_target")).select("doc_id", *[p.alias(f"_part{i}") for i, p in enumerate(parts)])
+    whole = lambda c: sum((F.col(f"_part{i}.{c}") for i in range(1, len(parts))), F.col(f"_part0.{c}"))
+    per = F.greatest(F.col("_part0.n"), F.lit(1))
+    out = scored.select("doc_id", F.col("_part0.n").alias("n_tokens"), (whole("target") / per).alias("target_loss"), (whole("background") / per).alias("background_loss"))
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -19,7 +19,8 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents that `labels` marks as good quality."""
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lm_scoring.score_documents(docs, lm_scoring.fit(docs, good))
+    rows = lm_scoring.marked(docs, good)
+    return lm_scoring.score_documents(rows, lm_scoring.fit(rows))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
+import math
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -50,33 +53,82 @@ def test_quality_does_not_depend_on_neighbours_in_a_batch():
         assert value == pytest.approx(float(Q.sigmoid(hidden @ net.out + net.out_bias)), abs=1e-4)
 
 
-def test_lm_counts_and_losses(spark, odd, small, none):
-    text = odd.select("doc_id", "text")
-    counts = L.count(text.selectExpr("text", "doc_id = 1 as is_target")).toPandas()
-    raw = [(r["text"] or "").encode() for r in text.collect()]
-    for b in (ord("a"), ord(" "), 0xC3):
-        row = counts[(counts.part == 0) & (counts.entry == b)]
-        assert (row.background.sum() if len(row) else 0) == sum(t.count(b) for t in raw)
-    pair = counts[(counts.part == 1) & (counts.entry == (ord("t") << 8 | ord("a")))]
-    assert pair.background.sum() == sum(t[i : i + 2] == b"ta" for t in raw for i in range(len(t)))
-    models = L.fit(small, small.where("lang = 'en'").select("doc_id"))
-    rows = {r["doc_id"]: r for r in L.score_documents(small, models).collect()}
+def brute_losses(texts, flags, which, prior=4.0):
+    """Losses of one text under both models of all the others, token by token with plain dictionaries."""
+    out = []
+    n_target = sum(len(t) for t, f in zip(texts, flags) if f)
+    n_all = sum(map(len, texts))
+    for model in (0, 1):
+        scale = 1.0 if model == 0 or not n_target else n_target / n_all
+        grams = [Counter(), Counter(), Counter(), Counter()]  # runs of four, contexts, pairs, bytes
+        before = Counter()
+        for i, (t, f) in enumerate(zip(texts, flags)):
+            if i == which or (model == 0 and not f):
+                continue
+            wide = b"\n\n\n" + t
+            for j in range(len(t)):
+                for g, gram in zip(grams, (wide[j : j + 4], wide[j : j + 3], wide[j + 2 : j + 4], wide[j + 3 : j + 4])):
+                    g[gram] += scale
+                before[wide[j + 2]] += scale
+        wide, loss = b"\n\n\n" + texts[which], 0.0
+        for j in range(len(texts[which])):
+            p = (grams[3][wide[j + 3 : j + 4]] + 1) / (sum(grams[3].values()) + 256)
+            p = (grams[2][wide[j + 2 : j + 4]] + prior * p) / (before[wide[j + 2]] + prior)
+            p = (grams[0][wide[j : j + 4]] + prior * p) / (grams[1][wide[j : j + 3]] + prior)
+            loss -= math.log(p)
+        out.append(loss / max(1, len(texts[which])))
+    return out
+
+
+@pytest.mark.parametrize("most_sent", [4_000_000, 40])
+def test_lm_scores_match_brute_force(spark, most_sent):
+    rng = random.Random(9)
+    texts = ["", "a", "the cat sat on the mat", "the cat sat on the mat", "Über das Meer \U0001f600", *["".join(rng.choices("abc \n\xe9z", k=rng.randint(1, 60))) for _ in range(12)]]
+    flags = [i % 3 == 0 for i in range(len(texts))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, None)], "doc_id long, text string")
+    rows = L.marked(df, spark.createDataFrame([(i,) for i, f in enumerate(flags) if f] + [(None,)], "doc_id long"))
+    models = L.fit(rows, most_sent=most_sent)
+    assert (len(models.cuts) > 1) == (most_sent == 40)
+    got = {r["doc_id"]: r for r in L.score_documents(rows, models).collect()}
+    raw = [t.encode() for t in texts]
+    for i in range(len(texts)):
+        want = brute_losses(raw, flags, i)
+        assert (got[i]["target_loss"], got[i]["background_loss"]) == pytest.approx(want, abs=1e-9), i
+        assert got[i]["score"] == pytest.approx(want[0] - want[1], abs=1e-9) and got[i]["n_tokens"] == len(raw[i])
+    assert got[None]["n_tokens"] == 0 and got[None]["score"] == 0.0
+
+
+def test_lm_long_text_is_one_sequence(spark):
+    """Over 2 MiB: the counts are those of the whole text."""
+    text = "".join(random.Random(1).choices("abcdefgh \n", k=2_400_000))
+    rows = spark.createDataFrame([(1, text, True), (2, "abc", False)], "doc_id long, text string, is_target boolean")
+    counts = {r["key"]: (r["target"], r["background"]) for r in L.count(rows).collect()}
+    wide = b"\n\n\n" + text.encode()
+    want = Counter(int.from_bytes(wide[i : i + 4], "big") for i in range(len(text)))
+    assert sum(t for t, _ in counts.values()) == len(text) and all(counts[k][0] == n for k, n in want.items())
+    assert np.isfinite(L.score_documents(rows, L.fit(rows)).first()["score"])
+
+
+def test_lm_of_real_and_odd_documents(spark, odd, small, none):
+    rows = L.marked(small, small.where("lang = 'en'").select("doc_id"))
+    scored = {r["doc_id"]: r for r in L.score_documents(rows, L.fit(rows)).collect()}
     lang = {r["doc_id"]: r["lang"] for r in small.collect()}
-    english, other = ([rows[d]["score"] for d in rows if (lang[d] == "en") == e] for e in (True, False))
+    english, other = ([scored[d]["score"] for d in scored if (lang[d] == "en") == e] for e in (True, False))
     assert max(np.median(english), 0) < np.median(other)
-    scored = L.score_documents(odd, models).collect()
-    assert len(scored) == odd.count() and all(np.isfinite(r["score"]) for r in scored)
-    assert {r["score"] for r in scored if r["n_tokens"] == 0} == {0.0}
-    assert L.score_documents(none, L.fit(none, none.select("doc_id"))).collect() == []
+    rows = L.marked(odd, odd.limit(2).select("doc_id"))
+    found = L.score_documents(rows, L.fit(rows)).collect()
+    assert len(found) == odd.count() and all(np.isfinite(r["score"]) for r in found)
+    assert {r["score"] for r in found if r["n_tokens"] == 0} == {0.0}
+    blank = L.marked(none, none.select("doc_id"))
+    assert L.score_documents(blank, L.fit(blank)).collect() == []
 
 
 def test_lm_probabilities_add_up():
-    """Over the next byte the probabilities of both models sum to about one (hash collisions aside)."""
+    """Over the next byte the probabilities of a model sum to one."""
     data = np.frombuffer(b"abab abba baba abab " * 50, np.uint8)
-    parts = L.grams(data)
-    rows = [(p, e, c, c) for p in range(4) for e, c in zip(*np.unique(parts[p], return_counts=True))]
-    table = pa.table({n: [int(r[i]) for r in rows] for i, n in enumerate(("part", "entry", "target", "background"))})
-    models = L.Models(table)
-    loss = lambda t: models.losses(np.frombuffer(t, np.uint8))[0]
+    found, n = L.tallied(L.keys(data))
+    pairs = np.stack([np.bincount((found & 0xFFFF).astype(int), n, 1 << 16)] * 2)
+    part = L.Part(found, np.stack([n, n]), pairs, 4.0)
+    loss = lambda t: part.losses(*L.tallied(L.keys(np.frombuffer(t, np.uint8))), False, counted=False)[0]
     total = sum(np.exp(loss(b"aba") - loss(b"aba" + bytes([b]))) for b in range(256))
-    assert total == pytest.approx(1, abs=0.02)
+    assert total == pytest.approx(1, abs=1e-3)
