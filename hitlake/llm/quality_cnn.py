@@ -5,8 +5,8 @@ filter is one weight per place and byte value, so a convolution is a sum of tabl
 bytes, one every 256, cover the whole document; each filter's response is max-pooled within every chunk, and the chunk
 maxima are combined by their mean, maximum and minimum over the document into one probability by a logistic unit.
 
-Training: at most `sample_docs` labelled documents (smallest hashes of doc_id), each giving at most `sample_chunks`
-pairs of neighbouring chunks spread over its whole length. Both bounds are parameters. Labels are read by the caller.
+Training: at most `sample_docs` labelled documents (smallest hashes of doc_id; the bound is a parameter), each with its
+whole text and the same pooling as in scoring. Labels are read by the caller.
 
 Defined cases: null text = empty text, scored as one block of padding; repeated rows each give a row; a document with
 several labels takes the larger one; without labels every score is 0.5; other columns are ignored.
@@ -109,75 +109,79 @@ def score(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- training
 
 
-def sample_chunks(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000, chunks: int = 12) -> pd.DataFrame:
-    """(doc_id, label, data): for each sampled document up to `chunks` stretches of two blocks plus a filter's width."""
+def sample_texts(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000) -> pd.DataFrame:
+    """(doc_id, label, data): the whole texts, as UTF-8 bytes, of at most `sample_docs` labelled documents."""
     chosen = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = bounded_sample(chosen, sample_docs, "doc_id")
-
-    @F.arrow_udf("array<binary>")
-    def spread(column: pa.Array) -> pa.Array:
-        data, offsets = utf8(column)
-        out = []
-        for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            n = max(1, -(-(hi - lo) // BLOCK) - 1)
-            out.append([data[lo + BLOCK * i : min(hi, lo + BLOCK * i + 2 * BLOCK + WIDTH)].tobytes() for i in np.unique(np.linspace(0, n - 1, min(n, chunks)).astype(int)).tolist()])
-        return pa.array(out, pa.list_(pa.binary()))
-
     # The sample has a fixed bound of small rows (an id and a label each), so it may be broadcast. Of repeated rows one is used.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    rows = rows.select("doc_id", "label", spread(F.col("text").cast("string")).alias("data"))
+    rows = rows.select("doc_id", "label", F.coalesce(F.encode(F.col("text").cast("string"), "UTF-8"), F.lit(b"")).alias("data"))
     return rows.toPandas().sort_values("doc_id", ignore_index=True)
 
 
+def peaks(net: Network, symbols: np.ndarray, starts: np.ndarray, slab: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """The largest response of each filter in each block, and where it stands."""
+    values, at = [], []
+    for lo in range(0, len(starts), slab // BLOCK):
+        response, places = net.blocks(symbols, starts[lo : lo + slab // BLOCK])
+        arg = response.argmax(axis=1)
+        values.append(np.take_along_axis(response, arg[:, None], axis=1)[:, 0])
+        at.append(np.take_along_axis(places, arg, axis=1))
+    return np.concatenate(values), np.concatenate(at)
+
+
+def gradient(net: Network, symbols: np.ndarray, starts: np.ndarray, blocks: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the mean log loss of a batch: the form that `score` uses, over every chunk of every document.
+
+    Only the place of a chunk's largest response passes gradient on to the filters: that of each chunk for the mean, that
+    of the largest and of the smallest chunk for maximum and minimum.
+    """
+    filters = len(net.bias)
+    value, place = peaks(net, symbols, starts)
+    ends = np.cumsum(blocks)
+    counts = np.maximum(blocks - 1, 1)
+    owner = np.repeat(np.arange(len(blocks)), counts)
+    left = np.concatenate([np.arange(e - n, max(e - 1, e - n + 1)) for e, n in zip(ends.tolist(), blocks.tolist())])
+    right = np.where(np.repeat(blocks, counts) == 1, left, left + 1)
+    later = value[right] > value[left]
+    chunk, at = np.where(later, value[right], value[left]), np.where(later, place[right], place[left])
+    begins = np.cumsum(counts) - counts
+    pooled = np.concatenate([np.add.reduceat(chunk, begins) / counts[:, None], np.maximum.reduceat(chunk, begins), np.minimum.reduceat(chunk, begins)], axis=1)
+    hidden = np.maximum(pooled + np.tile(net.bias, 3), 0)
+    error = (sigmoid(hidden @ net.out + net.out_bias) - labels) / len(labels)
+    back = np.where(hidden > 0, error[:, None] * net.out[None, :], 0)
+    by_chunk = back[owner, :filters] / counts[owner, None]
+    for third in (1, 2):
+        part = slice(third * filters, (third + 1) * filters)
+        same = chunk == pooled[owner, part]  # neighbouring chunks may share their largest response: they share its gradient
+        by_chunk = by_chunk + back[owner, part] * same / np.add.reduceat(same, begins, dtype=np.int64)[owner]
+    tables = np.empty_like(net.tables)
+    column = np.broadcast_to(np.arange(filters), at.shape)
+    for j in range(WIDTH):
+        tables[j] = np.bincount((symbols[at + j].astype(np.int64) * filters + column).ravel(), by_chunk.ravel(), SYMBOLS * filters).reshape(SYMBOLS, filters)
+    return [tables, back.reshape(len(labels), 3, filters).sum(axis=(0, 1)), hidden.T @ error + 1e-4 * net.out, np.array([error.sum()])]
+
+
 def train(sample: pd.DataFrame, filters: int = 24, epochs: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Network:
-    """Adam on the log loss. Only the place of each chunk maximum passes gradient, so look-up tables are updated sparsely."""
+    """Adam on the log loss over whole texts."""
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.3, (WIDTH, SYMBOLS, filters)).astype(np.float32), np.zeros(filters, np.float32), rng.normal(0, 0.1, 3 * filters).astype(np.float32), 0.0)
     if not len(sample):
         return Network(net.tables, net.bias, np.zeros(3 * filters, np.float32), 0.0)
-    docs = []
-    for label, data in zip(sample["label"], sample["data"]):
-        chunks = np.full((len(data), 2 * BLOCK + WIDTH), PAD, np.uint16)
-        for row, chunk in zip(chunks, data):
-            row[: len(chunk)] = np.frombuffer(chunk, np.uint8)
-        docs.append((float(label), chunks, len(data) == 1 and len(data[0]) <= BLOCK))
-    net.out_bias = float(np.log((sum(d[0] for d in docs) + 1) / (len(docs) - sum(d[0] for d in docs) + 1)))
-    params = [net.tables, net.bias, net.out, np.array([net.out_bias], np.float32)]
+    texts = [padded(np.frombuffer(d, np.uint8), 0, len(d)) for d in sample["data"]]
+    labels = sample["label"].to_numpy(float)
+    params = [net.tables, net.bias, net.out, np.array([np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))], np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
-    column = np.arange(filters)
     for epoch in range(epochs):
-        order = rng.permutation(len(docs))
+        order = rng.permutation(len(texts))
         for lo in range(0, len(order), batch):
-            part = [docs[i] for i in order[lo : lo + batch]]
-            chunks = np.concatenate([c for _, c, _ in part])
-            owner = np.repeat(np.arange(len(part)), [len(c) for _, c, _ in part])
-            starts = np.array([(2 * BLOCK + WIDTH) * i for i in range(len(chunks))])
-            flat = chunks.reshape(-1)
-            both = np.concatenate([starts, starts + BLOCK])
-            response, places = net.blocks(flat, both)
-            response = np.concatenate([response[: len(chunks)], response[len(chunks) :]], axis=1)
-            places = np.concatenate([places[: len(chunks)], places[len(chunks) :]], axis=1)
-            short = np.array([s for _, c, s in part for _ in range(len(c))])
-            response[short, BLOCK // STRIDE :] = -np.inf  # a document of one block has no second one
-            arg = response.argmax(axis=1)
-            raw = np.take_along_axis(response, arg[:, None], axis=1)[:, 0]
-            pooled = np.maximum(raw + params[1], 0)
-            counts = np.bincount(owner, minlength=len(part))
-            begins = np.cumsum(counts) - counts
-            mean = np.add.reduceat(pooled, begins) / counts[:, None]
-            most, least = np.maximum.reduceat(pooled, begins), np.minimum.reduceat(pooled, begins)
-            hidden = np.concatenate([mean, most, least], axis=1)
-            labels = np.array([d[0] for d in part])
-            error = (sigmoid(hidden @ params[2] + params[3][0]) - labels) / len(part)
-            back = error[:, None] * params[2][None, :]
-            grad = back[owner, :filters] / counts[owner, None]
-            grad = grad + back[owner, filters : 2 * filters] * (pooled == most[owner]) + back[owner, 2 * filters :] * (pooled == least[owner])
-            grad = np.where(pooled > 0, grad, 0)
-            at = np.take_along_axis(places, arg, axis=1)  # (chunks, filters): where each maximum stands
-            grads = [np.zeros_like(params[0]), grad.sum(axis=0), hidden.T @ error + 1e-4 * params[2], np.array([error.sum()])]
-            for j in range(WIDTH):
-                np.add.at(grads[0][j], (flat[at + j], np.broadcast_to(column, at.shape)), grad)
+            part = order[lo : lo + batch]
+            blocks = np.array([texts[i][1] for i in part])
+            symbols = np.concatenate([texts[i][0] for i in part])
+            bases = np.cumsum([0, *[len(texts[i][0]) for i in part[:-1]]])
+            starts = np.concatenate([base + BLOCK * np.arange(n) for base, n in zip(bases, blocks)])
+            grads = gradient(Network(params[0], params[1], params[2], float(params[3][0])), symbols, starts, blocks, labels[part])
             step += 1
             pace = rate * (1 - 0.9 * epoch / epochs)
             for p, g, m, v in zip(params, grads, first, second):

@@ -31,7 +31,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
-    net = quality_cnn.train(quality_cnn.sample_chunks(docs, labels))
+    net = quality_cnn.train(quality_cnn.sample_texts(docs, labels))
     return quality_cnn.score_documents(docs, net).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
 
 

@@ -26,9 +26,9 @@ def test_quality_on_held_out_documents(spark):
 
 def test_quality_of_odd_documents(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1), (4, 0), (99, 1), (None, 1), (5, None)], "doc_id long, label int")
-    net = Q.train(Q.sample_chunks(odd, labels), epochs=2)
+    net = Q.train(Q.sample_texts(odd, labels), epochs=2)
     assert Q.score_documents(odd, net).count() == odd.count()
-    blank = Q.train(Q.sample_chunks(none, labels.limit(0)))
+    blank = Q.train(Q.sample_texts(none, labels.limit(0)))
     assert {r["score"] for r in Q.score_documents(odd, blank).collect()} == {0.5}
     assert Q.score_documents(none, net).collect() == []
 
@@ -53,6 +53,45 @@ def test_quality_does_not_depend_on_neighbours_in_a_batch():
         assert value == pytest.approx(float(Q.sigmoid(hidden @ net.out + net.out_bias)), abs=1e-4)
 
 
+def test_quality_gradient_is_that_of_the_score():
+    """Against differences of the log loss of `score`, on documents of one, a few and very many chunks."""
+    rng = np.random.default_rng(2)
+    net = Q.Network(rng.normal(size=(Q.WIDTH, Q.SYMBOLS, 3)), rng.normal(size=3), rng.normal(size=9), 0.1)
+    texts = ["".join(map(chr, rng.integers(97, 105, n))) for n in (0, 40, 300, 1000, 30_000)]
+    labels = np.array([0.0, 1.0, 1.0, 0.0, 1.0])
+    data, offsets = utf8(pa.array(texts))
+    parts = [Q.padded(data, a, b) for a, b in zip(offsets[:-1], offsets[1:])]
+    bases = np.cumsum([0, *[len(s) for s, _ in parts[:-1]]])
+    starts = np.concatenate([base + Q.BLOCK * np.arange(n) for base, (_, n) in zip(bases, parts)])
+    got = Q.gradient(net, np.concatenate([s for s, _ in parts]), starts, np.array([n for _, n in parts]), labels)
+
+    def loss():
+        p = Q.score(net, data, offsets)
+        return float(-(labels * np.log(p) + (1 - labels) * np.log(1 - p)).mean())
+
+    for array, grad, extra in ((net.tables, got[0], 0.0), (net.bias, got[1], 0.0), (net.out, got[2], 1e-4)):
+        flat, g = array.reshape(-1), grad.reshape(-1)
+        for i in np.argsort(-np.abs(g))[:12].tolist():
+            old = flat[i]
+            flat[i] = old + 1e-6
+            up = loss()
+            flat[i] = old - 1e-6
+            down = loss()
+            flat[i] = old
+            assert (up - down) / 2e-6 + extra * old == pytest.approx(g[i], rel=1e-3, abs=1e-6)
+
+
+def test_quality_of_long_documents(spark):
+    """What tells the labels apart stands only in the middle of texts of over 20 kB; training and scoring see it there."""
+    rng = random.Random(3)
+    fill = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(1700))
+    rows = [(i, fill() + (" zzqzzq" * 30 if i % 2 else "") + fill(), i % 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    net = Q.train(Q.sample_texts(docs, docs.where("doc_id < 40").select("doc_id", "label")), filters=8, epochs=40, batch=8, rate=0.03)
+    held = [(r["score"], i % 2) for i, r in enumerate(sorted(Q.score_documents(docs, net).collect(), key=lambda r: r["doc_id"])) if i >= 40]
+    assert min(s for s, y in held if y) > max(s for s, y in held if not y)
+
+
 def brute_losses(texts, flags, which, prior=4.0):
     """Losses of one text under both models of all the others, token by token with plain dictionaries."""
     out = []
