@@ -34,16 +34,47 @@ def test_small_texts(spark, text):
     assert tuple(row[c] for c in H.MEASURES) == brute_rules(text)
 
 
-def test_bad_host_must_pass_strict_rules(spark):
+def host_table(spark, bad):
+    """20 ordinary hosts, each with one document full of symbols; with `bad`, one more whose documents mostly fail."""
     prose = lambda k: " ".join(f"w{i * 7 + k}" for i in range(60))
-    rows = [(i, "short", "bad") for i in range(60)] + [(100, prose(1), "bad"), (101, prose(2) + " ###" * 20, "bad")]
-    rows += [(200 + i, prose(i) + (" ###" * 20 if i == 0 else ""), "good") for i in range(60)]
-    kept = {r["doc_id"]: r["kept"] for r in H.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert kept[100] and not kept[101] and kept[200] and all(kept[200 + i] for i in range(60))
+    marks = lambda k, n: prose(k) + " " + "#" * n  # noqa: E731  60 words of about 4 characters: n / 230 symbols
+    rows = [(100 * h + i, marks(i, 60) if i == 0 else marks(i, 12) if i == 1 else prose(i), f"h{h:02}") for h in range(20) for i in range(20)]
+    if bad:
+        rows += [(9000 + i, "short" if i < 15 else marks(i, 12) if i < 18 else prose(i), "bad") for i in range(20)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+@pytest.mark.parametrize("bad", [False, True])
+def test_host_standing_decides(spark, bad):
+    got = {r["doc_id"]: r for r in H.verdicts(host_table(spark, bad)).collect()}
+    for d, r in got.items():
+        if d < 9000:  # clear failures go on ordinary hosts too, slight ones stay
+            assert r["kept"] == (d % 100 != 0) and not r["base_failed"] and r["standing"] > 0.9
+        else:  # on the bad host slight ones go as well
+            assert r["kept"] == (d >= 9018) and r["base_failed"] == (d < 9015) and 0.25 <= r["standing"] < 0.4
+    assert (len(got) > 400) == bad
+
+
+def test_standing_follows_the_shrunken_rate(spark):
+    """By hand: rates, prior by moments, standing."""
+    df = host_table(spark, True)
+    measured = H.measure(df)
+    got = {r["_hl_host"]: r for r in H.host_verdicts(measured).collect()}
+    rates = {h: r["failures"] / r["docs"] for h, r in got.items()}
+    mean, spread = np.mean(list(rates.values())), np.var(list(rates.values()))
+    between = max(spread - mean * (1 - mean) / 20, mean * (1 - mean) / 1000, 1e-9)
+    strength = max(mean * (1 - mean) / between - 1, 1e-3)
+    for h, r in got.items():
+        assert r["rate"] == pytest.approx((r["failures"] + mean * strength + 0.5) / (20 + strength + 1))
+        assert r["standing"] == pytest.approx(max(0.25, min(1, (mean * strength + 0.5) / (strength + 1) / r["rate"])))
 
 
 def test_keep_documents(odd, small):
-    assert H.keep_documents(odd).columns == odd.columns
+    passed = sorted(str(r["doc_id"]) for r in H.verdicts(odd).collect() if r["kept"])
+    out = H.keep_documents(odd)
+    assert out.columns == odd.columns and sorted(str(r["doc_id"]) for r in out.collect()) == passed
+    rows = sorted(map(str, odd.collect()))
+    assert all(str(r) in rows for r in out.collect())
     kept = {r["doc_id"] for r in H.verdicts(small).collect() if r["kept"]}
     assert {r["doc_id"] for r in H.keep_documents(small).collect()} == kept
 
