@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitlake.llm.common import materialise, texts
@@ -32,23 +32,29 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 
 
 class Encoder:
-    """Ids of a byte-level BPE vocabulary file.
+    """Ids of a byte-level BPE vocabulary file, those of the `tokenizers` library's `encode` without special tokens added.
 
-    The vocabulary is read with the `tokenizers` library; `tiktoken` applies it, three times as fast, with the same ids
-    as that library's `encode` without special tokens (tests hold one against the other). Texts that spell a special
-    token are ordinary text.
+    The file is read with that library; `tiktoken` applies it, three times as fast, with the same ids (tests hold one
+    against the other). A text that spells an added token of the file goes through the library itself.
     """
 
     def __init__(self, path: str):
         import tiktoken
         from tokenizers import Tokenizer
 
-        vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+        self.exact = Tokenizer.from_file(path)
+        vocabulary = self.exact.get_vocab(with_added_tokens=False)
         shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
         hidden = [b for b in range(256) if b not in shown]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token)}
-        self.encode = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.added = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+
+    def encode(self, text: str) -> list[int]:
+        if any(token in text for token in self.added):
+            return self.exact.encode(text, add_special_tokens=False).ids
+        return self.fast(text)
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -289,10 +295,19 @@ def pack(lengths: list[int], capacity: int, search_nodes: int = 20_000) -> list[
 
 
 def pack_pieces(cut: DataFrame, capacity: int = 1024, block_pieces: int = 8192) -> DataFrame:
-    """Add sequence_id and offset to pieces, a written table. Blocks are hash buckets of about `block_pieces` pieces, ids and all."""
+    """Add sequence_id and offset to pieces, a written table. Blocks are hash buckets of about `block_pieces` pieces, ids and all.
+
+    Pieces alike in id, place and content are numbered, so that many copies spread over the blocks too; which of them
+    gets which number makes no difference. So the packing depends on the pieces alone, not on their order or files.
+    """
     blocks = max(1, -(-cut.count() // block_pieces))
-    # The row number takes part, so that repeated rows spread too; the written table gives it the same value on a retry.
-    keyed = cut.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(blocks)))
+    same = ["doc_id", "piece", "ids_crc32"]
+    keys = F.xxhash64(*same, F.col("doc_id").isNull())
+    many = materialise(cut.groupBy(keys.alias("_many")).agg(F.count("*").alias("_n")).where("_n > 1").select("_many"))
+    marked = cut.withColumn("_key", keys)
+    once, again = (marked.join(many, marked["_key"] == many["_many"], how).drop("_many") for how in ("left_anti", "left_semi"))
+    again = again.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("length")))
+    keyed = once.withColumn("_copy", F.lit(0)).unionByName(again).withColumn("_block", F.pmod(F.xxhash64("_key", "_copy"), F.lit(blocks))).drop("_key", "_copy")
     kind = cut.schema["doc_id"].dataType.simpleString()
     columns = ["doc_id", "piece", "start", "length", "ids", "ids_crc32"]
 

@@ -1,3 +1,4 @@
+import functools
 import gzip
 import hashlib
 import io
@@ -66,12 +67,15 @@ def test_members_are_read_one_by_one_and_damage_is_found():
         list(W.members(io.BytesIO(b"not gzip at all").read))
 
 
-def hugging(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(BPE)
+
+
+def hugging(text):
+    return tokenizer().encode(text, add_special_tokens=False).ids
 
 
 def test_ids_are_those_of_the_tokenizer(small):
@@ -83,6 +87,24 @@ def test_ids_are_those_of_the_tokenizer(small):
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == hugging(text), text
 
 
+def test_added_token_in_a_text():
+    assert P.Encoder(BPE).encode("x <|endoftext|> y") == [87, 220, 50256, 331]
+
+
+def test_packing_does_not_depend_on_the_layout(spark, small):
+    """Also with hundreds of copies of one row, which spread over the blocks."""
+    docs = small.select("doc_id", "text").unionByName(spark.range(400).selectExpr("7L as doc_id", "'one and the same text' as text"))
+    cut = P.materialise(P.pieces(docs, BPE))
+    found = []
+    for how in (cut.repartition(1), cut.repartition(5, "length"), cut.orderBy("ids_crc32")):
+        rows = P.pack_pieces(P.materialise(how), block_pieces=300).collect()
+        sequences = {}
+        for r in rows:
+            sequences.setdefault(r["sequence_id"], []).append((r["doc_id"], r["piece"], r["ids_crc32"], r["offset"]))
+        found.append(sorted(sorted(s, key=str) for s in sequences.values()))
+    assert found[0] == found[1] == found[2]
+
+
 def check_packing(df, rows, capacity=1024):
     by_sequence, by_doc = {}, {}
     for r in rows:
