@@ -2,7 +2,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from hitlake.llm import secrets as S
+from hitlake.llm.common import utf8
 
 
 def brute_base(text):
@@ -32,16 +37,47 @@ def test_scan(spark, small, odd):
         assert got == sorted(want)
 
 
+#: Ordinary runs that are in no training sample (fixed values).
+PLAIN = (
+    "-" * 35, "=" * 60, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "1" * 23, "0123456789" * 3, "x" * 28, "+-" * 13, "QWERTYUIOPASDFGHJKLZXCVBNM", "Donaudampfschifffahrtsgesellschaft",
+    "Kraftfahrzeughaftpflichtversicherung", "Rindfleischetikettierungsaufgabengesetz", "anticonstitutionnellement", "antidisestablishmentarianism", "electroencephalographically", "internationalization",
+    "getElementsByClassName", "information_retrieval_engine", "TheQuickBrownFoxJumps", "configuration-management", "HTTPSConnectionPoolTimeoutError", "MAX_CONNECTION_POOL_SIZE", "user_profile_image_2023_final_v2",
+    "some/path/to/the/library", "/usr/local/share/applications/mimeinfo", "src/main/java/org/apache/commons/lang3/StringUtils", "node_modules/typescript/lib/typescriptServices", "kubernetes-dashboard-metrics-scraper",
+    "4952935900253052", "2024-01-31T12-00-00", "20240131120000", "2023-11-14-backup-full-weekly-03", "DE89370400440532013000", "550e8400-e29b-41d4-a716-446655440000", "THATREOUENIN", "HEITSCHBER",
+)
+
+
 def test_models_tell_random_from_ordinary(spark, small):
+    """Held out: random strings of every kind from 24 characters on are found, ordinary runs of any length are not."""
     model = S.train(S.labelled_samples(small))
     rng = random.Random(11)
-    drawn = ["".join(rng.choices(a, k=32)) for a in S.RANDOM_ALPHABETS for _ in range(50)]
-    plain = ["getElementsByClassName", "information_retrieval_engine", "TheQuickBrownFoxJumps", "configuration-management", "internationalization", "some/path/to/the/library"]
-    assert sum(model.score(t) > 18 for t in drawn) / len(drawn) > 0.97
-    assert sum(model.score(t) > 18 for t in plain) <= 1
-    secret = "".join(rng.choices(S.ALPHABET[:62], k=40))
-    spans = S.all_spans(f"the value {secret} stands here", [], model, 18.0)
-    assert spans == [(10, 3, 50)]
+    for plain in PLAIN:
+        assert model.score(plain) < 22 or model.score(plain) < 0.75 * len(plain), plain
+    drawn = ["".join(rng.choices(a, k=rng.randint(24, 44))) for a in S.RANDOM_ALPHABETS[1:] for _ in range(100)]
+    rows = [(i, f"the value {x} stands here, é, {PLAIN[i % len(PLAIN)]}") for i, x in enumerate(drawn)]
+    got = {r["doc_id"]: r for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    hit = sum(f"markov:10:{10 + len(x)}" in got[i]["spans"].split(",") for i, x in enumerate(drawn))
+    assert hit / len(drawn) > 0.97
+    assert all(got[i]["n_markov"] <= 1 for i in got)
+
+
+def test_scores_of_runs_are_those_of_the_models(spark, small):
+    """The scores of all texts at once against the sum over a run's triples; runs never join two texts."""
+    model = S.train(S.labelled_samples(small))
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcXYZ019_ é\n-", k=rng.randint(0, 60))) for _ in range(300)]
+    data, offsets = utf8(pa.array(texts))
+    start, end, score = model.runs(np.frombuffer("\n".join(texts).encode(), np.uint8), 1)
+    joined = "\n".join(texts).encode()
+    other = model.size - 1
+    for a, b, s in zip(start.tolist(), end.tolist(), score.tolist()):
+        codes = [other, other, *[int(model.codes[c]) for c in joined[a:b]]]
+        assert s == pytest.approx(sum(float(model.ratio[x, y, z]) for x, y, z in zip(codes, codes[1:], codes[2:])), abs=1e-3)
+    found = S.added_spans(data, offsets, model, 5.0, 0.1)
+    for i, text in enumerate(texts):
+        want = [(m.start(), m.end()) for m in re.finditer(rb"[A-Za-z0-9+/_=-]{2,}", text.encode()) if (v := model.score(m.group().decode())) >= 5 and v >= 0.1 * len(m.group())]
+        assert found.get(i, []) == want
+    assert S.all_spans("é aaaa", [], [(3, 7)]) == [(2, 3, 6)] and S.all_spans("é aaaa", [(2, 0, 4)], [(3, 7)]) == [(2, 0, 4)]
 
 
 def test_redact(spark, odd):
