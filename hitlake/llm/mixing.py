@@ -6,7 +6,9 @@ then due target / source_size copies: the whole part is taken for certain, the f
 The flight phase moves these probabilities through the null-space of two constraints, the source's words and its
 documents, until no more than two fractions are left. It runs in blocks of bounded size (hash buckets of a source), and
 what each block leaves over meets again in new blocks, until one block per source is left; its landing problem, a
-dozen documents, takes the outcome nearest to the target. Whole parts and moves are seeded by the rows, so reruns agree.
+dozen documents, takes the outcome nearest to the target, and where a large one leaves it off, some more of its block change
+sides: these few do not keep their inclusion probabilities, all the others do. Moves are seeded by the rows, whatever
+their order, so reruns agree.
 
 Defined cases: null or empty text = 0 words; null source is a source of its own; a source without words has target 0;
 repeated rows are drawn one by one; no words at all: every target 0 and nothing taken; other columns are ignored by
@@ -87,29 +89,53 @@ def landing(chance: np.ndarray, size: np.ndarray, owed: float) -> np.ndarray:
     return chance.round()
 
 
+def settle(taken: np.ndarray, size: np.ndarray, free: np.ndarray, owed: float) -> np.ndarray:
+    """Where a large document left the total off: documents of `free` change sides, each time the one whose size is nearest
+    to what is missing or too much, as long as that brings the total nearer.
+    """
+    taken = taken.copy()
+    for _ in range(len(free)):
+        missing = owed - float(taken @ size)
+        able = free[taken[free] == (missing < 0)]
+        if not len(able):
+            break
+        best = able[np.argmin(np.abs(size[able] - abs(missing)))]
+        if abs(abs(missing) - size[best]) >= abs(missing):
+            break
+        taken[best] = 1 - taken[best]
+    return taken
+
+
 def _fly(rows: pd.DataFrame) -> pd.DataFrame:
-    """One block. If it is its source's only one, LANDING_DOCS documents of spread sizes stay out of the flight and
-    land with what it leaves; else up to two fractions are left for the next round.
+    """One block. If it is its source's only one, LANDING_DOCS documents, of sizes that fall geometrically from the largest
+    to the smallest, stay out of the flight and land with what it leaves, large or small; else up to two fractions are
+    left for the next round.
     """
-    rows = rows.sort_values(["size", "doc_id", "chance"], ascending=[False, True, True], kind="stable")
+    rows = rows.sort_values(["size", "doc_id", "text_hash", "row_hash"], ascending=[False, True, True, True], kind="stable")
     chance, size = rows["chance"].to_numpy(float), rows["size"].to_numpy(float)
     seed = int(rows["_block"].iloc[0]) * 1_000_003 + int(size.sum()) * 31 + len(rows)
     last = rows["_blocks"].iloc[0] == 1
     flying = np.ones(len(rows), bool)
     open_ = np.flatnonzero((chance > NEAR) & (chance < 1 - NEAR))
     if last and len(open_):
-        flying[np.unique(open_[np.linspace(len(open_) // 4, len(open_) - 1, LANDING_DOCS).astype(int)])] = False
+        falling = size[open_]
+        wanted = np.geomspace(max(falling[0], 1.0), max(falling[-1], 1.0), LANDING_DOCS)
+        near = np.searchsorted(-falling, -wanted).clip(0, len(open_) - 1) + np.arange(LANDING_DOCS)
+        flying[open_[near[near < len(open_)]]] = False
     moved = chance.copy()
     moved[flying] = flight(chance[flying], size[flying], seed)
     if last:
-        moved = landing(moved, size, float((chance * size).sum()))
+        owed = float((chance * size).sum())
+        moved = settle(landing(moved, size, owed), size, open_, owed)
     return rows.assign(chance=moved)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most_repeats: float = 3.0, block_docs: int = 4096) -> DataFrame:
-    """One row per document: doc_id, source, text_hash, size, source_size, target, copies, taken = copies * size."""
+    """One row per document: doc_id, source, text_hash, size, source_size, target, copies, taken = copies * size; and
+    row_hash, over all columns and their nulls, by which a row is found again.
+    """
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("bigint")
-    sized = materialise(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), size.alias("size")))
+    sized = materialise(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), _row_hash(docs).alias("row_hash"), size.alias("size")))
     goals = materialise(targets(sized, weights, share, most_repeats))
     goal = goals.withColumnRenamed("source", "_source")
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -125,8 +151,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         last = not counted.where("_blocks > 1").limit(1).count()
         blocked = left.join(counted, left["source"].eqNullSafe(counted["_source"])).drop("_source")
         # The row number spreads repeated rows over the blocks; such rows are alike, so any of them may get any number.
-        row = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("size"))
-        blocked = blocked.withColumn("_row", row).withColumn("_block", F.pmod(F.xxhash64("doc_id", "text_hash", "_row"), "_blocks")).drop("_row")
+        row = F.row_number().over(Window.partitionBy("row_hash").orderBy("size"))
+        blocked = blocked.withColumn("_row", row).withColumn("_block", F.pmod(F.xxhash64("row_hash", "_row"), "_blocks")).drop("_row")
         flown = materialise(blocked.groupBy("source", "_block").applyInPandas(_fly, schema).drop("_block", "_blocks"))
         if last:
             done.append(flown)
@@ -138,15 +164,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     for more in done[1:]:
         taken = taken.unionByName(more)
     copies = (F.col("whole") + F.round("chance")).cast("bigint")
-    return taken.select("doc_id", "source", "text_hash", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return taken.select("doc_id", "source", "text_hash", "row_hash", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most_repeats: float = 3.0) -> DataFrame:
-    """The documents of the mix with their own columns: each as often as it is taken."""
+    """The documents of the mix with their own columns: each as often as it is taken. Rows alike in every column are one
+    document that is taken as often as all of them together.
+    """
     chosen = mix(docs, weights, share, most_repeats)
-    chosen = chosen.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_mix_id"), F.col("text_hash").alias("_mix_text"), F.col("source").alias("_mix_source")).agg(F.sum("copies").alias("_mix_copies")).where("_mix_copies > 0")
-    keyed = docs.withColumns({"_mix_id": F.coalesce("doc_id", F.lit(0)), "_mix_text": F.xxhash64("text"), "_mix_source": F.col("source").cast("string")})
-    one = keyed.groupBy("_mix_id", "_mix_text", "_mix_source").agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("_mix_row"))
-    match = (one["_mix_id"] == chosen["_mix_id"]) & (one["_mix_text"] == chosen["_mix_text"]) & one["_mix_source"].eqNullSafe(chosen["_mix_source"])
-    many = one.join(chosen, match).select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy"))
+    chosen = chosen.groupBy(F.col("row_hash").alias("_mix_row_hash")).agg(F.sum("copies").alias("_mix_copies")).where("_mix_copies > 0")
+    one = docs.groupBy(_row_hash(docs).alias("_mix_hash")).agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("_mix_row"))
+    many = one.join(chosen, one["_mix_hash"] == chosen["_mix_row_hash"]).select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy"))
     return many.select(*[F.col("_mix_row")[c].alias(c) for c in docs.columns])
+
+
+def _row_hash(docs: DataFrame):
+    """64 bits over every column, and over which of them are null, as a hash passes over nulls."""
+    return F.xxhash64(*[F.col(c) for c in docs.columns], F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in docs.columns]))

@@ -36,7 +36,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("text_hash")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("text_hash", "row_hash")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def simhash(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the 64-bit fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): fp is the 64-bit fingerprint as a signed long."""
 
     @F.arrow_udf("bigint")
     def fingerprint(column: pa.Array) -> pa.Array:
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
         found = [simhash(shingle_hashes(raw[a:b], width, seed)) for a, b in zip(offsets[:-1], offsets[1:])]
         return pa.array(np.array(found, np.uint64).view(np.int64))
 
-    return docs.select("doc_id", fingerprint(F.col("text").cast("string")).alias("fp"))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint(F.col("text").cast("string")).alias("fp"))
 
 
 # ---------------------------------------------------------------- partitions and thresholds
@@ -286,31 +286,37 @@ def connected(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> Data
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def components(docs: DataFrame, max_distance: int = 4, width: int = 4) -> DataFrame:
-    """(doc_id, fingerprint as 16 hex digits, component_id = smallest reachable doc_id), one row per input row."""
+def grouped(docs: DataFrame, max_distance: int = 4, width: int = 4) -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id), one row per input row; root names the component, also where ids clash."""
     fps = materialise(fingerprints(docs, width))
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = connected(distinct.select(F.col("fp").alias("node")), link_fingerprints(distinct, max_distance))
     classes = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "first_id")
     classes = materialise(classes)
     ids = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = classes.join(ids, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = classes.join(ids, "root").select("fp", "root", "component_id")
+    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, max_distance: int = 4) -> DataFrame:
-    """Keep one document of each component, that with the smallest doc_id; of rows equal in doc_id and text, one stays.
+def components(docs: DataFrame, max_distance: int = 4, width: int = 4) -> DataFrame:
+    """(doc_id, fingerprint as 16 hex digits, component_id = smallest reachable doc_id), one row per input row."""
+    return grouped(docs, max_distance, width).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-    Documents without a doc_id stay only if a component has no other; then each distinct text stays once.
-    """
-    return keep_first(docs, components(docs, max_distance))
+
+def drop_near_duplicates(docs: DataFrame, max_distance: int = 4) -> DataFrame:
+    """Keep one document of each component, see `keep_first`."""
+    return keep_first(docs, grouped(docs, max_distance))
 
 
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the component_id of their group (doc_id, component_id), each text of theirs once."""
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
+    """One document of each component of groups (doc_id, text_hash, root, component_id): that with the smallest doc_id.
+
+    Of texts that share this doc_id within a component one stays, and of rows that share doc_id and text one. A document
+    without a doc_id stays only if its component has no other.
+    """
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("component_id").alias("kept_id"), F.min("text_hash").alias("kept_hash"))
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]) & (F.xxhash64(docs["text"]) == first["kept_hash"]), "left_semi")
     columns = docs.columns
     plain = [c for c in columns if c != "doc_id"]
-    first = kept.groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(F.first(F.struct(*[F.col(c) for c in plain])).alias("row"))
-    return first.select(*[F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in columns])
+    one = kept.groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(F.first(F.struct(*[F.col(c) for c in plain])).alias("row"))
+    return one.select(*[F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in columns])

@@ -2,8 +2,10 @@
 
 import corpus_pipeline
 import numpy as np
+import pytest
 
 from hitlake.llm import similar as M
+from hitlake.llm import simhash as S
 from tests.llm.test_simhash import brute_fingerprint
 
 
@@ -63,6 +65,20 @@ def test_blocks_of_a_large_component(spark):
 
 
 def test_odd_documents(odd, none):
-    assert M.drop_near_duplicates(odd).columns == odd.columns
+    kept = M.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns
     assert M.components(odd).count() == odd.count()
     assert M.drop_near_duplicates(none).collect() == []
+    rows = sorted(map(str, odd.collect()))
+    found = kept.collect()
+    assert all(str(r) in rows for r in found)
+    # Texts without a word are one set; the rest of the ids stay but for the copies of document 1.
+    assert sorted(str(r["doc_id"]) for r in found) == sorted(["1", "3", "6", "7", "8", "9", "10", "None"])
+
+
+@pytest.mark.parametrize("drop", [M.drop_near_duplicates, S.drop_near_duplicates])
+def test_clashing_ids(spark, drop):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a, "x"), (2, b, "x"), (2, a, "x"), (2, b, "y"), (None, a, "z"), (None, "c d", "z"), (None, "c d", "z")]
+    out = sorted((str(r["doc_id"]), r["text"]) for r in drop(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect())
+    assert out == [("1", a), ("2", b), ("None", "c d")]

@@ -201,6 +201,42 @@ def test_likeness_estimates_the_sets():
     assert Z.likeness(signs[0], signs[0], 128) == 1.0
 
 
+def brute_signature(data, size=128):
+    """The smallest hashes of the phrase set, one phrase after the other."""
+    wide, found = (1 << 64) - 1, set()
+    for phrase in brute_phrases(data):
+        h = 1
+        for byte in phrase:
+            h = (h * 1_000_003 + byte + 1) & 0x1FFFFFFFFFFFFFFF
+        for shift in (29, 32):
+            h = (h ^ h >> shift) * 0x9E3779B97F4A7C15 & wide
+        found.add(h >> 32)
+    return sorted(found)[:size]
+
+
+def brute_likeness(a, b, size=128):
+    if not a or not b:
+        return float(len(a) == len(b))
+    least = sorted({*a, *b})[:size]
+    return len([h for h in least if h in a and h in b]) / len(least)
+
+
+def test_whole_rows_against_brute_force(small, odd):
+    """Fingerprints of texts and edited texts, and both likenesses."""
+    for df in (small, odd):
+        low = -(1 << 63)
+        docs = sorted((low if r["doc_id"] is None else r["doc_id"], r["text"] is not None, r["text"] or "", r["doc_id"]) for r in df.select("doc_id", "text").collect())
+        want = []
+        for i, (_, _, text, doc) in enumerate(docs):
+            following = docs[(i + 1) % len(docs)][2]
+            half = len(text) // 2
+            own, other, following = (brute_signature(t.encode()) for t in (text, text[: len(text) - half] + following[:half], following))
+            digits = lambda s: "".join(f"{h:08x}" for h in s)
+            want.append((str(doc), digits(own), digits(other), brute_likeness(own, other), brute_likeness(own, following)))
+        got = [(str(r["doc_id"]), r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in Z.compare_with_next(df, ranges=3).collect()]
+        assert sorted(got) == sorted(want)
+
+
 @pytest.mark.parametrize("ranges", [1, 3, 50])
 def test_compare_with_next(small, odd, none, ranges):
     for df in (small, odd):
