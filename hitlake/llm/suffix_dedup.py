@@ -17,6 +17,11 @@ A byte goes if a string of `length` bytes that covers it starts at another place
 
 Every step but the search inside a bounded shard is a Spark shuffle on anchors, digests or documents.
 
+Shorter shared passages (of `report` bytes or more, about 50 words) are not removed but reported: every `report`-byte
+window is represented by its `gram`-byte string of smallest hash, and `n_shared` adds up the distances of neighbouring
+representatives that stand elsewhere at the same distance too. It is about the number of bytes in shared passages; a
+passage shared by two documents has the same representatives in both, save at its edges.
+
 Defined cases: null text = empty text (nothing to remove); repeated rows are places of their own, so a repeated text of
 `length` bytes or more goes whole in all of them; texts shorter than `length` stay; other columns are ignored.
 """
@@ -51,9 +56,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Anchors:
-    def __init__(self, length: int, gram: int):
-        self.length, self.gram = length, gram
-        self.width = length - gram + 1  # grams in a window
+    def __init__(self, length: int, gram: int, report: int = 256):
+        self.length, self.gram, self.report = length, gram, report
         self.forward, self.back = _powers(1 << 12)
 
     def hashes(self, data: np.ndarray) -> np.ndarray:
@@ -69,30 +73,39 @@ class Anchors:
         h ^= h >> np.uint64(32)
         return h
 
-    def extracts(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the windows of one text: (anchor hash, first window, windows) of each run that shares an anchor."""
-        windows = len(data) - self.length + 1
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for lo in range(0, max(0, windows), SEGMENT):
-            n = min(SEGMENT, windows - lo)
-            h = self.hashes(data[lo : lo + n + self.length - 1])
-            place = np.arange(len(h), dtype=np.uint64)
-            low = np.uint64((1 << 22) - 1)
-            key = (h & ~low) | place  # equal hashes: the leftmost
-            w = self.width
-            blocks = -(-len(key) // w)
-            grid = np.full(blocks * w, np.uint64(0xFFFFFFFFFFFFFFFF))
-            grid[: len(key)] = key
-            grid = grid.reshape(blocks, w)
-            from_left = np.minimum.accumulate(grid, axis=1).reshape(-1)
-            from_right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-            least = np.minimum(from_right[:n], from_left[w - 1 : w - 1 + n])
-            at = (least & low).astype(np.int64)
-            first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-            found.append((h[at[first]], first + lo, np.diff(np.concatenate([first, [n]]))))
-        if not found:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+    @staticmethod
+    def least(key: np.ndarray, w: int, n: int) -> np.ndarray:
+        """The smallest of w keys from each of the first n places on."""
+        blocks = -(-len(key) // w)
+        grid = np.full(blocks * w, np.uint64(0xFFFFFFFFFFFFFFFF))
+        grid[: len(key)] = key
+        grid = grid.reshape(blocks, w)
+        from_left = np.minimum.accumulate(grid, axis=1).reshape(-1)
+        from_right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+        return np.minimum(from_right[:n], from_left[w - 1 : w - 1 + n])
+
+    def scan(self, data: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+        """For one text: (anchor hash, first window, windows) of each run of windows that shares an anchor, and
+        (key, place, distance) of each pair of neighbouring representatives of the `report`-byte windows.
+        """
+        found: list[tuple[np.ndarray, ...]] = []
+        shown: list[tuple[np.ndarray, ...]] = []
+        low = np.uint64((1 << 22) - 1)
+        for lo in range(0, max(0, len(data) - min(self.length, self.report) + 1), SEGMENT):
+            h = self.hashes(data[lo : lo + SEGMENT + max(self.length, self.report) - 1])
+            key = (h & ~low) | np.arange(len(h), dtype=np.uint64)  # equal hashes: the leftmost
+            for size, out in ((self.length, found), (self.report, shown)):
+                n = min(SEGMENT, len(data) - size + 1 - lo)
+                if n > 0:
+                    at = (self.least(key, size - self.gram + 1, n) & low).astype(np.int64)
+                    first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+                    out.append((h[at[first]], first + lo, np.diff(np.concatenate([first, [n]])), at[first] + lo))
+        runs, marks = ([np.concatenate([f[i] for f in out]) for i in range(4)] if out else [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3] for out in (found, shown))
+        place, where = np.unique(marks[3], return_index=True)
+        gap = np.diff(place)
+        value = marks[0][where]
+        pair = (value[:-1] * _MIX ^ (value[1:] + gap.astype(np.uint64)) * np.uint64(_BASE)) if len(value) else value
+        return (runs[0], runs[1], runs[2]), (pair ^ pair >> np.uint64(31), place[:-1], gap)
 
 
 def _digest(data: bytes) -> tuple[int, int]:
@@ -100,39 +113,59 @@ def _digest(data: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _anchor_rows(length: int, gram: int):
+PLACES = "kid bigint, th bigint, anchor bigint, d1 bigint, d2 bigint, start bigint, windows int"
+
+
+def _anchor_rows(length: int, gram: int, report: int):
+    """Rows of PLACES: extracts; and, without d1 and d2, pairs of representatives (key, place, distance)."""
     names = ["kid", "th", "anchor", "d1", "d2", "start", "windows"]
+    kinds = (*[pa.int64()] * 6, pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(length, gram)
+        anchors = Anchors(length, gram, report)
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             kid, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             columns: list[list] = [[] for _ in names]
+            pairs: list[list] = [[] for _ in names]
             held = 0
 
-            def emit() -> pa.RecordBatch:
-                kinds = (*[pa.int64()] * 6, pa.int32())
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], k) for c, k in zip(columns, kinds)], names=names)
+            def emit() -> Iterator[pa.RecordBatch]:
+                for rows in (columns, pairs):
+                    if rows[0]:
+                        n = sum(map(len, rows[0]))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) if c else pa.nulls(n, k) for c, k in zip(rows, kinds)], names=names)
+                        for column in rows:
+                            column.clear()
 
             for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                if hi - lo < length:
+                if hi - lo < min(length, report):
                     continue
-                hashes, first, count = anchors.extracts(data[lo:hi])
-                raw = data[lo:hi].tobytes()
-                digests = [_digest(raw[a : a + n + length - 1]) for a, n in zip(first.tolist(), count.tolist())]
-                d = np.array(digests, np.int64)
-                for column, value in zip(columns, (np.full(len(first), kid[i]), np.full(len(first), th[i]), hashes.view(np.int64), d[:, 0], d[:, 1], first, count.astype(np.int32))):
-                    column.append(value)
-                held += len(first)
-                if held > 50_000:
-                    yield emit()
-                    columns, held = [[] for _ in names], 0
-            yield emit()
+                (hashes, first, count), (key, place, gap) = anchors.scan(data[lo:hi])
+                if len(first):
+                    raw = data[lo:hi].tobytes()
+                    d = np.array([_digest(raw[a : a + n + length - 1]) for a, n in zip(first.tolist(), count.tolist())], np.int64)
+                    for column, value in zip(columns, (np.full(len(first), kid[i]), np.full(len(first), th[i]), hashes.view(np.int64), d[:, 0], d[:, 1], first, count.astype(np.int32))):
+                        column.append(value)
+                if len(key):
+                    for c, value in zip((0, 1, 2, 5, 6), (np.full(len(key), kid[i]), np.full(len(key), th[i]), key.view(np.int64), place, gap.astype(np.int32))):
+                        pairs[c].append(value)
+                held += len(first) + len(key)
+                if held > 100_000:
+                    yield from emit()
+                    held = 0
+            yield from emit()
 
     return run
 
 
+def shared_bytes(pairs: DataFrame) -> DataFrame:
+    """(kid, th, n_shared) of the documents with any: distances of pairs (kid, th, anchor, start, windows) with another place."""
+    many = pairs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    again = pairs.join(many, "anchor").select("kid", "th", "start", "windows").distinct()  # rows of one key are one text
+    return again.groupBy("kid", "th").agg(F.sum("windows").alias("n_shared"))
+
+
 # ---------------------------------------------------------------- suffix arrays
 
 
@@ -344,10 +377,14 @@ def _merge(length: int):
 # ---------------------------------------------------------------- the operator
 
 
-def repeated_stretches(docs: DataFrame, length: int = 400, gram: int = 64, shard_extracts: int = 2048) -> DataFrame:
-    """(kid, th, spans): for each document key the byte stretches to remove, overlapping ones not yet united."""
+def repeated_stretches(docs: DataFrame, length: int = 400, gram: int = 64, shard_extracts: int = 2048, report: int = 256) -> DataFrame:
+    """(kid, th, spans, n_shared): for each document key with any the byte stretches to remove, overlapping ones not yet
+    united, and the bytes in shared passages.
+    """
     keyed = _keyed(docs)
-    places = materialise(keyed.select("kid", "th", "text").mapInArrow(_anchor_rows(length, gram), "kid bigint, th bigint, anchor bigint, d1 bigint, d2 bigint, start bigint, windows int"))
+    rows = materialise(keyed.select("kid", "th", "text").mapInArrow(_anchor_rows(length, gram, report), PLACES))
+    shared = shared_bytes(rows.where("d1 is null"))
+    places = rows.where("d1 is not null")
     extracts = places.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("copies"), F.min(F.struct("kid", "th", "start", "windows")).alias("at"))
     anchors = extracts.groupBy("anchor").agg(F.count("*").alias("extracts"), F.sum("copies").alias("total")).where("total > 1")
     met = materialise(extracts.join(anchors, "anchor").select("anchor", "d1", "d2", "copies", "extracts", "at.*"))
@@ -367,7 +404,8 @@ def repeated_stretches(docs: DataFrame, length: int = 400, gram: int = 64, shard
     again = again.groupBy("anchor", "d1", "d2").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # bounded by the extract's length
     marked = whole.unionByName(again.join(whole, ["anchor", "d1", "d2"], "left_anti"))
     spans = places.join(marked, ["anchor", "d1", "d2"]).select("kid", "th", F.explode(F.transform("spans", lambda s: F.struct((F.col("start") + s["a"]).alias("a"), (F.col("start") + s["b"]).alias("b")))).alias("s"))
-    return spans.groupBy("kid", "th").agg(F.collect_set("s").alias("spans"))  # distinct, so bounded by the document's length
+    found = spans.groupBy("kid", "th").agg(F.collect_set("s").alias("spans"))  # distinct, so bounded by the document's length
+    return found.join(shared, ["kid", "th"], "full_outer")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -376,9 +414,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("kid"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, shard_extracts: int = 2048, keep_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, on request)."""
-    stretches = repeated_stretches(docs, length, gram, shard_extracts)
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, shard_extracts: int = 2048, keep_text: bool = False, report: int = 256) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared (and kept, the bytes left, on request)."""
+    stretches = repeated_stretches(docs, length, gram, shard_extracts, report)
     joined = _keyed(docs).join(stretches, ["kid", "th"], "left")
 
     @F.arrow_udf("struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept_sha256: string" + ", kept: binary" * keep_text + ">")
@@ -403,4 +441,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, shard_ext
         kinds = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())][: 4 + keep_text]
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
 
-    return joined.select("doc_id", cut("text", "spans").alias("r")).select("doc_id", "r.*")
+    return joined.select("doc_id", F.coalesce("n_shared", F.lit(0)).alias("n_shared"), cut("text", "spans").alias("r")).select("doc_id", "r.*", "n_shared")

@@ -74,8 +74,45 @@ def test_kept_text(spark):
 
 def test_long_document_is_hashed_in_segments(monkeypatch):
     data = np.frombuffer(bytes(random.Random(6).choices(b"abcd", k=5000)), np.uint8)
-    whole = S.Anchors(100, 20).extracts(data)
+    whole = S.Anchors(100, 20, 60).scan(data)
     monkeypatch.setattr(S, "SEGMENT", 700)
-    parts = S.Anchors(100, 20).extracts(data)
+    parts = S.Anchors(100, 20, 60).scan(data)
     expand = lambda e: np.repeat(e[0], e[2])
-    assert (expand(whole) == expand(parts)).all() and whole[2].sum() == parts[2].sum() == 4901
+    assert (expand(whole[0]) == expand(parts[0])).all() and whole[0][2].sum() == parts[0][2].sum() == 4901
+    assert all((a == b).all() for a, b in zip(whole[1], parts[1]))
+
+
+def test_shared_passages_are_reported(spark, none):
+    """Passages of 51 to 60 words that two documents share, below the length that is removed; other documents show none."""
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklm", k=rng.randint(2, 9))) for _ in range(n))
+    rows = []
+    for i in range(40):
+        passage = words(51 + i % 10)
+        rows += [(100 + i, f"{words(90)} {passage} {words(70)}"), (200 + i, f"{words(40)} {passage} {words(120)}"), (300 + i, words(200))]
+    rows += [(400, words(300))] * 2 + [(401, None), (402, "short")]
+    got = [(r["doc_id"], r["n_shared"], r["n_removed"], r["n_bytes"]) for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum(n > 0 for d, n, _, _ in got if 100 <= d < 300) >= 76 and all(n == 0 for d, n, _, _ in got if 300 <= d < 400 or d > 400)
+    assert all(0 < n <= size == gone for d, n, gone, size in got if d == 400)
+    assert all(n <= 450 for d, n, _, _ in got if d < 300)
+
+
+def brute_shared(texts, length=256, gram=64):
+    """By the definition, one window after the other; hashes of the module, as the choice of representatives is theirs."""
+    marks, count = [], {}
+    for t in texts:
+        h = S.Anchors(400, gram, length).hashes(np.frombuffer(t, np.uint8)) if len(t) >= gram else []
+        w = length - gram + 1
+        at = sorted({min(range(i, i + w), key=lambda k: (int(h[k]) >> 22, k)) for i in range(len(t) - length + 1)})
+        pairs = [(t[a : a + gram], t[b : b + gram], b - a) for a, b in zip(at, at[1:])]
+        marks.append(pairs)
+        for p in pairs:
+            count[p] = count.get(p, 0) + 1
+    return [sum(p[2] for p in pairs if count[p] > 1) for pairs in marks]
+
+
+def test_shared_against_brute_force(small):
+    rows = [(r["doc_id"], (r["text"] or "")[:3000]) for r in small.limit(80).collect()]
+    want = brute_shared([t.encode() for _, t in rows])
+    got = {r["doc_id"]: r["n_shared"] for r in S.remove_repeats(small.sparkSession.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d] for d, _ in rows] == want and any(want)
