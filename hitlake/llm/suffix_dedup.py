@@ -56,7 +56,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Anchors:
-    def __init__(self, length: int, gram: int, report: int = 256):
+    def __init__(self, length: int, gram: int, report: int = 224):
         self.length, self.gram, self.report = length, gram, report
         self.forward, self.back = _powers(1 << 12)
 
@@ -161,7 +161,8 @@ def _anchor_rows(length: int, gram: int, report: int):
 
 def shared_bytes(pairs: DataFrame) -> DataFrame:
     """(kid, th, n_shared) of the documents with any: distances of pairs (kid, th, anchor, start, windows) with another place."""
-    many = pairs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Written, so that the join has a shuffle on both sides and adaptive execution can split a very common key.
+    many = materialise(pairs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     again = pairs.join(many, "anchor").select("kid", "th", "start", "windows").distinct()  # rows of one key are one text
     return again.groupBy("kid", "th").agg(F.sum("windows").alias("n_shared"))
 
@@ -377,7 +378,7 @@ def _merge(length: int):
 # ---------------------------------------------------------------- the operator
 
 
-def repeated_stretches(docs: DataFrame, length: int = 400, gram: int = 64, shard_extracts: int = 2048, report: int = 256) -> DataFrame:
+def repeated_stretches(docs: DataFrame, length: int = 400, gram: int = 64, shard_extracts: int = 2048, report: int = 224) -> DataFrame:
     """(kid, th, spans, n_shared): for each document key with any the byte stretches to remove, overlapping ones not yet
     united, and the bytes in shared passages.
     """
@@ -414,7 +415,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("kid"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, shard_extracts: int = 2048, keep_text: bool = False, report: int = 256) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, shard_extracts: int = 2048, keep_text: bool = False, report: int = 224) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared (and kept, the bytes left, on request)."""
     stretches = repeated_stretches(docs, length, gram, shard_extracts, report)
     joined = _keyed(docs).join(stretches, ["kid", "th"], "left")

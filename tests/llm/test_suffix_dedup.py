@@ -92,12 +92,12 @@ def test_shared_passages_are_reported(spark, none):
         rows += [(100 + i, f"{words(90)} {passage} {words(70)}"), (200 + i, f"{words(40)} {passage} {words(120)}"), (300 + i, words(200))]
     rows += [(400, words(300))] * 2 + [(401, None), (402, "short")]
     got = [(r["doc_id"], r["n_shared"], r["n_removed"], r["n_bytes"]) for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    assert sum(n > 0 for d, n, _, _ in got if 100 <= d < 300) >= 76 and all(n == 0 for d, n, _, _ in got if 300 <= d < 400 or d > 400)
+    assert sum(n > 0 for d, n, _, _ in got if 100 <= d < 300) >= 72 and all(n == 0 for d, n, _, _ in got if 300 <= d < 400 or d > 400)
     assert all(0 < n <= size == gone for d, n, gone, size in got if d == 400)
     assert all(n <= 450 for d, n, _, _ in got if d < 300)
 
 
-def brute_shared(texts, length=256, gram=64):
+def brute_shared(texts, length=224, gram=64):
     """By the definition, one window after the other; hashes of the module, as the choice of representatives is theirs."""
     marks, count = [], {}
     for t in texts:
