@@ -57,8 +57,8 @@ def spectrum_stats(totals: DataFrame, grouped: DataFrame, name: str = "name") ->
 
 
 def extract_names(lines: DataFrame, pattern: str = r'^\s*<physvol\s+name="([^"]+)"', column: str = "value") -> DataFrame:
-    """Distinct first captures of a pattern, one line at a time (column name); order by (length, name) with `ordered`."""
-    return lines.select(F.regexp_extract(F.col(column), pattern, 1).alias("name")).where("name <> ''").distinct()
+    """Distinct captures of a pattern, one line at a time, every match of it (column name); order by (length, name) with `ordered`."""
+    return lines.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(1))).alias("name")).where("name <> ''").distinct()
 
 
 def ordered(names: DataFrame) -> DataFrame:

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hitlake.sources.scratch import materialise
+
 MOST_BROADCAST = 20_000  # voxels; a voxel table is a fixed detector description, checked against this before a broadcast
+ENLARGE = 2  # factor of the cell from one round to the next
 
 
-def _d2(center: Column) -> Column:
-    parts = [F.col(c).cast("double") - center[i] for i, c in enumerate("xyz")]
+def _d2(x: Column, y: Column, z: Column) -> Column:
+    parts = [F.col(c).cast("double") - v for c, v in zip("xyz", (x, y, z))]
     return parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2]
 
 
-def nearest_brute(hits: DataFrame, voxels: DataFrame, key: tuple[str, ...] = ("photon_id",)) -> DataFrame:
-    """Every voxel is looked at inside the row: the voxel list is one small array, so hits are not multiplied or shuffled.
+def nearest_brute(hits: DataFrame, voxels: DataFrame) -> DataFrame:
+    """Every voxel is looked at inside the row: for few voxels, and to hold `nearest_grid` against.
 
     Ties go to the smallest position in the list. The list's size is checked; more voxels than that need `nearest_grid`.
     """
@@ -25,27 +28,71 @@ def nearest_brute(hits: DataFrame, voxels: DataFrame, key: tuple[str, ...] = ("p
     best = F.aggregate(
         "_voxels",
         F.struct(F.lit(float("inf")).alias("d2"), F.lit(None).cast("int").alias("ord"), F.lit("-1").alias("index"), F.lit(None).cast("string").alias("layer")),
-        lambda a, v: F.when(_d2(v["center"]) < a["d2"], F.struct(_d2(v["center"]).alias("d2"), v["ord"].cast("int").alias("ord"), v["index"].alias("index"), v["layer"].alias("layer"))).otherwise(a),
+        lambda a, v: F.when(_d2(*[v["center"][i] for i in range(3)]) < a["d2"], F.struct(_d2(*[v["center"][i] for i in range(3)]).alias("d2"), v["ord"].cast("int").alias("ord"), v["index"].alias("index"), v["layer"].alias("layer"))).otherwise(a),
     )
     found = hits.join(F.broadcast(listed)).withColumn("_best", best).drop("_voxels")
     return found.select(*hits.columns, F.col("_best.index").alias("voxel_index"), F.col("_best.ord").alias("voxel_ord"), F.col("_best.layer").alias("layer"))
 
 
-def nearest_grid(hits: DataFrame, voxels: DataFrame, cell: float = 195.0, key: tuple[str, ...] = ("photon_id",)) -> DataFrame:
-    """Exact grid search: voxels stand in their own and the 26 neighbouring cells, hits join on their cell.
+def centres(voxels: DataFrame) -> DataFrame:
+    """Distinct centres with the first voxel of the list that has each: a later one with the same centre is never the nearest."""
+    at = [F.col("center")[i].cast("double").alias(f"_v{c}") for i, c in enumerate("xyz")]
+    rows = voxels.select(*at, F.struct(F.col("ord").cast("int").alias("ord"), "index", "layer").alias("_voxel"))
+    return rows.where("_vx is not null and _vy is not null and _vz is not null").groupBy("_vx", "_vy", "_vz").agg(F.min("_voxel").alias("_voxel"))
+
+
+def fitted_cell(points: DataFrame) -> tuple[int, float]:
+    """Number of centres, and the edge of a cube that holds one centre on average."""
+    row = points.agg(F.count("*").alias("n"), *[(F.max(f"_v{c}") - F.min(f"_v{c}")).alias(c) for c in "xyz"]).first()
+    if not row["n"]:
+        return 0, 1.0
+    sides = [s for s in (row["x"], row["y"], row["z"]) if s]  # a flat detector has fewer
+    volume = 1.0
+    for s in sides:
+        volume *= s
+    return row["n"], (volume / row["n"]) ** (1 / len(sides)) if sides else 1.0
+
+
+def _look(hits: DataFrame, points: DataFrame, n: int, cell: float) -> DataFrame:
+    """hits with _best (d2, voxel), the nearest centre of the 27 cells around each hit, null if there is none.
 
-    Every centre within `cell` of a hit is among its candidates, so a best distance up to `cell` is proven. The rest,
-    hits far from any centre, go through `nearest_brute`.
+    Centres are gathered under every cell that has them nearby, so a hit meets one row and takes the least inside it: hits
+    are neither multiplied nor grouped. The cells are sent to the tasks if the centres are few by count, else shuffled.
     """
     at = lambda c, d: (F.floor(c / cell) + d).cast("bigint")
     steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    filed = voxels
-    for i, c in enumerate("xyz"):
-        filed = filed.withColumn("_step", F.explode(steps)).withColumn(f"_c{c}", at(F.col("center")[i], F.col("_step"))).drop("_step")
-    own = hits.withColumns({f"_c{c}": at(F.col(c).cast("double"), 0) for c in "xyz"})
-    cells = ["_cx", "_cy", "_cz"]
-    met = own.join(filed.select("ord", "index", "center", "layer", *cells), cells).withColumn("_d2", _d2(F.col("center"))).where(F.col("_d2") <= cell * cell)
-    best = met.groupBy(*key).agg(F.min_by(F.struct("index", "ord", "layer"), F.struct("_d2", "ord")).alias("_best"))
-    proven = hits.join(best, list(key)).select(*hits.columns, F.col("_best.index").alias("voxel_index"), F.col("_best.ord").cast("int").alias("voxel_ord"), F.col("_best.layer").alias("layer"))
-    rest = hits.join(best.select(*key), list(key), "left_anti")
-    return proven.unionByName(nearest_brute(rest, voxels, key))
+    filed = points
+    for c in "xyz":
+        filed = filed.withColumn("_step", F.explode(steps)).withColumn(f"_c{c}", at(F.col(f"_v{c}"), F.col("_step"))).drop("_step")
+    keys = ["_cx", "_cy", "_cz"]
+    filed = filed.groupBy(*keys).agg(F.collect_list(F.struct("_vx", "_vy", "_vz", "_voxel")).alias("_near"))  # bounded by 27 cells
+    own = hits.withColumns({f"_c{c}": at(F.col(c).cast("double"), F.lit(0)) for c in "xyz"})
+    met = own.join(F.broadcast(filed) if n <= MOST_BROADCAST else filed, keys, "left")
+    best = F.array_min(F.transform("_near", lambda v: F.struct(_d2(v["_vx"], v["_vy"], v["_vz"]).alias("d2"), v["_voxel"].alias("voxel"))))
+    return met.withColumn("_best", best).drop("_near", *keys)
+
+
+def nearest_grid(hits: DataFrame, voxels: DataFrame, cell: float | None = None) -> DataFrame:
+    """Exact grid search; `cell` follows from the density of the centres if it is not given.
+
+    Every centre within `cell` of a hit stands in one of the 27 cells around it, so a best distance up to `cell` is
+    proven. The hits left, far from any centre, look again with larger cells, round by round, until all are proven.
+    Hits with a position that is not finite, and all hits if there is no voxel, get the index -1.
+    """
+    points = materialise(centres(voxels))
+    n, fitted = fitted_cell(points)
+    cell = cell or fitted
+    finite = F.lit(n > 0)
+    for c in "xyz":
+        v = F.col(c).cast("double")
+        finite = finite & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    named = lambda df, best: df.select(*hits.columns, F.coalesce(best["voxel"]["index"], F.lit("-1")).alias("voxel_index"), best["voxel"]["ord"].alias("voxel_ord"), best["voxel"]["layer"].alias("layer"))
+    found = materialise(_look(hits, points, n, cell))
+    out = named(found.where(~finite | (F.col("_best.d2") <= cell * cell)), F.col("_best"))
+    while True:
+        rest = found.where(finite & ~F.coalesce(F.col("_best.d2") <= cell * cell, F.lit(False))).drop("_best")
+        if not n or rest.isEmpty():
+            return out
+        cell *= ENLARGE
+        found = materialise(_look(rest, points, n, cell))
+        out = out.unionByName(named(found.where(F.col("_best.d2") <= cell * cell), F.col("_best")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitlake.functions import geometry as geo
@@ -22,15 +22,24 @@ def region_hits(hits: DataFrame, voxels: DataFrame, keys: tuple[str, ...] = KEY)
     layer = voxels.groupBy(F.col("index").alias("voxel_index")).agg(F.min_by(F.lower("layer"), "ord").alias("_layer"))
     joined = hits.join(layer, "voxel_index", "left")
     regions = [F.coalesce(F.sum(F.when(F.col("_layer") == name, F.col("hits"))), F.lit(0)).cast("int").alias(name) for name in LAYERS]
-    return joined.groupBy(*keys).agg(F.sum("hits").cast("int").alias("total_hits"), *regions)
+    by_voxel = F.map_from_entries(F.sort_array(F.collect_list(F.struct("voxel_index", "hits")))).alias("voxel_hits")  # bounded by the voxels
+    return joined.groupBy(*keys).agg(F.sum("hits").cast("int").alias("total_hits"), *regions, F.count("*").cast("int").alias("voxels_hit"), by_voxel)
 
 
 def dense_target(hits: DataFrame, voxels: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
-    """One array of counts per capture, in voxel order, 0 where a voxel was not hit."""
-    order = voxels.agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "index"))), lambda v: v["index"]).alias("_order"))
-    maps = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("voxel_index", "hits"))).alias("_hits"))
-    full = maps.join(F.broadcast(order))  # one row: the voxel list
-    return full.select(*keys, F.transform("_order", lambda v: F.coalesce(F.col("_hits")[v], F.lit(0))).alias("target"))
+    """One array of counts per capture, in voxel order, 0 where a voxel was not hit.
+
+    The array is put together from the few voxels that were hit and the stretches of zeros between them.
+    """
+    place = voxels.groupBy(F.col("index").alias("voxel_index")).agg(F.min("ord").alias("_ord"))
+    place = place.select("voxel_index", (F.row_number().over(Window.orderBy("_ord")) - 1).alias("_at"))  # a detector description
+    size = voxels.agg(F.count_distinct("index").cast("int").alias("_size"))
+    pairs = hits.join(place, "voxel_index").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_at", "hits"))).alias("_pairs"))
+    full = pairs.join(F.broadcast(size))  # one row
+    zeros = lambda n: F.array_repeat(F.lit(0), n.cast("int"))
+    before = lambda i: F.when(i > 0, F.col("_pairs")[i - 1]["_at"]).otherwise(-1)
+    parts = F.flatten(F.transform("_pairs", lambda p, i: F.concat(zeros(p["_at"] - before(i) - 1), F.array(p["hits"]))))
+    return full.select(*keys, F.concat(parts, zeros(F.col("_size") - 1 - F.element_at("_pairs", -1)["_at"])).alias("target"))
 
 
 def features(captures: DataFrame, scale: float = 1000.0, g: Geometry = Geometry(), material: str = "mat_id", volume: str = "vol_id") -> DataFrame:
@@ -47,9 +56,10 @@ def features(captures: DataFrame, scale: float = 1000.0, g: Geometry = Geometry(
 
 def with_targets(captures: DataFrame, regions: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
     """Every capture once, also those without hits, with its counts or 0."""
-    names = ["total_hits", *LAYERS]
-    joined = captures.join(regions.select(*keys, *names), list(keys), "left")
-    return joined.withColumns({n: F.coalesce(n, F.lit(0)) for n in names})
+    names = ["total_hits", *LAYERS, "voxels_hit"]
+    joined = captures.join(regions.select(*keys, *names, "voxel_hits"), list(keys), "left")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
+    return joined.withColumns({n: F.coalesce(n, F.lit(0)) for n in names} | {"voxel_hits": F.coalesce("voxel_hits", none)})
 
 
 def completeness(captures: DataFrame, rows: DataFrame, by: str = "file_idx") -> DataFrame:

@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitlake.operators import match, nearest, split, targets
 from hitlake.schema import KEY, Geometry
 
 
-def capture_regions(photons: DataFrame, captures: DataFrame, voxels: DataFrame, window: float, geometry: Geometry = Geometry()) -> DataFrame:
-    """Per capture: total hits and hits by region; captures without hits included."""
+def capture_targets(photons: DataFrame, captures: DataFrame, voxels: DataFrame, window: float, geometry: Geometry = Geometry()) -> DataFrame:
+    """Per capture: total hits, hits by region, and hits by voxel (`voxel_hits`, a map of the voxels that were hit, and
+    their number `voxels_hit`); captures without hits included.
+    """
     nc = match.dedup_last_wins(captures)
     hits = match.matched_hits(photons, nc, window, geometry)
-    assigned = nearest.nearest_brute(hits, voxels)
-    regions = targets.region_hits(targets.voxel_hits(assigned), voxels)
-    return targets.with_targets(nc, regions)
+    by_voxel = targets.voxel_hits(nearest.nearest_grid(hits, voxels))
+    return targets.with_targets(nc, targets.region_hits(by_voxel, voxels))
 
 
 def training_set(photons: DataFrame, captures: DataFrame, voxels: DataFrame, splits: DataFrame, window: float = 200.0, split_keys: tuple[str, ...] = ("file_idx", "evtid"), scale: float = 1000.0, geometry: Geometry = Geometry(), sample_files: int | None = None) -> DataFrame:
-    """Key, split, 30 features, 4 region counts and the weight; `captures` carry global mat_id and vol_id."""
-    rows = capture_regions(photons, captures, voxels, window, geometry)
+    """Key, split, 30 features, 4 region counts, the counts by voxel and the weight; `captures` carry global mat_id and vol_id."""
+    rows = capture_targets(photons, captures, voxels, window, geometry)
     phi = targets.features(rows, scale, geometry)
-    regions = rows.select(*KEY, "total_hits", "pit", "bot", "wall", "top")
+    regions = rows.select(*KEY, "total_hits", "pit", "bot", "wall", "top", "voxels_hit", "voxel_hits")
     weight = split.event_weight(captures, KEY, sample_files).select(F.col("weight").cast("float").alias("weight"))
     joined = split.reuse_split(phi.join(regions, list(KEY)), splits, split_keys)
     return joined.join(F.broadcast(weight))  # one row
@@ -33,6 +34,12 @@ def write_training_set(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split", "file_idx").parquet(path)
 
 
+def geometry_table(spark: SparkSession, geometry: Geometry, primaries: int) -> DataFrame:
+    """(name, value) of the static geometry: radius, cuts, height, lift, and the number of primaries."""
+    values = {"radius": geometry.radius, "height": geometry.height, "cut_bottom": geometry.cut_bottom, "cut_top": geometry.cut_top, "lift": geometry.lift, "primaries": float(primaries)}
+    return spark.createDataFrame(list(values.items()), "name string, value double")
+
+
 def write_dimensions(path: str, **tables: DataFrame) -> None:
     """Dimension tables, written once; existing ones stay."""
     for name, df in tables.items():

@@ -20,8 +20,8 @@ from hitlake.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-#: With few voxels and a wide window, captures and voxels get several hits in the driver's tables.
-WIDE, FEW = 1500.0, 12
+#: With a wide window more captures get hits in the driver's tables.
+WIDE = 1500.0
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -43,7 +43,7 @@ def _hits(spark: SparkSession, sf_dir: str, window: float = WIDE) -> DataFrame:
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest.nearest_brute(_hits(spark, sf_dir), views.voxels(spark, sf_dir, FEW))
+    return nearest.nearest_grid(_hits(spark, sf_dir), views.voxels(spark, sf_dir))
 
 
 def _dictionary(spark: SparkSession, sf_dir: str, column: str, empty: str | None = None) -> DataFrame:
@@ -64,7 +64,7 @@ def _global_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid hits per capture and region, with cylindrical coordinates."""
-    rows = build.capture_regions(views.photons(spark, sf_dir), views.captures(spark, sf_dir), views.voxels(spark, sf_dir, FEW), WIDE)
+    rows = build.capture_targets(views.photons(spark, sf_dir), views.captures(spark, sf_dir), views.voxels(spark, sf_dir), WIDE)
     x, y = geo.mm(F.col("x")), geo.mm(F.col("y"))
     out = rows.select(*KEY, "total_hits", *LAYERS, geo.radius(x, y).alias("r_mm"), geo.azimuth(x, y).alias("phi_rad"))
     return rounded(out, "r_mm", "phi_rad")
@@ -118,7 +118,7 @@ def direction_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def nearest_voxel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest.nearest_brute(_hits(spark, sf_dir, 200.0), views.voxels(spark, sf_dir)).select("photon_id", "voxel_index")
+    return nearest.nearest_grid(_hits(spark, sf_dir, 200.0), views.voxels(spark, sf_dir)).select("photon_id", "voxel_index")
 
 
 @query
@@ -133,13 +133,16 @@ def voxel_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def region_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets.region_hits(targets.voxel_hits(_assigned(spark, sf_dir)), views.voxels(spark, sf_dir, FEW))
+    return targets.region_hits(targets.voxel_hits(_assigned(spark, sf_dir)), views.voxels(spark, sf_dir)).drop("voxel_hits")
 
 
 @query
 def dense_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = targets.dense_target(targets.voxel_hits(_assigned(spark, sf_dir)), views.voxels(spark, sf_dir, FEW))
-    return full.select(*KEY, F.posexplode("target").alias("pos", "hits"))
+    full = targets.dense_target(targets.voxel_hits(_assigned(spark, sf_dir)), views.voxels(spark, sf_dir))
+    hit = F.filter(F.transform("target", lambda h, i: F.struct(i.alias("i"), h.alias("h"))), lambda p: p["h"] > 0)
+    text = F.array_join(F.transform(hit, lambda p: F.concat_ws(":", p["i"].cast("string"), p["h"].cast("string"))), ",")
+    total = F.aggregate("target", F.lit(0).cast("bigint"), lambda a, h: a + h)
+    return full.select(*KEY, F.size("target").alias("n_voxels"), total.alias("total"), text.alias("nonzero"))
 
 
 @query
@@ -225,12 +228,12 @@ def event_weight_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     nc = _global_ids(spark, sf_dir)
-    return build.training_set(views.photons(spark, sf_dir), nc, views.voxels(spark, sf_dir, FEW), split.group_split(nc), WIDE)
+    return build.training_set(views.photons(spark, sf_dir), nc, views.voxels(spark, sf_dir), split.group_split(nc), WIDE)
 
 
 @query
 def build_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _training_set(spark, sf_dir).select(*KEY, "split", "total_hits", *LAYERS, F.col("matID").cast("int").alias("mat_id"), F.col("volID").cast("int").alias("vol_id"), "r_NC_mm", "weight")
+    rows = _training_set(spark, sf_dir).select(*KEY, "split", "total_hits", *LAYERS, "voxels_hit", F.col("matID").cast("int").alias("mat_id"), F.col("volID").cast("int").alias("vol_id"), "r_NC_mm", "weight")
     return rows.withColumns({"r_NC_mm": F.round(F.col("r_NC_mm").cast("double"), 3), "weight": F.round(F.col("weight").cast("double"), 9)})
 
 
@@ -256,7 +259,7 @@ def reconcile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def processing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per file: captures with and without valid hits, rows of both splits, hits without a capture."""
     nc = _deduped(spark, sf_dir)
-    rows = targets.with_targets(nc, targets.region_hits(targets.voxel_hits(_assigned(spark, sf_dir)), views.voxels(spark, sf_dir, FEW)))
+    rows = targets.with_targets(nc, targets.region_hits(targets.voxel_hits(_assigned(spark, sf_dir)), views.voxels(spark, sf_dir)))
     rows = split.reuse_split(rows, split.group_split(nc), ("file_idx", "evtid"))
     count = lambda c: F.count(F.when(c, 1))
     per = rows.groupBy("file_idx").agg(count(F.col("total_hits") > 0).alias("n_with"), count(F.col("total_hits") == 0).alias("n_without"), count(F.col("split") == "train").alias("n_train"), count(F.col("split") == "validation").alias("n_validation"))

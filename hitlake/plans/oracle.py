@@ -33,8 +33,8 @@ det AS (SELECT * FROM photon WHERE det_uid IN (1965, 1966, 1967, 1968)),
 voxel AS (
   SELECT CAST(p_partkey AS INT) AS ord, CAST(p_partkey AS VARCHAR) AS index, CAST((p_partkey * 37 % 80 - 40) * 100 AS DOUBLE) AS cx, CAST((p_partkey * 53 % 80 - 40) * 100 AS DOUBLE) AS cy,
     CAST((p_partkey * 71 % 90) * 100 - 4979 AS DOUBLE) AS cz, CASE p_partkey % 5 WHEN 0 THEN 'Pit' WHEN 1 THEN 'bot' WHEN 2 THEN 'WALL' WHEN 3 THEN 'top' ELSE 'other' END AS layer
-  FROM part WHERE p_partkey < 150),
-few AS (SELECT * FROM voxel WHERE ord < 12),
+  FROM part),
+centre AS (SELECT * FROM voxel QUALIFY row_number() OVER (PARTITION BY cx, cy, cz ORDER BY ord) = 1),
 mm AS (SELECT * REPLACE (x * 1000::REAL AS x, y * 1000::REAL AS y, z * 1000::REAL AS z) FROM det),
 outward AS (
   SELECT *, CASE WHEN CAST(z AS DOUBLE) <= -4979.0::DOUBLE THEN 'bot' WHEN CAST(z AS DOUBLE) >= 3919.0::DOUBLE THEN 'top' ELSE 'barrel' END AS region FROM mm
@@ -42,17 +42,17 @@ outward AS (
 near_hits AS (SELECT o.* FROM outward o JOIN nc USING (file_idx, evtid, nc_id) WHERE o.time BETWEEN nc.nc_time AND nc.nc_time + 200),
 wide_hits AS (SELECT o.* FROM outward o JOIN nc USING (file_idx, evtid, nc_id) WHERE o.time BETWEEN nc.nc_time AND nc.nc_time + 1500),
 near_best AS (
-  SELECT photon_id, index AS voxel_index FROM near_hits h CROSS JOIN voxel v
+  SELECT photon_id, index AS voxel_index FROM near_hits h CROSS JOIN centre v
   QUALIFY row_number() OVER (PARTITION BY photon_id ORDER BY (h.x::DOUBLE - cx) * (h.x::DOUBLE - cx) + (h.y::DOUBLE - cy) * (h.y::DOUBLE - cy) + (h.z::DOUBLE - cz) * (h.z::DOUBLE - cz), ord) = 1),
 wide_best AS (
-  SELECT file_idx, evtid, nc_id, photon_id, index AS voxel_index, ord, layer FROM wide_hits h CROSS JOIN few v
+  SELECT file_idx, evtid, nc_id, photon_id, index AS voxel_index, ord, layer FROM wide_hits h CROSS JOIN centre v
   QUALIFY row_number() OVER (PARTITION BY photon_id ORDER BY (h.x::DOUBLE - cx) * (h.x::DOUBLE - cx) + (h.y::DOUBLE - cy) * (h.y::DOUBLE - cy) + (h.z::DOUBLE - cz) * (h.z::DOUBLE - cz), ord) = 1),
 vhits AS (SELECT file_idx, evtid, nc_id, voxel_index, CAST(count(*) AS INT) AS hits FROM wide_best GROUP BY ALL),
 rhits AS (
   SELECT file_idx, evtid, nc_id, CAST(count(*) AS INT) AS total_hits, CAST(count(*) FILTER (lower(layer) = 'pit') AS INT) AS pit, CAST(count(*) FILTER (lower(layer) = 'bot') AS INT) AS bot,
-    CAST(count(*) FILTER (lower(layer) = 'wall') AS INT) AS wall, CAST(count(*) FILTER (lower(layer) = 'top') AS INT) AS top FROM wide_best GROUP BY ALL),
+    CAST(count(*) FILTER (lower(layer) = 'wall') AS INT) AS wall, CAST(count(*) FILTER (lower(layer) = 'top') AS INT) AS top, CAST(count(DISTINCT voxel_index) AS INT) AS voxels_hit FROM wide_best GROUP BY ALL),
 full_hits AS (
-  SELECT nc.*, coalesce(total_hits, 0) AS total_hits, coalesce(pit, 0) AS pit, coalesce(bot, 0) AS bot, coalesce(wall, 0) AS wall, coalesce(top, 0) AS top
+  SELECT nc.*, coalesce(total_hits, 0) AS total_hits, coalesce(pit, 0) AS pit, coalesce(bot, 0) AS bot, coalesce(wall, 0) AS wall, coalesce(top, 0) AS top, coalesce(voxels_hit, 0) AS voxels_hit
   FROM nc LEFT JOIN rhits USING (file_idx, evtid, nc_id)),
 mat_names AS (SELECT material AS name, row_number() OVER (ORDER BY material) AS rank FROM (SELECT DISTINCT material FROM cap)),
 vol_names AS (SELECT volume AS name, row_number() OVER (ORDER BY volume) AS rank FROM (SELECT DISTINCT volume FROM cap)),
@@ -130,7 +130,7 @@ def _hist2(rows: str, x: str, xlo: str, xhi: str, y: str, ylo: str, yhi: str, n:
 _MAX = "(SELECT greatest(max(n_photons), 1.000001)::DOUBLE FROM {0})"
 _DLO, _DHI = "(SELECT min(dt) FROM dts)", "(SELECT max(dt) FROM dts)"
 _TOTALS = "SELECT nc.file_idx, nc.evtid, nc.nc_id, nc.phys_volume AS name, coalesce(h.total_hits, 0) AS total_hits, coalesce(h.voxels_hit, 0) AS voxels_hit FROM nc LEFT JOIN (SELECT file_idx, evtid, nc_id, CAST(sum(hits) AS BIGINT) AS total_hits, count(*) AS voxels_hit FROM vhits GROUP BY ALL) h USING (file_idx, evtid, nc_id)"
-_TRAIN = "(SELECT f.* EXCLUDE (mat_id, vol_id), mat_id, vol_id, coalesce(split, 'train') AS split FROM (SELECT i.file_idx, i.evtid, i.nc_id, i.mat_id, i.vol_id, i.x, i.y, i.z, h.total_hits, h.pit, h.bot, h.wall, h.top FROM ids_nc i JOIN full_hits h USING (file_idx, evtid, nc_id)) f LEFT JOIN splits USING (file_idx, evtid))"
+_TRAIN = "(SELECT f.* EXCLUDE (mat_id, vol_id), mat_id, vol_id, coalesce(split, 'train') AS split FROM (SELECT i.file_idx, i.evtid, i.nc_id, i.mat_id, i.vol_id, i.x, i.y, i.z, h.total_hits, h.pit, h.bot, h.wall, h.top, h.voxels_hit FROM ids_nc i JOIN full_hits h USING (file_idx, evtid, nc_id)) f LEFT JOIN splits USING (file_idx, evtid))"
 _R_MM = "sqrt((CAST(x AS REAL) * 1000::REAL)::DOUBLE * (CAST(x AS REAL) * 1000::REAL)::DOUBLE + (CAST(y AS REAL) * 1000::REAL)::DOUBLE * (CAST(y AS REAL) * 1000::REAL)::DOUBLE)"
 _PHI = "atan2((CAST(y AS REAL) * 1000::REAL)::DOUBLE, (CAST(x AS REAL) * 1000::REAL)::DOUBLE)"
 _KEY = "file_idx, evtid, nc_id"
@@ -149,7 +149,7 @@ _BODIES = {
     "nearest_voxel_grid": "SELECT * FROM near_best",
     "voxel_hits": "SELECT * FROM vhits",
     "region_hits": "SELECT * FROM rhits",
-    "dense_target": f"SELECT k.*, CAST(pos AS INT) AS pos, coalesce(hits, 0) AS hits FROM (SELECT DISTINCT {_KEY} FROM vhits) k CROSS JOIN (SELECT index, row_number() OVER (ORDER BY ord) - 1 AS pos FROM few) v LEFT JOIN vhits h ON h.file_idx = k.file_idx AND h.evtid = k.evtid AND h.nc_id = k.nc_id AND h.voxel_index = v.index",
+    "dense_target": f"SELECT {_KEY}, (SELECT CAST(count(*) AS INT) FROM voxel) AS n_voxels, CAST(sum(hits) AS BIGINT) AS total, string_agg(pos || ':' || hits, ',' ORDER BY pos) AS nonzero FROM vhits JOIN (SELECT index AS voxel_index, row_number() OVER (ORDER BY ord) - 1 AS pos FROM voxel) USING (voxel_index) GROUP BY ALL",
     "voxel_metadata": "SELECT index AS voxel_index, " + ", ".join(f"CAST(lower(layer) = '{n}' AS INT)::DOUBLE AS is_{n}" for n in ("pit", "bot", "wall", "top")) + ", round(CAST(sqrt(cx * cx + cy * cy) AS REAL)::DOUBLE, 6) + 0 AS r, round(CAST(atan2(cy, cx) AS REAL)::DOUBLE, 6) + 0 AS phi, round(CAST(cz AS REAL)::DOUBLE, 6) + 0 AS z FROM voxel",
     "dimension_tables": "SELECT 'material' AS dimension, name AS key, id::DOUBLE AS value FROM mat_dict UNION ALL SELECT 'volume', name, id::DOUBLE FROM vol_dict UNION ALL SELECT 'center_' || i, index, [cx, cy, cz][i + 1] FROM voxel CROSS JOIN range(3) t(i)",
     "nc_features": f"""SELECT {_KEY}, round(xm::DOUBLE, 3) + 0 AS "xNC_mm", round(ym::DOUBLE, 3) + 0 AS "yNC_mm", round(zm::DOUBLE, 3) + 0 AS "zNC_mm", mat_id::DOUBLE AS "matID", vol_id::DOUBLE AS "volID",
@@ -166,7 +166,7 @@ _BODIES = {
     "split_reuse": f"""SELECT nc.file_idx, coalesce(s.split, 'train') AS split, count(*) AS n FROM nc LEFT JOIN (SELECT file_idx, evtid, CASE WHEN row_number() OVER (ORDER BY md5('42:' || file_idx || ':' || evtid), file_idx, evtid) <= floor((SELECT count(*) FROM evt WHERE file_idx % 7 <> 0) * 0.8::DOUBLE + 1e-9) THEN 'train' ELSE 'validation' END AS split FROM evt WHERE file_idx % 7 <> 0) s USING (file_idx, evtid) GROUP BY ALL""",
     "event_weight": "SELECT count(*) AS n_distinct, CASE WHEN count(*) > 0 THEN round(1.0::DOUBLE / count(*), 12) ELSE 1 END AS weight FROM keys",
     "event_weight_sampled": "SELECT count(*) AS n_distinct, CASE WHEN count(*) > 0 THEN round(1.0::DOUBLE / (count(*) * greatest((SELECT count(DISTINCT file_idx) FROM cap) / 5.0::DOUBLE, 1)), 12) ELSE 1 END AS weight FROM keys WHERE file_idx < 5",
-    "build_training_set": f"SELECT {_KEY}, split, total_hits, pit, bot, wall, top, mat_id, vol_id, round(CAST({_R_MM} AS REAL)::DOUBLE, 3) + 0 AS \"r_NC_mm\", round(CAST(1.0::DOUBLE / (SELECT count(*) FROM keys) AS REAL)::DOUBLE, 9) AS weight FROM {_TRAIN}",
+    "build_training_set": f"SELECT {_KEY}, split, total_hits, pit, bot, wall, top, voxels_hit, mat_id, vol_id, round(CAST({_R_MM} AS REAL)::DOUBLE, 3) + 0 AS \"r_NC_mm\", round(CAST(1.0::DOUBLE / (SELECT count(*) FROM keys) AS REAL)::DOUBLE, 9) AS weight FROM {_TRAIN}",
     "completeness_check": f"SELECT file_idx, count(*) AS n_in, count(*) AS n_out, true AS complete FROM nc GROUP BY 1",
     "distinct_captures": "SELECT file_idx, count(*) AS n_distinct FROM keys GROUP BY 1",
     "reconcile_counts": f"""SELECT n_in, n_out, n_train, n_validation, n_in - n_out AS difference, {_pct('n_out', 'n_in')} AS pct_recovered, {_pct('n_in - n_out', 'n_in')} AS pct_lost, {_pct('n_train', 'n_out')} AS pct_train, {_pct('n_validation', 'n_out')} AS pct_validation,
@@ -207,7 +207,7 @@ _BODIES = {
     "unmatched_names": f"SELECT name FROM phys WHERE ({_GROUP}) = 'unmatched'",
     "event_hit_totals": f"SELECT * EXCLUDE (name) FROM ({_TOTALS})",
     "group_spectrum_stats": f"SELECT {_GROUP} AS group_name, count(*) AS n_events, round(avg(total_hits), 6) AS mean_hits, round(avg(voxels_hit), 6) AS mean_voxels, round(median(total_hits), 6) AS median_hits, round(median(voxels_hit), 6) AS median_voxels FROM ({_TOTALS}) GROUP BY 1",
-    "extract_names": """SELECT DISTINCT name, CAST(length(name) AS INT) AS n_chars FROM (SELECT regexp_extract(line, '<a[^>]* href="([^"]+)"', 1) AS name FROM (SELECT unnest(string_split(html, chr(10))) AS line FROM pages)) WHERE name <> ''""",
+    "extract_names": """SELECT DISTINCT name, CAST(length(name) AS INT) AS n_chars FROM (SELECT unnest(regexp_extract_all(line, '<a[^>]* href="([^"]+)"', 1)) AS name FROM (SELECT unnest(string_split(html, chr(10))) AS line FROM pages)) WHERE name <> ''""",
 }
 
 ORACLE_SQL: dict[str, str] = {name: VIEWS + body for name, body in _BODIES.items()}

@@ -52,10 +52,10 @@ def photons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def voxels(spark: SparkSession, sf_dir: str, below: int = 150) -> DataFrame:
-    """Voxels from part: a dimension of at most `below` rows."""
+def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels from part, one each; centres repeat after a while, so there are ties."""
     k = "p_partkey"
-    return _table(spark, sf_dir, "part").where(F.col(k) < below).selectExpr(
+    return _table(spark, sf_dir, "part").selectExpr(
         f"cast({k} as int) as ord", f"cast({k} as string) as index",
         f"array(cast(({k} * 37 % 80 - 40) * 100 as double), cast(({k} * 53 % 80 - 40) * 100 as double), cast(({k} * 71 % 90) * 100 - 4979 as double)) as center",
         f"case {k} % 5 when 0 then 'Pit' when 1 then 'bot' when 2 then 'WALL' when 3 then 'top' else 'other' end as layer",
