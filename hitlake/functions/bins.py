@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,23 +34,26 @@ def symmetric_log(lo: float, hi: float, edges: int = 50) -> list[float]:
     return [*below, *([-1.0] if not below else []), 0.0, *([1.0] if not above else []), *above]
 
 
-def counted(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., value, n): how often each value occurs. Histograms, edges and group sizes all follow from it."""
-    return df.groupBy(*by, F.col(value).cast("double").alias(value)).agg(F.count("*").alias("n"))
+def place(value: Column, edges: list[float]) -> Column:
+    """The bin of a value between the first and the last edge, by halving the edges: plain comparisons, compiled."""
 
+    def half(lo: int, hi: int) -> Column:
+        if hi - lo == 1:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value < F.lit(float(edges[mid])), half(lo, mid)).otherwise(half(mid, hi))
 
-def histogram(counts: DataFrame, value: str, edges: list[float], by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., bin, lo, hi, n) for every bin, also empty ones, from `counted` values.
+    return half(0, len(edges) - 1)
 
-    The edges are compared once per distinct value and group, not once per row.
-    """
-    spark, n = counts.sparkSession, len(edges) - 1
-    at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(value))) - 1
-    placed = counts.where(F.col(value).between(float(edges[0]), float(edges[-1]))).withColumn("bin", F.least(at, F.lit(n - 1)))
-    sums = placed.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+
+def histogram(rows: DataFrame, value: str, edges: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., bin, lo, hi, n) for every bin, also empty ones. Rows are binned where they are; only bins are shuffled."""
+    spark, n = rows.sparkSession, len(edges) - 1
+    v = F.col(value).cast("double")
+    sums = rows.where(v.between(float(edges[0]), float(edges[-1]))).groupBy(*by, place(v, edges).alias("bin")).agg(F.count("*").alias("n"))
     table = spark.createDataFrame([(i, float(edges[i]), float(edges[i + 1])) for i in range(n)], "bin int, lo double, hi double")
     if by:
-        table = counts.select(*by).distinct().join(F.broadcast(table))  # the list of edges: a few dozen rows
+        table = rows.select(*by).distinct().join(F.broadcast(table))  # the list of edges: a few dozen rows
         same = [table[c].eqNullSafe(sums[c]) for c in (*by, "bin")]
         return table.join(sums, same, "left").select(*[table[c] for c in by], table["bin"], "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
     return table.join(sums, "bin", "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))

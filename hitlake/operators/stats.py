@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitlake.functions.geometry import percent
+from hitlake.operators import ranks
 from hitlake.schema import KEY
 
 PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
@@ -70,14 +71,16 @@ def relative_times(photons: DataFrame, captures: DataFrame, keys: tuple[str, ...
 
 
 def distribution(df: DataFrame, value: str) -> DataFrame:
+    """One row: count, mean, deviation, ends and quartiles."""
     v = F.col(value)
-    return df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.lit(0.25)).alias("q25"), F.percentile(v, F.lit(0.75)).alias("q75"))
+    q25, median, q75 = ranks.quantiles(df, value, [0.25, 0.5, 0.75])
+    shape = df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return shape.withColumns({name: F.lit(x).cast("double") for name, x in (("median", median), ("q25", q25), ("q75", q75))})
 
 
 def percentiles(df: DataFrame, value: str, at: tuple[int, ...] = PERCENTILES) -> DataFrame:
     """(percentile, value), exact with linear interpolation."""
-    row = df.agg(F.percentile(F.col(value), F.array(*[F.lit(p / 100) for p in at])).alias("_all"))
-    return row.select(F.posexplode("_all").alias("_i", "value")).select(F.element_at(F.array(*[F.lit(p) for p in at]), F.col("_i") + 1).alias("percentile"), "value")
+    return df.sparkSession.createDataFrame(list(zip(at, ranks.quantiles(df, value, [p / 100 for p in at]))), "percentile int, value double")
 
 
 def window_counts(df: DataFrame, value: str, ranges: tuple = RANGES) -> DataFrame:
@@ -91,7 +94,8 @@ def material_yield(table: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Captures, hits and hits per capture by material; ids without a name are Unknown_<id>; rank 1 has the largest yield."""
     sums = table.groupBy(F.col("mat_id").alias("id")).agg(F.count("*").alias("n_captures"), F.sum("n_photons").alias("n_photons"))
     named = sums.join(dictionary.select("id", "name"), "id", "left")
-    return named.select(F.coalesce("name", F.concat(F.lit("Unknown_"), F.col("id").cast("string"))).alias("material"), "n_captures", "n_photons", (F.col("n_photons") / F.col("n_captures")).alias("photons_per_capture"))
+    named = named.select(F.coalesce("name", F.concat(F.lit("Unknown_"), F.col("id").cast("string"))).alias("material"), "n_captures", "n_photons", (F.col("n_photons") / F.col("n_captures")).alias("photons_per_capture"))
+    return named.withColumn("rank", F.row_number().over(Window.orderBy(F.col("photons_per_capture").desc(), "material"))).orderBy("rank")  # a row per material
 
 
 def flag_comparison(table: DataFrame) -> DataFrame:
@@ -103,4 +107,5 @@ def flag_comparison(table: DataFrame) -> DataFrame:
 
 def range_summary(table: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """One row: minimum, maximum and median of each column."""
-    return table.agg(*[f(F.col(c)).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max), ("median", F.median))])
+    ends = table.agg(*[f(F.col(c)).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
+    return ends.withColumns({f"{c}_median": F.lit(ranks.quantiles(table, c, [0.5])[0]).cast("double") for c in columns})

@@ -390,29 +390,29 @@ def nc_range_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- histograms
 
 
-def _counted(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Counts by value, written once: the edges need their ends first, then the bins need them again."""
-    return materialise(bins.counted(rows, value, by))
+def _values(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The column alone, written once: the edges need its ends first, then the bins need it again."""
+    return materialise(rows.select(*by, F.col(value).cast("double").alias(value)))
 
 
 @query
 def group_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits per capture by volume name: 50 bins from 0 to the largest, also per event of the group."""
-    counts = _counted(_photon_table(spark, sf_dir), "n_photons", ("volume",))
+    counts = _values(_photon_table(spark, sf_dir), "n_photons", ("volume",))
     table = bins.histogram(counts, "n_photons", bins.linear(0.0, max(bins.largest(counts, "n_photons"), 1.0), 50), ("volume",))
-    events = counts.groupBy("volume").agg(F.sum("n").alias("_events"))
+    events = counts.groupBy("volume").agg(F.count("*").alias("_events"))
     return rounded(table.join(events, "volume").withColumn("per_event", F.col("n") / F.col("_events")).drop("_events"), "lo", "hi", "per_event")
 
 
 @query
 def hist_log_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _counted(_yields(spark, sf_dir), "n_photons")
+    counts = _values(_yields(spark, sf_dir), "n_photons")
     return rounded(bins.histogram(counts, "n_photons", bins.zero_and_log(bins.largest(counts, "n_photons"))), "lo", "hi")
 
 
 @query
 def hist_small_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bins.histogram(bins.counted(_yields(spark, sf_dir).where("n_photons <= 100"), "n_photons"), "n_photons", bins.small_counts()), "lo", "hi")
+    return rounded(bins.histogram(_yields(spark, sf_dir).where("n_photons <= 100"), "n_photons", bins.small_counts()), "lo", "hi")
 
 
 @query
@@ -421,26 +421,26 @@ def hist_file_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, out = materialise(rounded(_file_stats(spark, sf_dir), "pct_orphaned", "pct_zero")), None
     for c in ("pct_orphaned", "pct_zero"):
         lo, hi = bins.smallest(rows, c), bins.largest(rows, c)
-        one = bins.histogram(bins.counted(rows, c), c, bins.linear(lo, hi if hi > lo else lo + 1, 30)).withColumn("metric", F.lit(c))
+        one = bins.histogram(rows, c, bins.linear(lo, hi if hi > lo else lo + 1, 30)).withColumn("metric", F.lit(c))
         out = one if out is None else out.unionByName(one)
     return rounded(out, "lo", "hi")
 
 
 @query
 def hist_dt_symlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _counted(_dt(spark, sf_dir), "dt")
+    counts = _values(_dt(spark, sf_dir), "dt")
     return rounded(bins.histogram(counts, "dt", bins.symmetric_log(bins.smallest(counts, "dt"), bins.largest(counts, "dt"))), "lo", "hi")
 
 
 @query
 def hist_dt_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = bins.counted(_dt(spark, sf_dir).where("dt between -50 and 500"), "dt")
+    counts = _dt(spark, sf_dir).where("dt between -50 and 500")
     return rounded(bins.histogram(counts, "dt", bins.linear(-50.0, 500.0, 99)), "lo", "hi")
 
 
 @query
 def hist_flag_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _counted(_photon_table(spark, sf_dir), "n_photons", ("flag",))
+    counts = _values(_photon_table(spark, sf_dir), "n_photons", ("flag",))
     edges = bins.log_space(0.0, max(bins.largest(counts, "n_photons"), 1.000001), 50)
     return rounded(bins.histogram(counts, "n_photons", edges, ("flag",)), "lo", "hi")
 

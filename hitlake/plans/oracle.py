@@ -20,7 +20,7 @@ cap AS (
     CAST({_K} % 7 - 1 AS INT) AS gamma_amount, o_totalprice / 10 - 500 AS gamma_total, [{_GAMMA}] AS gammas, o_orderpriority AS material,
     CASE WHEN {_K} % 23 = 0 THEN '' ELSE coalesce(c_mktsegment, '') END AS volume, {VOLUME_NAME.format(k=_K)} AS phys_volume, {_K} % 19 = 0 AS flag
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey CROSS JOIN (SELECT 0 AS row_ix UNION ALL SELECT 1) d
-  WHERE {_K} % 11 <> 0 AND (d.row_ix = 0 OR {_K} % 17 = 0)),
+  WHERE d.row_ix = 0 OR {_K} % 17 = 0),
 nc AS (SELECT * FROM cap QUALIFY row_number() OVER (PARTITION BY file_idx, evtid, nc_id ORDER BY row_ix DESC) = 1),
 photon AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS photon_id, CAST(l_orderkey // 1000 AS INT) AS file_idx, (l_orderkey % 1000) // 4 AS evtid,
@@ -191,7 +191,7 @@ _BODIES = {
     "dt_summary": "SELECT count(*) AS n, round(avg(dt), 6) + 0 AS mean, round(median(dt), 6) + 0 AS median, round(stddev_pop(dt), 6) + 0 AS std, min(dt) AS min, max(dt) AS max, round(quantile_cont(dt, 0.25), 6) + 0 AS q25, round(quantile_cont(dt, 0.75), 6) + 0 AS q75 FROM dts",
     "dt_percentiles": " UNION ALL ".join(f"SELECT {p} AS percentile, round(quantile_cont(dt, {p / 100}), 6) + 0 AS value FROM dts" for p in PERCENTILES),
     "dt_window_counts": " UNION ALL ".join(f"SELECT {lo} AS lo, {hi} AS hi, count(*) FILTER (dt BETWEEN {lo} AND {hi}) AS n, {_pct(f'count(*) FILTER (dt BETWEEN {lo} AND {hi})', 'count(*)')} AS pct FROM dts" for lo, hi in RANGES),
-    "material_yield": "SELECT CASE WHEN d.name = '5-LOW' THEN 'Unknown_' || mat_id ELSE d.name END AS material, count(*) AS n_captures, CAST(sum(n_photons) AS BIGINT) AS n_photons, round(sum(n_photons)::DOUBLE / count(*), 6) AS photons_per_capture FROM ptable JOIN mat_dict d ON d.id = mat_id GROUP BY d.name, mat_id",
+    "material_yield": "SELECT *, CAST(row_number() OVER (ORDER BY n_photons::DOUBLE / n_captures DESC, material) AS INT) AS rank FROM (SELECT CASE WHEN d.name = '5-LOW' THEN 'Unknown_' || mat_id ELSE d.name END AS material, count(*) AS n_captures, CAST(sum(n_photons) AS BIGINT) AS n_photons, round(sum(n_photons)::DOUBLE / count(*), 6) AS photons_per_capture FROM ptable JOIN mat_dict d ON d.id = mat_id GROUP BY d.name, mat_id)",
     "flag_comparison": f"SELECT count(*) FILTER (flag) AS n_flagged, count(*) AS n_all, round(avg(n_photons) FILTER (flag), 6) AS mean_flagged, round(avg(n_photons) FILTER (NOT flag), 6) AS mean_other, round(median(n_photons) FILTER (flag), 6) AS median_flagged, round(median(n_photons) FILTER (NOT flag), 6) AS median_other, {_pct('count(*) FILTER (flag)', 'count(*)')} AS pct_flagged, round(avg(n_photons) FILTER (flag) / nullif(avg(n_photons) FILTER (NOT flag), 0), 6) AS mean_ratio FROM ptable",
     "nc_range_summary": "SELECT " + ", ".join(f"round({f}({c}), 6) + 0 AS {c}_{f}" for c in ("r", "z_mm", "gamma1", "total") for f in ("min", "max", "median")) + " FROM ptable",
     "group_histogram": "SELECT h.*, round(n::DOUBLE / events, 6) AS per_event FROM (" + _hist("ptable", "n_photons", _edges("0::DOUBLE", "(SELECT greatest(max(n_photons), 1)::DOUBLE FROM ptable)", 50), "volume") + ") h JOIN (SELECT volume, count(*) AS events FROM ptable GROUP BY 1) USING (volume)",

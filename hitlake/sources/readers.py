@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitlake import schema
+from hitlake.operators import ranks
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
@@ -46,10 +47,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    """File index, file and run name from distinct paths (column source_file). The window sees one row per file."""
+    """File index, file and run name from distinct paths (column source_file)."""
     parts = F.split("source_file", "/")
-    named = files.select("source_file").distinct()
-    return named.select("source_file", (F.dense_rank().over(Window.orderBy("source_file")) - 1).cast("int").alias("file_rank"), F.element_at(parts, -1).alias("file_name"), F.element_at(parts, -2).alias("run"))
+    named = ranks.numbered(files.select("source_file").distinct(), "source_file", "_place")
+    return named.select("source_file", F.col("_place").cast("int").alias("file_rank"), F.element_at(parts, -1).alias("file_name"), F.element_at(parts, -2).alias("run"))
 
 
 def discover(spark: SparkSession, base: str, nested: bool = False, pattern: str = "output_*") -> DataFrame:

@@ -29,7 +29,7 @@ VOLUME_NAME = (
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capture records from orders; every 17th key twice, the later record with a later time."""
     orders, customer = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    rows = orders.where("o_orderkey % 11 <> 0").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
     k = "o_orderkey"
     gammas = ", ".join(f"struct(cast((({k} * {i}) % 9) * 100 - 100 as double) as e, cast(((o_custkey + {i}) % 5 - 2) as double) / 2 as px, cast((({k} + {i}) % 7 - 3) as double) / 3 as py, cast((({k} * {i}) % 11 - 5) as double) / 5 as pz)" for i in range(1, 5))
     rows = rows.selectExpr(
