@@ -87,7 +87,7 @@ def nearest_grid(hits: DataFrame, voxels: DataFrame, cell: float | None = None)
         v = F.col(c).cast("double")
         finite = finite & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     named = lambda df, best: df.select(*hits.columns, F.coalesce(best["voxel"]["index"], F.lit("-1")).alias("voxel_index"), best["voxel"]["ord"].alias("voxel_ord"), best["voxel"]["layer"].alias("layer"))
-    found = materialise(_look(hits, points, n, cell))
+    found = materialise(_look(hits, points, n, cell).withColumn("_best", F.when(finite, F.col("_best"))))
     out = named(found.where(~finite | (F.col("_best.d2") <= cell * cell)), F.col("_best"))
     while True:
         rest = found.where(finite & ~F.coalesce(F.col("_best.d2") <= cell * cell, F.lit(False))).drop("_best")

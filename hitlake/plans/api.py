@@ -31,12 +31,14 @@ def _indexed(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 def build_training_set(
     spark: SparkSession, inputs: Inputs, output: str, *, window: float = 200.0, val_fraction: float = 0.2, seed: int = 42, sample_files: int | None = 50, scale: float = 1000.0,
-    geometry: Geometry = Geometry(), reset: bool = False,
+    geometry: Geometry = Geometry(), primaries: int = 0, reset: bool = False,
 ) -> DataFrame:
     """Write the training set and its dimensions under `output`; returns the quarantined files.
 
     A saved split is used again unless one of its captures is gone, and dictionaries only grow. Files that are there
-    already are overwritten by an equal result, so a rerun after a failure is safe. `reset` forgets split and dictionaries.
+    already are overwritten by an equal result, so a rerun after a failure is safe. A file that cannot be read, or whose
+    ids cannot be mapped, is recorded as failed and does not stop the others (`run_record`). `reset` starts over: split,
+    dictionaries, rows, dimensions and record are made anew.
     """
     captures = readers.read_captures(spark, inputs.captures)
     files = materialise(readers.manifest(captures))
@@ -59,19 +61,40 @@ def build_training_set(
     photons = _indexed(readers.read_photons(spark, inputs.photons), files).withColumn("photon_id", F.monotonically_increasing_id())
     voxels = readers.read_voxels(spark, inputs.voxels)
     rows = build.training_set(photons, nc, voxels, by_index, window, ("file_idx", "evtid"), scale, geometry, sample_files)
-    build.write_training_set(rows, f"{output}/rows")
-    build.write_dimensions(output, voxel_metadata=targets.voxel_metadata(voxels))
+    build.write_training_set(rows, f"{output}/rows", reset)
+    dictionaries = {c: readers.read_dictionary(spark, f"{output}/{c}.json") for c in ("materials", "volumes")}
+    build.write_dimensions(output, reset, voxel_metadata=targets.voxel_metadata(voxels), geometry=build.geometry_table(spark, geometry, primaries), material_map=dictionaries["materials"], volume_map=dictionaries["volumes"])
+    done = sinks.read_training_set(spark, f"{output}/rows").groupBy("source_file").agg(F.lit("completed").alias("status"), F.count(F.when(F.col("split") == "train", 1)).alias("rows_train"), F.count(F.when(F.col("split") == "validation", 1)).alias("rows_validation"), F.lit("").alias("reason"))
+    failed = bad.join(files.select(F.col("file_rank").alias("file_idx"), "source_file"), "file_idx").select("source_file", "reason")
+    failed = failed.unionByName(readers.unreadable(spark, inputs.captures).withColumn("reason", F.lit("unreadable")))
+    failed = failed.select("source_file", F.lit("failed").alias("status"), F.lit(0).cast("bigint").alias("rows_train"), F.lit(0).cast("bigint").alias("rows_validation"), "reason")
+    sinks.append_record(done.join(files, "source_file", "left_semi").unionByName(failed), f"{output}/record", reset)
     return bad.join(files.select(F.col("file_rank").alias("file_idx"), "source_file"), "file_idx")
 
 
 def _existing(read):
-    """What an earlier run left, or nothing."""
+    """What an earlier run left, or nothing if the path is not there; anything else that is wrong with it is an error."""
     from pyspark.errors import AnalysisException
 
     try:
         return read()
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def run_record(spark: SparkSession, output: str) -> DataFrame:
+    """The last state of every file: completed or failed, rows of both splits, reason."""
+    return sinks.read_record(spark, f"{output}/record")
+
+
+def missing_captures(spark: SparkSession, inputs: Inputs) -> DataFrame:
+    """Every file of captures or hits with its distinct captures; files without a capture group count 0 and are marked."""
+    captures, photons = readers.read_captures(spark, inputs.captures), readers.read_photons(spark, inputs.photons)
+    files = readers.manifest(captures.select("source_file").union(photons.select("source_file")))
+    per_file = reconcile.distinct_captures(_indexed(captures, files))
+    return reconcile.with_missing_files(per_file, files.select("source_file", F.col("file_rank").alias("file_idx")))
 
 
 def reconcile_counts(spark: SparkSession, inputs: Inputs, output: str) -> DataFrame:
@@ -92,9 +115,15 @@ def photon_report(spark: SparkSession, inputs: Inputs, n_files: int = 1000, seed
 def group_spectra(spark: SparkSession, output: str) -> DataFrame:
     """Hit statistics by volume group of a written training set; volumes are named by its own dictionary."""
     names = readers.read_dictionary(spark, f"{output}/volumes.json")
-    rows = sinks.read_training_set(spark, f"{output}/rows").select(*KEY, F.col("volID").cast("int").alias("id"), "total_hits", F.lit(0).alias("voxels_hit"))
+    rows = sinks.read_training_set(spark, f"{output}/rows").select(*KEY, F.col("volID").cast("int").alias("id"), "total_hits", "voxels_hit")
     named = rows.join(dictionary.inverted(names), "id", "left").withColumn("name", F.coalesce("name", F.lit("")))
     return groups.spectrum_stats(named, groups.grouped_names(names))
 
 
-__all__ = ["Inputs", "build_training_set", "group_spectra", "photon_report", "reconcile_counts"]
+def dense_targets(spark: SparkSession, output: str, voxels: str) -> DataFrame:
+    """The counts of a written training set as one array per capture, in voxel order; captures without hits have none."""
+    rows = sinks.read_training_set(spark, f"{output}/rows").select(*KEY, F.explode("voxel_hits").alias("voxel_index", "hits"))
+    return targets.dense_target(rows, readers.read_voxels(spark, voxels))
+
+
+__all__ = ["Inputs", "build_training_set", "dense_targets", "group_spectra", "missing_captures", "photon_report", "reconcile_counts", "run_record"]

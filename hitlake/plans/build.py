@@ -29,9 +29,9 @@ def training_set(photons: DataFrame, captures: DataFrame, voxels: DataFrame, spl
     return joined.join(F.broadcast(weight))  # one row
 
 
-def write_training_set(rows: DataFrame, path: str) -> None:
-    """Idempotent: only the partitions of the files that are in `rows` are replaced."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split", "file_idx").parquet(path)
+def write_training_set(rows: DataFrame, path: str, fresh: bool = False) -> None:
+    """Idempotent: only the partitions of the files that are in `rows` are replaced; with `fresh`, all there is."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static" if fresh else "dynamic").partitionBy("split", "file_idx").parquet(path)
 
 
 def geometry_table(spark: SparkSession, geometry: Geometry, primaries: int) -> DataFrame:
@@ -40,7 +40,7 @@ def geometry_table(spark: SparkSession, geometry: Geometry, primaries: int) -> D
     return spark.createDataFrame(list(values.items()), "name string, value double")
 
 
-def write_dimensions(path: str, **tables: DataFrame) -> None:
-    """Dimension tables, written once; existing ones stay."""
+def write_dimensions(path: str, fresh: bool = False, **tables: DataFrame) -> None:
+    """Dimension tables, written once; existing ones stay unless `fresh`."""
     for name, df in tables.items():
-        df.write.mode("ignore").parquet(f"{path}/{name}")
+        df.write.mode("overwrite" if fresh else "ignore").parquet(f"{path}/{name}")

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from hitlake.functions import bins
 from hitlake.functions import geometry as geo
 from hitlake.operators import dictionary, groups, match, nearest, reconcile, split, stats, targets
-from hitlake.plans import build
+from hitlake.plans import api, build
 from hitlake.plans.oracle import ORACLE_SQL  # noqa: F401  re-exported for the driver's entry
 from hitlake.schema import KEY, LAYERS, PHI
-from hitlake.sources import readers, views
+from hitlake.sources import readers, sinks, views
 from hitlake.sources.scratch import materialise, scratch
 from hitlake.streaming import incremental
 
@@ -507,3 +507,139 @@ def incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     incremental.incremental_build(spark, f"{base}/in", nc.schema, f"{base}/state", f"{base}/out", make, files_per_batch=3)
     return spark.read.parquet(f"{base}/out").groupBy("split").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- whole jobs over raw files
+
+_written: dict[tuple[str, str], tuple[api.Inputs, str]] = {}
+
+
+def _raw_files(spark: SparkSession, sf_dir: str, base: str) -> api.Inputs:
+    """The views in the form of raw files: records, local dictionaries with overwritten entries, voxels as one JSON array."""
+    path = F.expr(views.source_file("file_idx")).alias("source_file")
+    nc = views.with_local_ids(spark, sf_dir)
+    gammas = [F.col("gammas")[i - 1][n].alias(f"gamma{i}_{c}") for i in range(1, 5) for c, n in (("E", "e"), ("px", "px"), ("py", "py"), ("pz", "pz"))]
+    nc.select(
+        path, F.col("row_ix").cast("bigint").alias("row_ix"), "evtid", F.col("nc_id").alias("nC_track_id"), *[F.col(c).alias(f"nC_{c}_position_in_m") for c in "xyz"], F.col("nc_time").alias("nC_time_in_ns"),
+        F.col("gamma_amount").alias("nC_gamma_amount"), F.col("gamma_total").alias("nC_gamma_total_energy_in_keV"), F.col("mat_local").cast("int").alias("nC_material_id"), F.col("vol_local").cast("int").alias("nC_phys_vol_id"), *gammas, F.col("flag").alias("nC_flag_Ge77"),
+    ).write.parquet(f"{base}/captures")
+    spark.createDataFrame([("this is no record",)], "value string").write.text(f"{base}/captures/damaged")  # one file that cannot be read
+    views.photons(spark, sf_dir).select(
+        path, "evtid", F.col("nc_id").alias("nC_track_id"), F.col("det_uid").cast("int").alias("det_uid"), *[F.col(c).alias(f"{c}_position_in_m") for c in "xyz"], *[F.col(f"p{c}").alias(f"{c}_momentum_direction") for c in "xyz"],
+        F.lit(0.0).alias("photon_gamma_kinetic_energy_in_keV"), F.col("time").alias("time_in_ns"),
+    ).write.parquet(f"{base}/photons")
+    for column, out in (("material", "materials"), ("volume", "volumes")):
+        names = views.local_dictionary(spark, sf_dir, column).select(path, F.col("local_id").cast("int").alias("local_id"), "name")
+        old = names.select("source_file", F.lit(0).cast("bigint").alias("row_ix"), "local_id", F.lit("overwritten").alias("name"))
+        old.unionByName(names.select("source_file", F.lit(1).cast("bigint").alias("row_ix"), "local_id", "name")).write.parquet(f"{base}/{out}")
+    corner = lambda d: F.transform("center", lambda c: c + d)
+    voxel = F.struct("ord", F.struct("index", "center", F.array(corner(-1.0), corner(1.0)).alias("corners"), "layer").alias("v"))
+    listed = views.voxels(spark, sf_dir).agg(F.to_json(F.transform(F.sort_array(F.collect_list(voxel)), lambda x: x["v"])).alias("value"))  # a detector description
+    listed.coalesce(1).write.text(f"{base}/voxels")
+    return api.Inputs(f"{base}/captures", f"{base}/photons", f"{base}/materials", f"{base}/volumes", f"{base}/voxels")
+
+
+def _build(spark: SparkSession, sf_dir: str) -> tuple[api.Inputs, str]:
+    """Raw files written and built once a session and input."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        base = f"{scratch(spark)}/job-{uuid.uuid4().hex}"
+        inputs = _raw_files(spark, sf_dir, f"{base}/raw")
+        api.build_training_set(spark, inputs, f"{base}/out", window=WIDE, sample_files=None, primaries=1000)
+        _written[key] = inputs, f"{base}/out"
+    return _written[key]
+
+
+@query
+def written_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw files through the whole job, the written rows read back; files are ranked by path."""
+    rows = spark.read.parquet(f"{_build(spark, sf_dir)[1]}/rows")
+    hits = F.aggregate(F.map_values("voxel_hits"), F.lit(0), lambda a, n: a + n)
+    return rows.select(*KEY, "split", "total_hits", *LAYERS, "voxels_hit", hits.alias("map_hits"), F.col("matID").cast("int").alias("mat_id"), F.col("volID").cast("int").alias("vol_id"), F.round(F.col("weight").cast("double"), 9).alias("weight"))
+
+
+@query
+def written_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense targets of the written training set: length, sum and the voxel with most hits, first of equals."""
+    inputs, out = _build(spark, sf_dir)
+    full = api.dense_targets(spark, out, inputs.voxels)
+    most = F.array_position("target", F.array_max("target")).cast("int") - 1
+    return full.select(*KEY, F.size("target").alias("n_voxels"), F.aggregate("target", F.lit(0), lambda a, h: a + h).alias("total"), most.alias("most_hit"))
+
+
+@query
+def written_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs, out = _build(spark, sf_dir)
+    return rounded(api.reconcile_counts(spark, inputs, out), "pct_recovered", "pct_lost", "pct_train", "pct_validation")
+
+
+@query
+def written_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(api.group_spectra(spark, _build(spark, sf_dir)[1]), "mean_hits", "mean_voxels", "median_hits", "median_voxels")
+
+
+@query
+def written_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The static dimensions as (dimension, key, value) rows: geometry, dictionaries, and the voxels' lower x corner."""
+    out = _build(spark, sf_dir)[1]
+    read = lambda name, key, value: spark.read.parquet(f"{out}/{name}").select(F.lit(name).alias("dimension"), F.col(key).alias("key"), F.expr(value).cast("double").alias("value"))
+    parts = [read("geometry", "name", "value"), read("material_map", "name", "id"), read("volume_map", "name", "id"), read("voxel_metadata", "voxel_index", "array_min(corner_x)")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query
+def run_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of every file after the job; the damaged one is there under a name of its own and shows as one row."""
+    rows = api.run_record(spark, _build(spark, sf_dir)[1])
+    return rows.withColumn("source_file", F.when(F.col("reason") == "unreadable", "damaged").otherwise(F.col("source_file")))
+
+
+@query
+def reset_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built once with other parameters, then started over: nothing of the first run is left."""
+    inputs, _ = _build(spark, sf_dir)
+    out = f"{scratch(spark)}/reset-{uuid.uuid4().hex}"
+    api.build_training_set(spark, inputs, out, window=200.0, val_fraction=0.5, seed=1, sample_files=None)
+    api.build_training_set(spark, inputs, out, window=WIDE, sample_files=None, reset=True)
+    return spark.read.parquet(f"{out}/rows").groupBy("split").agg(F.count("*").alias("n"), F.sum("total_hits").alias("hits"))
+
+
+@query
+def missing_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files of hits against the captures of four files in five: the others have no capture group."""
+    files = views.photons(spark, sf_dir).select("file_idx").distinct()
+    per_file = reconcile.distinct_captures(views.captures(spark, sf_dir).where("file_idx % 5 <> 0"))
+    return reconcile.with_missing_files(per_file, files)
+
+
+@query
+def stale_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved events that are gone when every seventh file is."""
+    nc = views.captures(spark, sf_dir)
+    return split.stale_rows(split.group_split(nc), nc.where("file_idx % 7 <> 0"), ("file_idx", "evtid")).groupBy("file_idx", "split").agg(F.count("*").alias("n"))
+
+
+@query
+def dictionary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary through its JSON file, then extended by the names of all files: what is known keeps its id."""
+    path = f"{scratch(spark)}/dictionary-{uuid.uuid4().hex}"
+    local = views.local_dictionary(spark, sf_dir, "volume")
+    sinks.write_dictionary(dictionary.extend(dictionary.collect_names(local.where("file_idx = 0"))), path)
+    return dictionary.extend(dictionary.collect_names(local), readers.read_dictionary(spark, path))
+
+
+@query
+def geometry_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volume names out of a written geometry text, with their place by (length, name)."""
+    path = f"{scratch(spark)}/geometry-{uuid.uuid4().hex}"
+    views.captures(spark, sf_dir).select(F.concat(F.lit('  <physvol name="'), "phys_volume", F.lit('" copynumber="1">')).alias("value")).write.text(path)
+    names = groups.extract_names(readers.read_lines(spark, path))
+    return names.select("name", F.length("name").alias("n_chars"))
+
+
+@query
+def unmatched_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the report of names without a group."""
+    path = f"{scratch(spark)}/report-{uuid.uuid4().hex}"
+    groups.write_report(unmatched_names(spark, sf_dir), path)
+    return readers.read_lines(spark, path)

@@ -134,6 +134,7 @@ _TRAIN = "(SELECT f.* EXCLUDE (mat_id, vol_id), mat_id, vol_id, coalesce(split,
 _R_MM = "sqrt((CAST(x AS REAL) * 1000::REAL)::DOUBLE * (CAST(x AS REAL) * 1000::REAL)::DOUBLE + (CAST(y AS REAL) * 1000::REAL)::DOUBLE * (CAST(y AS REAL) * 1000::REAL)::DOUBLE)"
 _PHI = "atan2((CAST(y AS REAL) * 1000::REAL)::DOUBLE, (CAST(x AS REAL) * 1000::REAL)::DOUBLE)"
 _KEY = "file_idx, evtid, nc_id"
+_BY_PATH = "(SELECT file_idx, evtid, CASE WHEN row_number() OVER (ORDER BY md5('42:' || source_file || ':' || evtid), source_file, evtid) <= floor((SELECT count(*) FROM evt) * 0.8::DOUBLE + 1e-9) THEN 'train' ELSE 'validation' END AS split FROM evt JOIN files USING (file_idx))"
 
 _BODIES = {
     "flagship": f"SELECT {_KEY}, total_hits, pit, bot, wall, top, round({_R_MM}, 6) + 0 AS r_mm, round({_PHI}, 6) + 0 AS phi_rad FROM full_hits",
@@ -208,6 +209,22 @@ _BODIES = {
     "event_hit_totals": f"SELECT * EXCLUDE (name) FROM ({_TOTALS})",
     "group_spectrum_stats": f"SELECT {_GROUP} AS group_name, count(*) AS n_events, round(avg(total_hits), 6) AS mean_hits, round(avg(voxels_hit), 6) AS mean_voxels, round(median(total_hits), 6) AS median_hits, round(median(voxels_hit), 6) AS median_voxels FROM ({_TOTALS}) GROUP BY 1",
     "extract_names": """SELECT DISTINCT name, CAST(length(name) AS INT) AS n_chars FROM (SELECT unnest(regexp_extract_all(line, '<a[^>]* href="([^"]+)"', 1)) AS name FROM (SELECT unnest(string_split(html, chr(10))) AS line FROM pages)) WHERE name <> ''""",
+    "incremental_build": "SELECT coalesce(split, 'train') AS split, count(*) AS n FROM nc LEFT JOIN splits USING (file_idx, evtid) GROUP BY 1",
+    "written_training_set": f"SELECT CAST(file_rank AS INT) AS file_idx, evtid, nc_id, p.split, total_hits, pit, bot, wall, top, voxels_hit, total_hits AS map_hits, mat_id, vol_id, round(CAST(1.0::DOUBLE / (SELECT count(*) FROM keys) AS REAL)::DOUBLE, 9) AS weight FROM {_TRAIN} JOIN files USING (file_idx) JOIN {_BY_PATH} p USING (file_idx, evtid)",
+    "written_targets": "SELECT CAST(any_value(file_rank) AS INT) AS file_idx, evtid, nc_id, (SELECT CAST(count(*) AS INT) FROM voxel) AS n_voxels, CAST(sum(hits) AS INT) AS total, CAST(arg_min(pos, (-hits, pos)) AS INT) AS most_hit FROM vhits JOIN files f USING (file_idx) JOIN (SELECT index AS voxel_index, row_number() OVER (ORDER BY ord) - 1 AS pos FROM voxel) USING (voxel_index) GROUP BY vhits.file_idx, evtid, nc_id",
+    "written_counts": f"""SELECT n AS n_in, n AS n_out, n_train, n - n_train AS n_validation, 0::BIGINT AS difference, 100.0::DOUBLE AS pct_recovered, 0.0::DOUBLE AS pct_lost, {_pct('n_train', 'n')} AS pct_train, {_pct('n - n_train', 'n')} AS pct_validation, 'equal' AS verdict
+      FROM (SELECT count(*) AS n, count(*) FILTER (p.split = 'train') AS n_train FROM nc JOIN {_BY_PATH} p USING (file_idx, evtid))""",
+    "written_spectra": f"SELECT CASE WHEN volume = '' THEN 'noVolume' ELSE 'unmatched' END AS group_name, count(*) AS n_events, round(avg(total_hits), 6) AS mean_hits, round(avg(voxels_hit), 6) AS mean_voxels, round(median(total_hits), 6) AS median_hits, round(median(voxels_hit), 6) AS median_voxels FROM full_hits GROUP BY 1",
+    "written_dimensions": """SELECT 'material_map' AS dimension, name AS key, id::DOUBLE AS value FROM mat_dict UNION ALL SELECT 'volume_map', name, id::DOUBLE FROM vol_dict UNION ALL SELECT 'voxel_metadata', index, cx - 1 FROM voxel
+      UNION ALL SELECT 'geometry', unnest(['radius', 'height', 'cut_bottom', 'cut_top', 'lift', 'primaries']), unnest([4300.0::DOUBLE, 8900, -4979, 3919, 2, 1000])""",
+    "run_record": f"""SELECT source_file, 'completed' AS status, count(*) FILTER (p.split = 'train') AS rows_train, count(*) FILTER (p.split = 'validation') AS rows_validation, '' AS reason FROM nc JOIN files USING (file_idx) JOIN {_BY_PATH} p USING (file_idx, evtid) GROUP BY 1
+      UNION ALL SELECT 'damaged', 'failed', 0, 0, 'unreadable'""",
+    "reset_build": f"SELECT p.split, count(*) AS n, CAST(sum(total_hits) AS BIGINT) AS hits FROM full_hits JOIN {_BY_PATH} p USING (file_idx, evtid) GROUP BY 1",
+    "missing_captures": "SELECT f.file_idx, coalesce(n, 0) AS n_distinct, n IS NULL AS missing FROM (SELECT DISTINCT file_idx FROM photon) f LEFT JOIN (SELECT file_idx, count(*) AS n FROM keys WHERE file_idx % 5 <> 0 GROUP BY 1) USING (file_idx)",
+    "stale_split": "SELECT file_idx, split, count(*) AS n FROM splits WHERE file_idx % 7 = 0 GROUP BY ALL",
+    "geometry_names": "SELECT name, CAST(length(name) AS INT) AS n_chars FROM phys WHERE name <> ''",
+    "unmatched_report": f"SELECT 'unmatched names: ' || count(*) AS value FROM phys WHERE ({_GROUP}) = 'unmatched' UNION ALL SELECT name FROM phys WHERE ({_GROUP}) = 'unmatched'",
 }
+_BODIES["dictionary_file"] = _BODIES["dictionary_build"]
 
 ORACLE_SQL: dict[str, str] = {name: VIEWS + body for name, body in _BODIES.items()}

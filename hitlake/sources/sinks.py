@@ -33,3 +33,15 @@ def read_training_set(spark: SparkSession, path: str) -> DataFrame:
     if missing := {"train", "validation"} - found:
         raise FileNotFoundError(f"{path} has no {' or '.join(sorted(missing))} rows")
     return rows
+
+
+def append_record(record: DataFrame, path: str, fresh: bool = False) -> None:
+    """Add a run's rows (source_file, status, rows_train, rows_validation, reason) to the record of all runs."""
+    record.withColumn("run_at", F.current_timestamp()).write.mode("overwrite" if fresh else "append").parquet(path)
+
+
+def read_record(spark: SparkSession, path: str) -> DataFrame:
+    """The last state of every file."""
+    rows = spark.read.parquet(path)
+    state = F.struct(*[c for c in rows.columns if c not in ("source_file", "run_at")])
+    return rows.groupBy("source_file").agg(F.max_by(state, "run_at").alias("_s")).select("source_file", "_s.*")

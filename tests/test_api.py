@@ -1,5 +1,6 @@
 """Whole jobs over small raw files."""
 
+import dataclasses
 import json
 
 import pytest
@@ -41,6 +42,42 @@ def test_build_reconcile_and_spectra(spark, raw, tmp_path):
     assert sorted(map(str, again)) == sorted(map(str, rows))
     report = api.reconcile_counts(spark, raw, out).first()
     assert (report["n_in"], report["n_out"], report["verdict"]) == (30, 20, "loss")
+    record = {r["source_file"]: (r["status"], r["rows_train"] + r["rows_validation"], r["reason"]) for r in api.run_record(spark, out).collect()}
+    assert record == {f"sim/run001/output_{f}": ("completed", 10, "") for f in range(2)} | {"sim/run001/output_2": ("failed", 0, "unmapped mat_id")}
+    assert {tuple(r["target"]) for r in api.dense_targets(spark, out, raw.voxels).collect()} == {(1, 0)}
     spectra = {r["group_name"]: r["n_events"] for r in api.group_spectra(spark, out).collect()}
     assert spectra == {"V_detector": 10, "noVolume": 10}
     assert api.photon_report(spark, raw, n_files=2).first()["n_photons"] == 10
+
+
+def test_a_damaged_file_does_not_stop_the_others(spark, raw, tmp_path):
+    import shutil
+
+    shutil.copytree(raw.captures, tmp_path / "captures")
+    (tmp_path / "captures" / "part-damaged.parquet").write_bytes(b"PAR1 not parquet")
+    inputs = dataclasses.replace(raw, captures=str(tmp_path / "captures"))
+    api.build_training_set(spark, inputs, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out" / "rows")).count() == 20
+    failed = {r["source_file"].rpartition("/")[2]: r["reason"] for r in api.run_record(spark, str(tmp_path / "out")).where("status = 'failed'").collect()}
+    assert failed == {"output_2": "unmapped mat_id", "part-damaged.parquet": "unreadable"}
+
+
+def test_damaged_split_is_an_error_not_a_fresh_start(spark, raw, tmp_path):
+    out = tmp_path / "out"
+    (out / "split").mkdir(parents=True)
+    (out / "split" / "part-0.parquet").write_bytes(b"nonsense")
+    with pytest.raises(Exception):
+        api.build_training_set(spark, raw, str(out))
+
+
+def test_reset_starts_over(spark, raw, tmp_path):
+    out = str(tmp_path / "out")
+    api.build_training_set(spark, raw, out, val_fraction=0.5)
+    api.build_training_set(spark, raw, out, val_fraction=0.2, reset=True)
+    events = {(r["file_idx"], r["evtid"], r["split"]) for r in spark.read.parquet(f"{out}/rows").collect()}
+    assert len(events) == 10 and sum(s == "train" for _, _, s in events) == 8
+
+
+def test_missing_capture_group(spark, raw):
+    lost = {r["source_file"]: (r["n_distinct"], r["missing"]) for r in api.missing_captures(spark, raw).collect()}
+    assert lost == {f"sim/run001/output_{f}": (10, False) for f in range(3)}

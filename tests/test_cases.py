@@ -89,7 +89,7 @@ VOXEL = "ord int, index string, center array<double>, layer string"
 def test_nearest_tie_goes_to_the_first(spark):
     voxels = spark.createDataFrame([(0, "a", [0.0, 0.0, 0.0], "WALL"), (1, "b", [10.0, 0.0, 0.0], "other")], VOXEL)
     hits = spark.createDataFrame([photon(1, x=5.0), photon(2, x=5.1), photon(3, x=900.0)], PHOTON)
-    for found in (nearest.nearest_brute(hits, voxels), nearest.nearest_grid(hits, voxels)):
+    for found in (nearest.nearest_brute(hits, voxels), nearest.nearest_grid(hits, voxels), nearest.nearest_grid(hits, voxels, 0.5)):
         assert {r["photon_id"]: r["voxel_index"] for r in found.collect()} == {"1": "a", "2": "b", "3": "b"}
 
 
@@ -136,7 +136,7 @@ def test_weights(spark):
 
 def test_last_bin_is_closed(spark):
     df = spark.createDataFrame([(0.0,), (5.0,), (10.0,), (11.0,), (-1.0,), (None,)], "v double")
-    assert [r["n"] for r in bins.histogram(bins.counted(df, "v"), "v", [0.0, 5.0, 10.0]).orderBy("bin").collect()] == [1, 2]
+    assert [r["n"] for r in bins.histogram(df, "v", [0.0, 5.0, 10.0]).orderBy("bin").collect()] == [1, 2]
     assert bins.symmetric_log(-100.0, 100.0, 3) == sorted(bins.symmetric_log(-100.0, 100.0, 3))
 
 
@@ -187,3 +187,37 @@ def test_report_and_readers(spark, tmp_path):
         (tmp_path / "sim" / run / "other").write_text("x")
     found = readers.manifest(readers.discover(spark, str(tmp_path / "sim"), nested=True)).orderBy("file_rank").collect()
     assert [(r["run"], r["file_name"], r["file_rank"]) for r in found] == [("run001", "output_1", 0), ("run002", "output_1", 1)]
+
+
+def test_grid_against_every_voxel(spark):
+    """Random centres, some repeated; hits inside, far outside, and not finite."""
+    import random
+
+    rng = random.Random(3)
+    spot = lambda r: [float(rng.randint(-r, r)) for _ in range(3)]
+    centres = [spot(50) for _ in range(60)] + [spot(3) for _ in range(60)]
+    centres += centres[:20]
+    voxels = spark.createDataFrame([(i, f"v{i}", c, "top") for i, c in enumerate(centres)], VOXEL)
+    hits = [(str(i), *spot(60)) for i in range(200)] + [("far", 9000.0, -9000.0, 1.0), ("nan", float("nan"), 0.0, 0.0), ("none", None, 0.0, 0.0)]
+    df = spark.createDataFrame(hits, "photon_id string, x double, y double, z double")
+    want = {}
+    for name, x, y, z in hits:
+        want[name] = "-1" if x is None or x != x else f"v{min(range(len(centres)), key=lambda i: (sum((a - b) ** 2 for a, b in zip((x, y, z), centres[i])), i))}"
+    for cell in (None, 0.7, 500.0):
+        assert {r["photon_id"]: r["voxel_index"] for r in nearest.nearest_grid(df, voxels, cell).collect()} == want
+    assert {r["voxel_index"] for r in nearest.nearest_grid(df, voxels.limit(0)).collect()} == {"-1"}
+
+
+def test_quantiles_by_rank(spark):
+    import numpy as np
+
+    from hitlake.operators import ranks
+
+    rng = np.random.default_rng(1)
+    for values in (rng.normal(size=777), rng.integers(0, 4, 500).astype(float), np.array([3.0]), np.zeros(50)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(5)
+        shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+        assert ranks.quantiles(df, "v", shares) == pytest.approx(np.quantile(values, shares).tolist())
+    assert ranks.quantiles(df.where("v is null"), "v", [0.5]) == [None]
+    names = spark.createDataFrame([(f"p{i:03}",) for i in range(300)], "name string").repartition(7)
+    assert [r["k"] for r in ranks.numbered(names, "name", "k").orderBy("name").collect()] == list(range(300))
