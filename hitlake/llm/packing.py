@@ -30,6 +30,8 @@ SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{
 #: The pre-tokenizing pattern of byte-level BPE files of this family (a fixed value).
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
+MOST_TASKS = 20_000  # with more blocks than that a task packs several, one after the other
+
 
 class Encoder:
     """Ids of a byte-level BPE vocabulary file, those of the `tokenizers` library's `encode` without special tokens added.
@@ -326,7 +328,9 @@ def pack_pieces(cut: DataFrame, capacity: int = 1024, block_pieces: int = 8192)
                 begin += x
         return rows[columns].assign(sequence_id=sequence, offset=offset)
 
-    return keyed.groupBy("_block").applyInPandas(place, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    # Dealt by range, so that tasks hold blocks evenly, not as many as happen to hash together.
+    dealt = keyed.repartitionByRange(min(blocks, MOST_TASKS), "_block")
+    return dealt.groupBy("_block").applyInPandas(place, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024) -> DataFrame:
