@@ -30,6 +30,7 @@ SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{
 #: The pre-tokenizing pattern of byte-level BPE files of this family (a fixed value).
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
+MOST_SENT = 1_000_000  # keys of 8 bytes
 MOST_TASKS = 20_000  # with more blocks than that a task packs several, one after the other
 
 
@@ -307,6 +308,7 @@ def pack_pieces(cut: DataFrame, capacity: int = 1024, block_pieces: int = 8192)
     keys = F.xxhash64(*same, F.col("doc_id").isNull())
     many = materialise(cut.groupBy(keys.alias("_many")).agg(F.count("*").alias("_n")).where("_n > 1").select("_many"))
     marked = cut.withColumn("_key", keys)
+    many = F.broadcast(many) if many.count() <= MOST_SENT else many  # numbers only; more of them meet the pieces in a shuffle
     once, again = (marked.join(many, marked["_key"] == many["_many"], how).drop("_many") for how in ("left_anti", "left_semi"))
     again = again.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("length")))
     keyed = once.withColumn("_copy", F.lit(0)).unionByName(again).withColumn("_block", F.pmod(F.xxhash64("_key", "_copy"), F.lit(blocks))).drop("_key", "_copy")
