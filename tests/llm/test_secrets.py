@@ -37,7 +37,7 @@ def test_scan(spark, small, odd):
         assert got == sorted(want)
 
 
-#: Ordinary runs that are in no training sample (fixed values).
+#: Ordinary runs that the models must not take (fixed values). Alphabets, rulers and numbers are of kinds that are trained on.
 PLAIN = (
     "-" * 35, "=" * 60, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "1" * 23, "0123456789" * 3, "x" * 28, "+-" * 13, "QWERTYUIOPASDFGHJKLZXCVBNM", "Donaudampfschifffahrtsgesellschaft",
     "Kraftfahrzeughaftpflichtversicherung", "Rindfleischetikettierungsaufgabengesetz", "anticonstitutionnellement", "antidisestablishmentarianism", "electroencephalographically", "internationalization",
@@ -48,7 +48,7 @@ PLAIN = (
 
 
 def test_models_tell_random_from_ordinary(spark, small):
-    """Held out: random strings of every kind from 24 characters on are found, ordinary runs of any length are not."""
+    """Fresh random strings of every kind from 24 characters on are found, ordinary runs of any length are not."""
     model = S.train(S.labelled_samples(small))
     rng = random.Random(11)
     for plain in PLAIN:
