@@ -123,20 +123,23 @@ def fillings(counts: list[int], present: int, room: int, top: int) -> Iterator[t
     reach are worked out first, so every branch of the enumeration ends in a filling. The counts must be those of the
     call whenever the next filling is asked for.
     """
-    free = lambda x: counts[x] - (x == top)
-    if room > 0 and free(room):
+    if room > 0 and counts[room] > (room == top):
         yield (room,)  # a piece that fills the room dominates every other filling
         return
-    lengths, left = [], present & ((1 << (room + 1)) - 1) if room > 0 else 0
+    mask = (1 << (room + 1)) - 1
+    free, lengths, left = {}, [], present & mask if room > 0 else 0
     while left:
         low = left & -left
-        lengths.append(low.bit_length() - 1)
+        x = low.bit_length() - 1
+        if counts[x] > (x == top):
+            lengths.append(x)
+            free[x] = counts[x] - (x == top)
         left ^= low
-    mask = (1 << (room + 1)) - 1
+    usable = sum(1 << x for x in lengths)
     reach = [1]  # bit s of reach[k]: the k shortest lengths can add up to s
     for x in lengths:
         sums = reach[-1]
-        for _ in range(min(free(x), room // x)):
+        for _ in range(min(free[x], room // x)):
             wider = sums | (sums << x) & mask
             if wider == sums:
                 break
@@ -144,11 +147,12 @@ def fillings(counts: list[int], present: int, room: int, top: int) -> Iterator[t
         reach.append(sums)
 
     def dominated(filling: tuple[int, ...], waste: int) -> bool:
-        for x in {0, *filling}:
-            for y in range(x + 1, min(x + waste, room) + 1):
-                if free(y) > filling.count(y):
-                    return True
-        return False
+        over = usable  # bit y is set if a piece of length y is left over
+        for x in filling:
+            if free[x] == filling.count(x):
+                over &= ~(1 << x)
+        near = (1 << waste) - 1
+        return bool(over >> 1 & near) or any(over >> (x + 1) & near for x in filling)
 
     for total in range(room, -1, -1):
         if not reach[-1] >> total & 1:
@@ -163,7 +167,7 @@ def fillings(counts: list[int], present: int, room: int, top: int) -> Iterator[t
             while k and not reach[k - 1] >> missing & 1 and lengths[k - 1] > missing:
                 k -= 1
             x = lengths[k - 1]
-            for n in range(min(free(x), missing // x) + 1):  # most pieces of the longest length come off the stack first
+            for n in range(min(free[x], missing // x) + 1):  # most pieces of the longest length come off the stack first
                 if reach[k - 1] >> (missing - n * x) & 1:
                     stack.append((k - 1, missing - n * x, taken + (x,) * n))
 
