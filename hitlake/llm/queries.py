@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitlake.llm import host_rules, lm_scoring, lz_fingerprint, mixing, packing, quality_cnn, secrets, simhash, suffix_dedup, warc
+from hitlake.llm import alignment, host_rules, language_id, lexical, lm_scoring, lz_fingerprint, mixing, packing, quality_cnn, secrets, simhash, suffix_dedup, warc
 from hitlake.llm.common import table
 
 
@@ -61,9 +61,30 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op3_suffix_dedup, op4_quality, op5_mixing, op6_warc, op7_host_rules, op8_lz_fingerprint, op9_packing, op10_simhash)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_id", F.col("item_id").cast("bigint"))
+
+
+def language_rows(docs: DataFrame) -> DataFrame:
+    """Predictions of a model learned from the rows that are not held out."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = language_id.train(*language_id.training_rows(docs.where(~held_out)))
+    return language_id.predict(docs, model).withColumn("held_out", held_out)
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_rows(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op3_suffix_dedup, op4_quality, op5_mixing, op6_warc, op7_host_rules, op8_lz_fingerprint, op9_packing, op10_simhash, op11_lexical_search, op12_language_id, op13_alignment)}
 
 _BLANK = r"[\x20\x09-\x0D]+"
+_NO_TERM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: For the queries that SQL can express; the others are held against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
@@ -92,5 +113,17 @@ t AS (SELECT source, rate, greatest(0.25::DOUBLE, least(1::DOUBLE, expected / ra
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (n_symbols > 0.1::DOUBLE * standing * word_chars) AND NOT (n_dup_lines > 0.3::DOUBLE * standing * n_words) AS kept, round(rate, 6) AS host_rate, round(standing, 6) AS standing
 FROM j JOIN t ON j.source IS NOT DISTINCT FROM t.source
+""",
+    "op11_lexical_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, [t FOR t IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_NO_TERM}') IF t <> ''] AS terms FROM documents),
+q AS (SELECT row_number() OVER () AS qid, item_id, list_distinct([t FOR t IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_NO_TERM}') IF t <> '']) AS terms FROM benchmark),
+g AS (SELECT count(*) FILTER (len(terms) > 0) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d),
+tf AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(terms) AS t FROM d) WHERE t IN (SELECT unnest(terms) FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, g GROUP BY t),
+m AS (SELECT rid, doc_id, 100 - 90 + ((90 * len(terms) * docs) // total) AS m FROM d, g WHERE len(terms) > 0),
+s AS (SELECT qid, item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM (SELECT qid, item_id, unnest(terms) AS t FROM q) JOIN w USING (t) JOIN tf USING (t) JOIN m USING (rid) GROUP BY ALL)
+SELECT CAST(item_id AS BIGINT) AS item_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) <= 10
 """,
 }
