@@ -43,3 +43,11 @@ def event_weight(captures: DataFrame, keys: tuple[str, ...], first_files: int |
     both = n.join(F.broadcast(n_files))
     scale = F.lit(1.0) if first_files is None else F.greatest(F.col("n_files") / F.lit(float(first_files)), F.lit(1.0))
     return both.select("n_distinct", F.when(F.col("n_distinct") > 0, 1.0 / (F.col("n_distinct") * scale)).otherwise(1.0).alias("weight"))
+
+
+def weight_of_counts(per_file: DataFrame, first_files: int | None = None) -> DataFrame:
+    """`event_weight` from the distinct captures of each file (file_idx, n_distinct): counts of files add up."""
+    counted = F.lit(True) if first_files is None else F.col("file_idx") < first_files
+    both = per_file.agg(F.coalesce(F.sum(F.when(counted, F.col("n_distinct"))), F.lit(0)).alias("n_distinct"), F.count("*").alias("n_files"))
+    scale = F.lit(1.0) if first_files is None else F.greatest(F.col("n_files") / F.lit(float(first_files)), F.lit(1.0))
+    return both.select("n_distinct", F.when(F.col("n_distinct") > 0, 1.0 / (F.col("n_distinct") * scale)).otherwise(1.0).alias("weight"))

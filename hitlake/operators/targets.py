@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +47,38 @@ def dense_target(hits: DataFrame, voxels: DataFrame, keys: tuple[str, ...] = KEY
     return full.select(*keys, F.concat(parts, zeros(F.col("_size") - 1 - F.element_at("_pairs", -1)["_at"])).alias("target"))
 
 
+CELLS = 1 << 21  # counts (captures x voxels) that a task writes at once
+
+
+def dense_rows(rows: DataFrame, voxels: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """One array of counts per row in voxel order from its map `voxel_hits`, all zeros for an empty or null map.
+
+    Nothing is shuffled: the places of the voxels, one entry each, are sent to the tasks, which scatter the counts into
+    blocks of zeros. Voxels that are not in the list (-1) add nothing.
+    """
+    place = voxels.groupBy("index").agg(F.min("ord").alias("_ord")).orderBy("_ord").select("index").toArrow().column("index").combine_chunks()  # a detector description
+    size = len(place)
+    shared = rows.sparkSession.sparkContext.broadcast(place)
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per = max(1, CELLS // max(1, size))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, per):
+                batch = whole.slice(lo, per)
+                maps, n = batch.column(len(keys)), batch.num_rows
+                offsets = maps.offsets.to_numpy()
+                row = np.repeat(np.arange(n), np.diff(offsets))
+                at = pc.fill_null(pc.index_in(maps.keys.slice(offsets[0], len(row)), value_set=shared.value), -1).to_numpy()
+                hits = maps.items.slice(offsets[0], len(row)).to_numpy(zero_copy_only=False)
+                counts = np.zeros(n * size, np.int32)
+                counts[row[at >= 0] * size + at[at >= 0]] = hits[at >= 0]
+                target = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(size)), pa.array(counts))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], target], names=[*keys, "target"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.select(*keys, "voxel_hits").mapInArrow(scatter, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", target array<int>")
+
+
 def features(captures: DataFrame, scale: float = 1000.0, g: Geometry = Geometry(), material: str = "mat_id", volume: str = "vol_id") -> DataFrame:
     """The key and the 30 feature columns, single precision, in the fixed order."""
     nc = captures.withColumns({c: geo.mm(F.col(c), scale) for c in "xyz"}).withColumn("gammas", geo.gamma_slots(F.col("gammas")))

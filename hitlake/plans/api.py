@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitlake.operators import dictionary, groups, reconcile, split, stats, targets
+from hitlake.operators import dictionary, groups, ranks, reconcile, split, stats, targets
 from hitlake.plans import build
 from hitlake.schema import KEY, Geometry
-from hitlake.sources import readers, sinks
-from hitlake.sources.scratch import materialise
+from hitlake.sources import inventory, readers, sinks
+from hitlake.sources.scratch import existing, materialise
 
 
 @dataclass(frozen=True)
 class Inputs:
-    """Paths of raw tables (Parquet, columns of `hitlake.schema`), local dictionaries and the voxel list (JSON)."""
+    """Folders of raw tables (Parquet, columns of `hitlake.schema`) and local dictionaries, flat or one level deep, and the voxel list (JSON)."""
 
     captures: str
     photons: str
@@ -24,69 +25,183 @@ class Inputs:
     volumes: str
     voxels: str
 
+    def folders(self) -> dict[str, str]:
+        return {"captures": self.captures, "photons": self.photons, "materials": self.materials, "volumes": self.volumes}
+
 
 def _indexed(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(files.select("source_file", F.col("file_rank").alias("file_idx")), "source_file")
 
 
+class _Job:
+    """One run of the build: the files that are there, what is known of them, and readers that open those needed only."""
+
+    def __init__(self, spark: SparkSession, inputs: Inputs, output: str, reset: bool):
+        self.spark, self.inputs, self.output, self.reset = spark, inputs, output, reset
+        self.inventory = inventory.refresh(spark, inputs.folders(), f"{output}/inventory", reset)
+        self.lost = materialise(inventory.failures(self.inventory))
+        self.held = materialise(self.inventory.select("kind", "path", "seen_at", F.explode("holds").alias("source_file")))
+        named = self.held.groupBy("source_file").agg(F.max("seen_at").alias("seen_at"), F.max(F.col("kind") == "captures").alias("_own"))
+        #: Logical files with captures that no damage touches, and when the last of their parts was found.
+        self.present = materialise(named.where("_own").drop("_own").join(self.lost, "source_file", "left_anti"))
+        self.files = self._numbered()
+
+    def _left(self, name: str) -> DataFrame | None:
+        return None if self.reset else existing(lambda: materialise(self.spark.read.parquet(f"{self.output}/{name}")))
+
+    def _numbered(self) -> DataFrame:
+        """(source_file, file_idx): a file keeps its number; new ones follow in path order."""
+        known = self._left("files")
+        new = self.present.select("source_file") if known is None else self.present.select("source_file").join(known, "source_file", "left_anti")
+        begin = 0 if known is None else known.agg(F.coalesce(F.max("file_idx") + 1, F.lit(0))).first()[0]
+        rows = materialise(ranks.numbered(new, "source_file", "_place").select("source_file", (F.col("_place") + begin).cast("int").alias("file_idx")))
+        rows.write.mode("overwrite" if known is None else "append").parquet(f"{self.output}/files")
+        return rows if known is None else known.unionByName(rows)
+
+    def paths(self, kind: str, files: DataFrame) -> list[str] | None:
+        """The physical files that hold some logical ones; None (the whole folder) if they are too many to name."""
+        found = self.held.where(F.col("kind") == kind).join(files, "source_file", "left_semi").select("path").distinct().limit(inventory.MOST_PATHS + 1).collect()
+        return None if len(found) > inventory.MOST_PATHS else [r["path"] for r in found]
+
+    def rows(self, kind: str, files: DataFrame) -> DataFrame:
+        """Raw rows of some logical files (source_file, file_idx), from their physical files only."""
+        read = {"captures": readers.read_captures, "photons": readers.read_photons}.get(kind, readers.read_local_names)
+        folder = self.inputs.folders()[kind]
+        paths = self.paths(kind, files)
+        if paths == []:  # none of them has a file of this kind
+            return read(self.spark, folder).where(F.lit(False)).join(files, "source_file")
+        return read(self.spark, folder, paths).join(files, "source_file")
+
+    def counts(self) -> DataFrame:
+        """(source_file, n_distinct) of all files, kept beside the output: only new and changed files are counted.
+
+        A capture's key belongs to one file, so sums over files are exact distinct counts however they are added up.
+        """
+        known = self._left("counts")
+        same = ["source_file", "seen_at"]
+        new = materialise(self.present if known is None else self.present.join(known, same, "left_anti"))
+        if known is None or not new.isEmpty():
+            per = reconcile.distinct_captures(self.rows("captures", new.join(self.files, "source_file").select("source_file", "file_idx")))
+            rows = new.join(self.files, "source_file").join(per, "file_idx").select(*same, "n_distinct")
+            rows.write.mode("overwrite" if known is None else "append").parquet(f"{self.output}/counts")
+        return materialise(self.spark.read.parquet(f"{self.output}/counts").join(self.present, same, "left_semi").select("source_file", "n_distinct"))
+
+    def known_ids(self, todo: DataFrame) -> tuple[dict[str, tuple[DataFrame, DataFrame]], DataFrame]:
+        """Extend both dictionaries by the names of some files; local and global names by column, and the files that cannot be mapped."""
+        ids = self.rows("captures", todo).groupBy("file_idx", "mat_local", "vol_local").agg(F.count("*").alias("_n"))
+        known = {}
+        for column, (local, out, empty) in MAPPED.items():
+            names = materialise(dictionary.last_of_file(self.rows(column, todo)))
+            old = None if self.reset else existing(lambda c=column: readers.read_dictionary(self.spark, f"{self.output}/{c}.json"))
+            full = materialise(dictionary.extend(dictionary.collect_names(names, empty), old))
+            sinks.write_dictionary(full, f"{self.output}/{column}.json")
+            ids = dictionary.remap(ids, names, full, local, out, empty)
+            known[column] = names, full
+        bad = dictionary.quarantine(ids, ("mat_id", "vol_id")).join(self.files, "file_idx").select("source_file", "reason")
+        return known, materialise(bad)
+
+    def split(self, ok: DataFrame, todo: DataFrame, fraction: float, seed: int) -> tuple[DataFrame, bool]:
+        """The saved split, or a new one if there is none or one of its events is gone; and whether it is new."""
+        event = ("source_file", "evtid")
+        saved = None if self.reset else existing(lambda: materialise(sinks.load_split(self.spark, f"{self.output}/split")))
+        if saved is not None:
+            gone = saved.select("source_file").distinct().join(ok, "source_file", "left_anti")
+            again = saved.join(todo, "source_file", "left_semi")  # their events may differ now
+            if gone.isEmpty() and (again.isEmpty() or split.stale_rows(again, self.rows("captures", todo), event).isEmpty()):
+                return saved, False
+        made = materialise(split.group_split(self.rows("captures", ok), fraction, seed, event))
+        sinks.save_split(made, f"{self.output}/split", seed, fraction)
+        return made, True
+
+
+#: Local column, global column and the name of an empty entry, by dictionary.
+MAPPED = {"materials": ("mat_local", "mat_id", None), "volumes": ("vol_local", "vol_id", "noVolume")}
+
+
 def build_training_set(
     spark: SparkSession, inputs: Inputs, output: str, *, window: float = 200.0, val_fraction: float = 0.2, seed: int = 42, sample_files: int | None = 50, scale: float = 1000.0,
-    geometry: Geometry = Geometry(), primaries: int = 0, reset: bool = False,
+    geometry: Geometry = Geometry(), primaries: int = 0, reset: bool = False, files_per_batch: int | None = None, most_batches: int | None = None,
 ) -> DataFrame:
-    """Write the training set and its dimensions under `output`; returns the quarantined files.
+    """Bring the training set and its dimensions under `output` up to date; returns the files that failed (source_file, reason).
 
-    A saved split is used again unless one of its captures is gone, and dictionaries only grow. Files that are there
-    already are overwritten by an equal result, so a rerun after a failure is safe. A file that cannot be read, or whose
-    ids cannot be mapped, is recorded as failed and does not stop the others (`run_record`). `reset` starts over: split,
-    dictionaries, rows, dimensions and record are made anew.
+    Files that are done and unchanged are skipped; the others are built `files_per_batch` at a time (all at once if not
+    given), `most_batches` of them at most. A batch opens the captures, hits and dictionaries of its own files only, and
+    its rows become visible (`training_rows`) with its entry in the record, one file written last: a run that is killed
+    anywhere leaves no half batch, and the next one goes on where it stopped.
+
+    Damage of any kind of file (captures, hits, either dictionary) fails the logical files that it touches and no others;
+    so do ids that cannot be mapped. Failed files are in the record (`run_record`) and are tried again by the next run. A
+    saved split is used again unless one of its events is gone; then all rows are built anew. Dictionaries and file
+    numbers only grow. `reset` starts over: inventory, split, dictionaries, rows, dimensions and record are made anew.
     """
-    captures = readers.read_captures(spark, inputs.captures)
-    files = materialise(readers.manifest(captures))
-    nc = _indexed(captures, files)
-    for column, local, out, path, empty in (("materials", "mat_local", "mat_id", inputs.materials, None), ("volumes", "vol_local", "vol_id", inputs.volumes, "noVolume")):
-        names = dictionary.last_of_file(_indexed(spark.read.parquet(path), files))
-        known = None if reset else _existing(lambda p=f"{output}/{column}.json": readers.read_dictionary(spark, p))
-        full = materialise(dictionary.extend(dictionary.collect_names(names, empty), known))
-        sinks.write_dictionary(full, f"{output}/{column}.json")
-        nc = dictionary.remap(nc, names, full, local, out, empty)
-    nc = materialise(nc)
-    bad = materialise(dictionary.quarantine(nc, ("mat_id", "vol_id")))
-    nc = nc.join(bad.select("file_idx"), "file_idx", "left_anti")
-    event = ("source_file", "evtid")
-    saved = None if reset else _existing(lambda: materialise(sinks.load_split(spark, f"{output}/split")))
-    if saved is None or split.stale_rows(saved, nc, event).limit(1).count():
-        saved = materialise(split.group_split(nc, val_fraction, seed, event))
-        sinks.save_split(saved, f"{output}/split", seed, val_fraction)
-    by_index = _indexed(saved.select("source_file", "evtid", "split"), files).select("file_idx", "evtid", "split")
-    photons = _indexed(readers.read_photons(spark, inputs.photons), files).withColumn("photon_id", F.monotonically_increasing_id())
-    voxels = readers.read_voxels(spark, inputs.voxels)
-    rows = build.training_set(photons, nc, voxels, by_index, window, ("file_idx", "evtid"), scale, geometry, sample_files)
-    build.write_training_set(rows, f"{output}/rows", reset)
-    dictionaries = {c: readers.read_dictionary(spark, f"{output}/{c}.json") for c in ("materials", "volumes")}
+    job = _Job(spark, inputs, output, reset)
+    record = None if reset else existing(lambda: materialise(sinks.read_record(spark, f"{output}/record")))
+    done = None if record is None else record.where("status = 'completed'").select("source_file", "seen_at")
+    todo = job.present if done is None else job.present.join(done, ["source_file", "seen_at"], "left_anti")
+    todo = materialise(todo.join(job.files, "source_file").select("source_file", "file_idx"))
+    per_file = job.counts()
+    local, bad = job.known_ids(todo)
+    failed = job.lost.unionByName(bad)
+    if done is not None:  # finished once, but the file is no longer there
+        failed = failed.unionByName(done.select("source_file").join(job.present, "source_file", "left_anti").join(job.lost, "source_file", "left_anti").withColumn("reason", F.lit("gone")))
+    failed = materialise(failed)
+    sinks.append_record(failed.select("source_file", F.lit("failed").alias("status"), F.lit(0).cast("bigint").alias("rows_train"), F.lit(0).cast("bigint").alias("rows_validation"), "reason", F.lit(None).cast("string").alias("batch"), F.lit(None).cast("timestamp").alias("seen_at")), f"{output}/record", reset)
+    ok = materialise(job.present.join(bad, "source_file", "left_anti").join(job.files, "source_file").select("source_file", "file_idx"))
+    splits, new = job.split(ok, todo, val_fraction, seed)
+    if new and done is not None:
+        todo = ok  # every row may change its side
+        local, _ = job.known_ids(todo)
+    todo = todo.join(bad, "source_file", "left_anti")
+    weight = split.weight_of_counts(per_file.join(ok, "source_file"), sample_files)
+    voxels = materialise(readers.read_voxels(spark, inputs.voxels))
+    dictionaries = {c: readers.read_dictionary(spark, f"{output}/{c}.json") for c in MAPPED}
     build.write_dimensions(output, reset, voxel_metadata=targets.voxel_metadata(voxels), geometry=build.geometry_table(spark, geometry, primaries), material_map=dictionaries["materials"], volume_map=dictionaries["volumes"])
-    done = sinks.read_training_set(spark, f"{output}/rows").groupBy("source_file").agg(F.lit("completed").alias("status"), F.count(F.when(F.col("split") == "train", 1)).alias("rows_train"), F.count(F.when(F.col("split") == "validation", 1)).alias("rows_validation"), F.lit("").alias("reason"))
-    failed = bad.join(files.select(F.col("file_rank").alias("file_idx"), "source_file"), "file_idx").select("source_file", "reason")
-    failed = failed.unionByName(readers.unreadable(spark, inputs.captures).withColumn("reason", F.lit("unreadable")))
-    failed = failed.select("source_file", F.lit("failed").alias("status"), F.lit(0).cast("bigint").alias("rows_train"), F.lit(0).cast("bigint").alias("rows_validation"), "reason")
-    sinks.append_record(done.join(files, "source_file", "left_semi").unionByName(failed), f"{output}/record", reset)
-    return bad.join(files.select(F.col("file_rank").alias("file_idx"), "source_file"), "file_idx")
-
-
-def _existing(read):
-    """What an earlier run left, or nothing if the path is not there; anything else that is wrong with it is an error."""
-    from pyspark.errors import AnalysisException
 
-    try:
-        return read()
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    ordered = materialise(ranks.numbered(todo, "source_file", "_place"))
+    n = ordered.count()
+    size = files_per_batch or max(1, n)
+    for i in range(min(-(-n // size), most_batches if most_batches is not None else n)):
+        files = materialise(ordered.where(F.col("_place").between(i * size, i * size + size - 1)).select("source_file", "file_idx"))
+        nc = job.rows("captures", files)
+        for column, (local_id, out, empty) in MAPPED.items():
+            names, full = local[column]
+            nc = dictionary.remap(nc, names.join(files, "file_idx", "left_semi"), full, local_id, out, empty)
+        nc = materialise(nc)
+        photons = job.rows("photons", files).withColumn("photon_id", F.monotonically_increasing_id())
+        mine = splits.join(files, "source_file").select("file_idx", "evtid", "split")
+        rows = build.training_set(photons, nc, voxels, mine, window, ("file_idx", "evtid"), scale, geometry, weight=weight)
+        batch = uuid.uuid4().hex
+        build.write_training_set(rows.withColumn("batch", F.lit(batch)), f"{output}/rows", reset and i == 0)
+        sinks.append_record(_entry(spark, output, batch, files.join(job.present, "source_file")), f"{output}/record")
+    return failed
+
+
+def _entry(spark: SparkSession, output: str, batch: str, files: DataFrame) -> DataFrame:
+    """The record of a batch whose rows are written: one row per file."""
+    rows = spark.read.parquet(f"{output}/rows").where(F.col("batch") == batch)
+    count = lambda name: F.count(F.when(F.col("split") == name, 1))
+    per = rows.groupBy("source_file").agg(count("train").alias("rows_train"), count("validation").alias("rows_validation"))
+    return files.join(per, "source_file", "left").select(
+        "source_file", F.lit("completed").alias("status"), F.coalesce("rows_train", F.lit(0)).alias("rows_train"), F.coalesce("rows_validation", F.lit(0)).alias("rows_validation"), F.lit("").alias("reason"), F.lit(batch).alias("batch"), "seen_at",
+    )
+
+
+def training_rows(spark: SparkSession, output: str) -> DataFrame:
+    """The rows of all files that the record names as completed, with the weight of all captures counted so far."""
+    record = sinks.read_record(spark, f"{output}/record").where("status = 'completed'").select("source_file", "batch")
+    rows = sinks.read_training_set(spark, f"{output}/rows").join(record, ["source_file", "batch"], "left_semi").drop("batch", "weight")
+    weight = split.weight_of_counts(_counted(spark, output).join(record, "source_file", "left_semi").withColumn("file_idx", F.lit(0)))
+    return rows.join(F.broadcast(weight.select(F.col("weight").cast("float").alias("weight"))))  # one row
+
+
+def _counted(spark: SparkSession, output: str) -> DataFrame:
+    """(source_file, n_distinct) as last counted."""
+    return spark.read.parquet(f"{output}/counts").groupBy("source_file").agg(F.max_by("n_distinct", "seen_at").alias("n_distinct"))
 
 
 def run_record(spark: SparkSession, output: str) -> DataFrame:
     """The last state of every file: completed or failed, rows of both splits, reason."""
-    return sinks.read_record(spark, f"{output}/record")
+    return sinks.read_record(spark, f"{output}/record").select("source_file", "status", "rows_train", "rows_validation", "reason")
 
 
 def missing_captures(spark: SparkSession, inputs: Inputs) -> DataFrame:
@@ -98,10 +213,8 @@ def missing_captures(spark: SparkSession, inputs: Inputs) -> DataFrame:
 
 
 def reconcile_counts(spark: SparkSession, inputs: Inputs, output: str) -> DataFrame:
-    """Input captures against the rows written under `output`."""
-    captures = readers.read_captures(spark, inputs.captures)
-    nc = _indexed(captures, readers.manifest(captures))
-    return reconcile.reconcile(nc, sinks.read_training_set(spark, f"{output}/rows"))
+    """Captures of all readable files against the rows written under `output`, from the counts kept there."""
+    return reconcile.reconcile_totals(_counted(spark, output), training_rows(spark, output))
 
 
 def photon_report(spark: SparkSession, inputs: Inputs, n_files: int = 1000, seed: int = 42) -> DataFrame:
@@ -115,15 +228,15 @@ def photon_report(spark: SparkSession, inputs: Inputs, n_files: int = 1000, seed
 def group_spectra(spark: SparkSession, output: str) -> DataFrame:
     """Hit statistics by volume group of a written training set; volumes are named by its own dictionary."""
     names = readers.read_dictionary(spark, f"{output}/volumes.json")
-    rows = sinks.read_training_set(spark, f"{output}/rows").select(*KEY, F.col("volID").cast("int").alias("id"), "total_hits", "voxels_hit")
+    rows = training_rows(spark, output).select(*KEY, F.col("volID").cast("int").alias("id"), "total_hits", "voxels_hit")
     named = rows.join(dictionary.inverted(names), "id", "left").withColumn("name", F.coalesce("name", F.lit("")))
     return groups.spectrum_stats(named, groups.grouped_names(names))
 
 
-def dense_targets(spark: SparkSession, output: str, voxels: str) -> DataFrame:
-    """The counts of a written training set as one array per capture, in voxel order; captures without hits have none."""
-    rows = sinks.read_training_set(spark, f"{output}/rows").select(*KEY, F.explode("voxel_hits").alias("voxel_index", "hits"))
-    return targets.dense_target(rows, readers.read_voxels(spark, voxels))
+def dense_targets(spark: SparkSession, output: str, voxels: str, all_captures: bool = False) -> DataFrame:
+    """The counts of a written training set as one array per capture, in voxel order; with `all_captures` also the zeros of those without hits."""
+    rows = training_rows(spark, output).select(*KEY, "voxel_hits")
+    return targets.dense_rows(rows if all_captures else rows.where(F.size("voxel_hits") > 0), readers.read_voxels(spark, voxels))
 
 
-__all__ = ["Inputs", "build_training_set", "dense_targets", "group_spectra", "missing_captures", "photon_report", "reconcile_counts", "run_record"]
+__all__ = ["Inputs", "build_training_set", "dense_targets", "group_spectra", "missing_captures", "photon_report", "reconcile_counts", "run_record", "training_rows"]

@@ -19,12 +19,15 @@ def capture_targets(photons: DataFrame, captures: DataFrame, voxels: DataFrame,
     return targets.with_targets(nc, targets.region_hits(by_voxel, voxels))
 
 
-def training_set(photons: DataFrame, captures: DataFrame, voxels: DataFrame, splits: DataFrame, window: float = 200.0, split_keys: tuple[str, ...] = ("file_idx", "evtid"), scale: float = 1000.0, geometry: Geometry = Geometry(), sample_files: int | None = None) -> DataFrame:
-    """Key, split, 30 features, 4 region counts, the counts by voxel and the weight; `captures` carry global mat_id and vol_id."""
+def training_set(photons: DataFrame, captures: DataFrame, voxels: DataFrame, splits: DataFrame, window: float = 200.0, split_keys: tuple[str, ...] = ("file_idx", "evtid"), scale: float = 1000.0, geometry: Geometry = Geometry(), sample_files: int | None = None, weight: DataFrame | None = None) -> DataFrame:
+    """Key, split, 30 features, 4 region counts, the counts by voxel and the weight; `captures` carry global mat_id and vol_id.
+
+    `weight` is one row with a column of that name; without it the captures' keys are counted (of the first `sample_files`).
+    """
     rows = capture_targets(photons, captures, voxels, window, geometry)
     phi = targets.features(rows, scale, geometry)
     regions = rows.select(*KEY, "total_hits", "pit", "bot", "wall", "top", "voxels_hit", "voxel_hits")
-    weight = split.event_weight(captures, KEY, sample_files).select(F.col("weight").cast("float").alias("weight"))
+    weight = (split.event_weight(captures, KEY, sample_files) if weight is None else weight).select(F.col("weight").cast("float").alias("weight"))
     joined = split.reuse_split(phi.join(regions, list(KEY)), splits, split_keys)
     return joined.join(F.broadcast(weight))  # one row
 

@@ -54,6 +54,8 @@ RAW_OPTICAL = T.StructType(
         T.StructField("time_in_ns", T.DoubleType()),
     ]
 )
+#: Names of file-local ids; of repeated ids the later row counts.
+LOCAL_NAMES = T.StructType([T.StructField("source_file", T.StringType()), T.StructField("row_ix", T.LongType()), T.StructField("local_id", T.IntegerType()), T.StructField("name", T.StringType())])
 VOXEL = T.StructType(
     [
         T.StructField("index", T.StringType()),

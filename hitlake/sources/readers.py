@@ -4,28 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hitlake import schema
 from hitlake.operators import ranks
+from hitlake.sources import inventory
 
 
-def _raw(spark: SparkSession, path: str, kind: T.StructType) -> DataFrame:
-    """Raw files under a folder, at any depth; a damaged one does not stop the others (see `unreadable`)."""
-    return spark.read.schema(kind).option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").parquet(path)
+def read_captures(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
+    """Capture records with the 16 gamma columns packed into one array of structs; `files`: only these of the folder.
 
-
-def unreadable(spark: SparkSession, path: str, kind: T.StructType = schema.RAW_NC) -> DataFrame:
-    """Paths of the files under a folder that gave no row: damaged, cut off, of another format, or empty (column source_file)."""
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  one spelling of local paths
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(plain(F.col("path")).alias("source_file"))
-    read = _raw(spark, path, kind).groupBy(plain(F.col("_metadata.file_path")).alias("source_file")).agg(F.count("source_file").alias("n"))
-    return listed.join(read, "source_file", "left_anti")
-
-
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Capture records with the 16 gamma columns packed into one array of structs. Files that cannot be read add nothing."""
-    raw = _raw(spark, path, schema.RAW_NC)
+    Files that cannot be read add nothing: `inventory.failures` tells which.
+    """
+    raw = inventory.raw(spark, path, schema.RAW_NC, files)
     slot = lambda i: F.struct(*[F.col(f"gamma{i}_{c}").alias(n) for c, n in (("E", "e"), ("px", "px"), ("py", "py"), ("pz", "pz"))])
     return raw.select(
         "source_file", "row_ix", "evtid", F.col("nC_track_id").alias("nc_id"), *[F.col(f"nC_{c}_position_in_m").alias(c) for c in "xyz"],
@@ -34,15 +24,20 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_photons(spark: SparkSession, path: str) -> DataFrame:
+def read_photons(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
     """Detector hits; unused columns and other detectors are pruned by the scan."""
-    raw = _raw(spark, path, schema.RAW_OPTICAL)
+    raw = inventory.raw(spark, path, schema.RAW_OPTICAL, files)
     return raw.select(
         "source_file", "evtid", F.col("nC_track_id").alias("nc_id"), "det_uid", *[F.col(f"{c}_position_in_m").alias(c) for c in "xyz"],
         *[F.col(f"{c}_momentum_direction").alias(f"p{c}") for c in "xyz"], F.col("time_in_ns").alias("time"),
     )
 
 
+def read_local_names(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
+    """Entries of the file-local dictionaries, overwritten ones too."""
+    return inventory.raw(spark, path, schema.LOCAL_NAMES, files).drop("_path")
+
+
 def read_voxels(spark: SparkSession, path: str) -> DataFrame:
     """Voxels of one JSON array, with their place in it as `ord`."""
     text = spark.read.text(path, wholetext=True)

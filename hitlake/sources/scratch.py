@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -33,3 +35,13 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{scratch(spark)}/hitlake-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def existing(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What an earlier run left, or nothing if the path is not there; anything else that is wrong with it is an error."""
+    try:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
