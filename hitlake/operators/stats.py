@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hitlake.functions.geometry import percent
 from hitlake.operators import ranks
 from hitlake.schema import KEY
+from hitlake.sources.scratch import materialise
 
 PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 #: Closed ranges of relative time in ns (fixed values).
@@ -72,15 +73,16 @@ def relative_times(photons: DataFrame, captures: DataFrame, keys: tuple[str, ...
 
 def distribution(df: DataFrame, value: str) -> DataFrame:
     """One row: count, mean, deviation, ends and quartiles."""
-    v = F.col(value)
-    q25, median, q75 = ranks.quantiles(df, value, [0.25, 0.5, 0.75])
-    shape = df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    rows, v = materialise(df.select(value)), F.col(value)
+    q25, median, q75 = ranks.quantiles(rows, value, [0.25, 0.5, 0.75])
+    shape = rows.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
     return shape.withColumns({name: F.lit(x).cast("double") for name, x in (("median", median), ("q25", q25), ("q75", q75))})
 
 
 def percentiles(df: DataFrame, value: str, at: tuple[int, ...] = PERCENTILES) -> DataFrame:
     """(percentile, value), exact with linear interpolation."""
-    return df.sparkSession.createDataFrame(list(zip(at, ranks.quantiles(df, value, [p / 100 for p in at]))), "percentile int, value double")
+    found = ranks.quantiles(materialise(df.select(value)), value, [p / 100 for p in at])
+    return df.sparkSession.createDataFrame(list(zip(at, found)), "percentile int, value double")
 
 
 def window_counts(df: DataFrame, value: str, ranges: tuple = RANGES) -> DataFrame:
@@ -106,6 +108,8 @@ def flag_comparison(table: DataFrame) -> DataFrame:
 
 
 def range_summary(table: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """One row: minimum, maximum and median of each column."""
-    ends = table.agg(*[f(F.col(c)).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
-    return ends.withColumns({f"{c}_median": F.lit(ranks.quantiles(table, c, [0.5])[0]).cast("double") for c in columns})
+    """One row: minimum, maximum and median of each column, of a table that is written once."""
+    rows = materialise(table.select(*columns))
+    medians = ranks.quantiles_of(rows, {c: [0.5] for c in columns})
+    ends = rows.agg(*[f(F.col(c)).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
+    return ends.withColumns({f"{c}_median": F.lit(medians[c][0]).cast("double") for c in columns})

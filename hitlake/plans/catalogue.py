@@ -14,7 +14,7 @@ from hitlake.operators import dictionary, groups, match, nearest, reconcile, spl
 from hitlake.plans import api, build
 from hitlake.plans.oracle import ORACLE_SQL  # noqa: F401  re-exported for the driver's entry
 from hitlake.schema import KEY, LAYERS, PHI
-from hitlake.sources import readers, sinks, views
+from hitlake.sources import inventory, readers, sinks, views
 from hitlake.sources.scratch import materialise, scratch
 from hitlake.streaming import incremental
 
@@ -514,31 +514,76 @@ def incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 _written: dict[tuple[str, str], tuple[api.Inputs, str]] = {}
 
 
-def _raw_files(spark: SparkSession, sf_dir: str, base: str) -> api.Inputs:
-    """The views in the form of raw files: records, local dictionaries with overwritten entries, voxels as one JSON array."""
+def _raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The views in the form of raw records and local dictionaries with overwritten entries, by kind of file."""
     path = F.expr(views.source_file("file_idx")).alias("source_file")
     nc = views.with_local_ids(spark, sf_dir)
     gammas = [F.col("gammas")[i - 1][n].alias(f"gamma{i}_{c}") for i in range(1, 5) for c, n in (("E", "e"), ("px", "px"), ("py", "py"), ("pz", "pz"))]
-    nc.select(
+    captures = nc.select(
         path, F.col("row_ix").cast("bigint").alias("row_ix"), "evtid", F.col("nc_id").alias("nC_track_id"), *[F.col(c).alias(f"nC_{c}_position_in_m") for c in "xyz"], F.col("nc_time").alias("nC_time_in_ns"),
-        F.col("gamma_amount").alias("nC_gamma_amount"), F.col("gamma_total").alias("nC_gamma_total_energy_in_keV"), F.col("mat_local").cast("int").alias("nC_material_id"), F.col("vol_local").cast("int").alias("nC_phys_vol_id"), *gammas, F.col("flag").alias("nC_flag_Ge77"),
-    ).write.parquet(f"{base}/captures")
-    spark.createDataFrame([("this is no record",)], "value string").write.text(f"{base}/captures/damaged")  # one file that cannot be read
-    views.photons(spark, sf_dir).select(
+        F.col("gamma_amount").alias("nC_gamma_amount"), F.col("gamma_total").alias("nC_gamma_total_energy_in_keV"), F.col("mat_local").cast("int").alias("nC_material_id"), F.col("vol_local").cast("int").alias("nC_phys_vol_id"), *gammas, F.col("flag").alias("nC_flag_Ge77"), "file_idx",
+    )
+    photons = views.photons(spark, sf_dir).select(
         path, "evtid", F.col("nc_id").alias("nC_track_id"), F.col("det_uid").cast("int").alias("det_uid"), *[F.col(c).alias(f"{c}_position_in_m") for c in "xyz"], *[F.col(f"p{c}").alias(f"{c}_momentum_direction") for c in "xyz"],
-        F.lit(0.0).alias("photon_gamma_kinetic_energy_in_keV"), F.col("time").alias("time_in_ns"),
-    ).write.parquet(f"{base}/photons")
+        F.lit(0.0).alias("photon_gamma_kinetic_energy_in_keV"), F.col("time").alias("time_in_ns"), "file_idx",
+    )
+    found = {"captures": captures, "photons": photons}
     for column, out in (("material", "materials"), ("volume", "volumes")):
-        names = views.local_dictionary(spark, sf_dir, column).select(path, F.col("local_id").cast("int").alias("local_id"), "name")
-        old = names.select("source_file", F.lit(0).cast("bigint").alias("row_ix"), "local_id", F.lit("overwritten").alias("name"))
-        old.unionByName(names.select("source_file", F.lit(1).cast("bigint").alias("row_ix"), "local_id", "name")).write.parquet(f"{base}/{out}")
+        names = views.local_dictionary(spark, sf_dir, column).select(path, F.col("local_id").cast("int").alias("local_id"), "name", "file_idx")
+        old = names.select("source_file", F.lit(0).cast("bigint").alias("row_ix"), "local_id", F.lit("overwritten").alias("name"), "file_idx")
+        found[out] = old.unionByName(names.select("source_file", F.lit(1).cast("bigint").alias("row_ix"), "local_id", "name", "file_idx"))
+    return found
+
+
+def _voxel_file(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """The voxels as one JSON array."""
     corner = lambda d: F.transform("center", lambda c: c + d)
     voxel = F.struct("ord", F.struct("index", "center", F.array(corner(-1.0), corner(1.0)).alias("corners"), "layer").alias("v"))
     listed = views.voxels(spark, sf_dir).agg(F.to_json(F.transform(F.sort_array(F.collect_list(voxel)), lambda x: x["v"])).alias("value"))  # a detector description
-    listed.coalesce(1).write.text(f"{base}/voxels")
+    listed.coalesce(1).write.text(path)
+    return path
+
+
+def _raw_files(spark: SparkSession, sf_dir: str, base: str) -> api.Inputs:
+    for kind, rows in _raw_tables(spark, sf_dir).items():
+        rows.drop("file_idx").write.parquet(f"{base}/{kind}")
+    spark.createDataFrame([("this is no record",)], "value string").write.text(f"{base}/captures/damaged")  # one file that cannot be read
+    return api.Inputs(f"{base}/captures", f"{base}/photons", f"{base}/materials", f"{base}/volumes", _voxel_file(spark, sf_dir, f"{base}/voxels"))
+
+
+BUNDLES = 8
+
+
+def _bundled(spark: SparkSession, sf_dir: str, base: str, only: str = "true", kinds: tuple[str, ...] = ("captures", "photons", "materials", "volumes")) -> api.Inputs:
+    """Raw files of several logical files each, in one folder per bundle (file number mod 8), with small row groups."""
+    for kind, rows in _raw_tables(spark, sf_dir).items():
+        if kind in kinds:
+            part = rows.where(only).withColumn("run", F.col("file_idx") % BUNDLES)
+            part.repartition("run").sortWithinPartitions("run", "file_idx").drop("file_idx").write.mode("append").option("parquet.block.size", 1 << 16).partitionBy("run").parquet(f"{base}/{kind}")
     return api.Inputs(f"{base}/captures", f"{base}/photons", f"{base}/materials", f"{base}/volumes", f"{base}/voxels")
 
 
+def _damage(spark: SparkSession, folder: str, last_rows_only: bool) -> None:
+    """Overwrite a folder's one file: without its second half, or with noise in its last row group."""
+    import io
+
+    import pyarrow.parquet as pq
+
+    row = spark.read.format("binaryFile").load(folder).where("path like '%.parquet'").first()
+    content = bytearray(row["content"])
+    if last_rows_only:
+        meta = pq.read_metadata(io.BytesIO(content))
+        column = meta.row_group(meta.num_row_groups - 1).column(meta.num_columns // 2)
+        at = column.dictionary_page_offset or column.data_page_offset
+        content[at : at + 24] = bytes(b ^ 0xFF for b in content[at : at + 24])
+    else:
+        content = content[: len(content) // 2]
+    path = spark._jvm.org.apache.hadoop.fs.Path(row["path"])
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytes(content))
+    out.close()
+
+
 def _build(spark: SparkSession, sf_dir: str) -> tuple[api.Inputs, str]:
     """Raw files written and built once a session and input."""
     key = (spark.sparkContext.applicationId, sf_dir)
@@ -550,12 +595,15 @@ def _build(spark: SparkSession, sf_dir: str) -> tuple[api.Inputs, str]:
     return _written[key]
 
 
+def _row_summary(rows: DataFrame) -> DataFrame:
+    hits = F.aggregate(F.map_values("voxel_hits"), F.lit(0), lambda a, n: a + n)
+    return rows.select(*KEY, "split", "total_hits", *LAYERS, "voxels_hit", hits.alias("map_hits"), F.col("matID").cast("int").alias("mat_id"), F.col("volID").cast("int").alias("vol_id"), F.round(F.col("weight").cast("double"), 9).alias("weight"))
+
+
 @query
 def written_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw files through the whole job, the written rows read back; files are ranked by path."""
-    rows = spark.read.parquet(f"{_build(spark, sf_dir)[1]}/rows")
-    hits = F.aggregate(F.map_values("voxel_hits"), F.lit(0), lambda a, n: a + n)
-    return rows.select(*KEY, "split", "total_hits", *LAYERS, "voxels_hit", hits.alias("map_hits"), F.col("matID").cast("int").alias("mat_id"), F.col("volID").cast("int").alias("vol_id"), F.round(F.col("weight").cast("double"), 9).alias("weight"))
+    return _row_summary(spark.read.parquet(f"{_build(spark, sf_dir)[1]}/rows"))
 
 
 @query
@@ -567,6 +615,15 @@ def written_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select(*KEY, F.size("target").alias("n_voxels"), F.aggregate("target", F.lit(0), lambda a, h: a + h).alias("total"), most.alias("most_hit"))
 
 
+@query
+def full_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense targets of all captures, also of those without hits: length, sum, voxels hit, and the first and last of these."""
+    inputs, out = _build(spark, sf_dir)
+    full = api.dense_targets(spark, out, inputs.voxels, all_captures=True)
+    places = F.filter(F.transform("target", lambda h, i: F.when(h > 0, i)), lambda i: i.isNotNull())
+    return full.withColumn("_p", places).select(*KEY, F.size("target").alias("n_voxels"), F.aggregate("target", F.lit(0), lambda a, h: a + h).alias("total"), F.size("_p").alias("n_hit"), F.coalesce(F.array_min("_p"), F.lit(-1)).alias("first_hit"), F.coalesce(F.array_max("_p"), F.lit(-1)).alias("last_hit"))
+
+
 @query
 def written_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs, out = _build(spark, sf_dir)
@@ -604,6 +661,60 @@ def reset_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").groupBy("split").agg(F.count("*").alias("n"), F.sum("total_hits").alias("hits"))
 
 
+@query
+def damaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles of hits (1) and of materials (2) cut in half, one of captures (3) broken in its last row group: the record
+    of all logical files, the kind of file to blame, and the rows and hits that the training set has of each."""
+    base = f"{scratch(spark)}/damaged-{uuid.uuid4().hex}"
+    inputs = _bundled(spark, sf_dir, f"{base}/raw")
+    _voxel_file(spark, sf_dir, inputs.voxels)
+    for kind, bundle in (("photons", 1), ("materials", 2), ("captures", 3)):
+        if not views.captures(spark, sf_dir).where(F.col("file_idx") % BUNDLES == bundle).isEmpty():
+            _damage(spark, f"{base}/raw/{kind}/run={bundle}", last_rows_only=kind == "captures")
+    api.build_training_set(spark, inputs, f"{base}/out", window=WIDE, sample_files=None)
+    rows = api.training_rows(spark, f"{base}/out").groupBy("source_file").agg(F.count("*").alias("n_rows"), F.sum("total_hits").alias("n_hits"))
+    record = api.run_record(spark, f"{base}/out").where("source_file like 'data/%'")
+    blamed = F.when(F.col("status") == "failed", F.coalesce(F.nullif(F.regexp_extract("reason", " (.*)", 1), F.lit("")), F.lit("captures")))
+    out = record.withColumn("blamed", F.coalesce(blamed, F.lit(""))).join(rows, "source_file", "left")
+    return out.select("source_file", "status", "blamed", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("rows_train", "rows_validation", "n_rows", "n_hits")])
+
+
+@query
+def resumed_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built 20 files at a time, broken off after the first batch, then taken up again: the rows of one whole build."""
+    inputs, _ = _build(spark, sf_dir)
+    out = f"{scratch(spark)}/resumed-{uuid.uuid4().hex}"
+    for most in (1, None):
+        api.build_training_set(spark, inputs, out, window=WIDE, sample_files=None, files_per_batch=20, most_batches=most)
+    return _row_summary(api.training_rows(spark, out))
+
+
+@query
+def grown_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the files first, then all: only the new ones are counted, and the totals are those of one full count."""
+    base = f"{scratch(spark)}/grown-{uuid.uuid4().hex}"
+    inputs = _bundled(spark, sf_dir, f"{base}/raw", f"file_idx % {BUNDLES} < 4")
+    _voxel_file(spark, sf_dir, inputs.voxels)
+    api.build_training_set(spark, inputs, f"{base}/out", window=WIDE, sample_files=None)
+    _bundled(spark, sf_dir, f"{base}/raw", f"file_idx % {BUNDLES} >= 4")
+    api.build_training_set(spark, inputs, f"{base}/out", window=WIDE, sample_files=None)
+    report = api.reconcile_counts(spark, inputs, f"{base}/out").select("n_in", "n_out", "verdict")
+    weight = api.training_rows(spark, f"{base}/out").groupBy(F.round(F.col("weight").cast("double"), 9).alias("weight")).agg(F.sum("total_hits").alias("n_hits"), F.count_distinct("file_idx").alias("n_files"))
+    return report.join(F.broadcast(weight))  # one row each
+
+
+@query
+def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture files of half of the bundles, listed and checked; then the others come, and only these are checked."""
+    base = f"{scratch(spark)}/inventory-{uuid.uuid4().hex}"
+    folders = {"captures": f"{base}/raw/captures"}
+    _bundled(spark, sf_dir, f"{base}/raw", f"file_idx % {BUNDLES} < 4", ("captures",))
+    first = inventory.refresh(spark, folders, f"{base}/state").select("path", F.lit(True).alias("_old"))
+    _bundled(spark, sf_dir, f"{base}/raw", f"file_idx % {BUNDLES} >= 4", ("captures",))
+    both = inventory.refresh(spark, folders, f"{base}/state").join(first, "path", "left")
+    return both.select(F.regexp_extract("name", "^run=(.*)/", 1).alias("run"), "state", "n_read", F.size("holds").alias("n_files"), F.col("_old").isNull().alias("is_new"))
+
+
 @query
 def missing_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files of hits against the captures of four files in five: the others have no capture group."""

@@ -85,6 +85,7 @@ dts AS (SELECT d.time - nc.nc_time AS dt FROM det d JOIN nc USING (file_idx, evt
 files AS (
   SELECT file_idx, source_file, CAST(dense_rank() OVER (ORDER BY source_file) - 1 AS INT) AS file_rank, split_part(source_file, '/', 3) AS file_name, split_part(source_file, '/', 2) AS run
   FROM (SELECT file_idx, {source_file('file_idx')} AS source_file FROM (SELECT DISTINCT file_idx FROM cap))),
+sound AS (SELECT * FROM evt WHERE file_idx % 8 NOT IN (1, 2, 3)),
 phys AS (SELECT DISTINCT phys_volume AS name FROM cap)
 """
 
@@ -212,6 +213,14 @@ _BODIES = {
     "incremental_build": "SELECT coalesce(split, 'train') AS split, count(*) AS n FROM nc LEFT JOIN splits USING (file_idx, evtid) GROUP BY 1",
     "written_training_set": f"SELECT CAST(file_rank AS INT) AS file_idx, evtid, nc_id, p.split, total_hits, pit, bot, wall, top, voxels_hit, total_hits AS map_hits, mat_id, vol_id, round(CAST(1.0::DOUBLE / (SELECT count(*) FROM keys) AS REAL)::DOUBLE, 9) AS weight FROM {_TRAIN} JOIN files USING (file_idx) JOIN {_BY_PATH} p USING (file_idx, evtid)",
     "written_targets": "SELECT CAST(any_value(file_rank) AS INT) AS file_idx, evtid, nc_id, (SELECT CAST(count(*) AS INT) FROM voxel) AS n_voxels, CAST(sum(hits) AS INT) AS total, CAST(arg_min(pos, (-hits, pos)) AS INT) AS most_hit FROM vhits JOIN files f USING (file_idx) JOIN (SELECT index AS voxel_index, row_number() OVER (ORDER BY ord) - 1 AS pos FROM voxel) USING (voxel_index) GROUP BY vhits.file_idx, evtid, nc_id",
+    "full_targets": """SELECT file_rank AS file_idx, evtid, nc_id, (SELECT CAST(count(*) AS INT) FROM voxel) AS n_voxels, CAST(coalesce(sum(hits), 0) AS INT) AS total, CAST(count(hits) AS INT) AS n_hit, CAST(coalesce(min(pos), -1) AS INT) AS first_hit, CAST(coalesce(max(pos), -1) AS INT) AS last_hit
+      FROM nc JOIN files USING (file_idx) LEFT JOIN (SELECT * FROM vhits JOIN (SELECT index AS voxel_index, row_number() OVER (ORDER BY ord) - 1 AS pos FROM voxel) USING (voxel_index)) USING (file_idx, evtid, nc_id) GROUP BY ALL""",
+    "damaged_files": f"""SELECT source_file, CASE WHEN b THEN 'failed' ELSE 'completed' END AS status, CASE WHEN NOT b THEN '' WHEN file_idx % 8 = 1 THEN 'photons' WHEN file_idx % 8 = 2 THEN 'materials' ELSE 'captures' END AS blamed,
+        CASE WHEN b THEN 0 ELSE n_train END AS rows_train, CASE WHEN b THEN 0 ELSE n - n_train END AS rows_validation, CASE WHEN b THEN 0 ELSE n END AS n_rows, CASE WHEN b THEN 0 ELSE hits END AS n_hits
+      FROM (SELECT source_file, file_idx, any_value(file_idx % 8 IN (1, 2, 3)) AS b, count(*) AS n, count(*) FILTER (coalesce(p.split, 'train') = 'train') AS n_train, CAST(sum(total_hits) AS BIGINT) AS hits
+        FROM full_hits JOIN files USING (file_idx) LEFT JOIN {_BY_PATH.replace("FROM evt JOIN files", "FROM sound JOIN files").replace("FROM evt)", "FROM sound)")} p USING (file_idx, evtid) GROUP BY 1, 2)""",
+    "grown_counts": "SELECT n AS n_in, n AS n_out, 'equal' AS verdict, round(CAST(1.0::DOUBLE / n AS REAL)::DOUBLE, 9) AS weight, hits AS n_hits, files AS n_files FROM (SELECT count(*) AS n, CAST(sum(total_hits) AS BIGINT) AS hits, count(DISTINCT file_idx) AS files FROM full_hits)",
+    "file_inventory": "SELECT CAST(file_idx % 8 AS VARCHAR) AS run, 'ok' AS state, count(*) AS n_read, CAST(count(DISTINCT file_idx) AS INT) AS n_files, any_value(file_idx % 8 >= 4) AS is_new FROM cap GROUP BY 1",
     "written_counts": f"""SELECT n AS n_in, n AS n_out, n_train, n - n_train AS n_validation, 0::BIGINT AS difference, 100.0::DOUBLE AS pct_recovered, 0.0::DOUBLE AS pct_lost, {_pct('n_train', 'n')} AS pct_train, {_pct('n - n_train', 'n')} AS pct_validation, 'equal' AS verdict
       FROM (SELECT count(*) AS n, count(*) FILTER (p.split = 'train') AS n_train FROM nc JOIN {_BY_PATH} p USING (file_idx, evtid))""",
     "written_spectra": f"SELECT CASE WHEN volume = '' THEN 'noVolume' ELSE 'unmatched' END AS group_name, count(*) AS n_events, round(avg(total_hits), 6) AS mean_hits, round(avg(voxels_hit), 6) AS mean_voxels, round(median(total_hits), 6) AS median_hits, round(median(voxels_hit), 6) AS median_voxels FROM full_hits GROUP BY 1",
@@ -226,5 +235,6 @@ _BODIES = {
     "unmatched_report": f"SELECT 'unmatched names: ' || count(*) AS value FROM phys WHERE ({_GROUP}) = 'unmatched' UNION ALL SELECT name FROM phys WHERE ({_GROUP}) = 'unmatched'",
 }
 _BODIES["dictionary_file"] = _BODIES["dictionary_build"]
+_BODIES["resumed_build"] = _BODIES["written_training_set"]
 
 ORACLE_SQL: dict[str, str] = {name: VIEWS + body for name, body in _BODIES.items()}

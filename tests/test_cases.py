@@ -221,3 +221,25 @@ def test_quantiles_by_rank(spark):
     assert ranks.quantiles(df.where("v is null"), "v", [0.5]) == [None]
     names = spark.createDataFrame([(f"p{i:03}",) for i in range(300)], "name string").repartition(7)
     assert [r["k"] for r in ranks.numbered(names, "name", "k").orderBy("name").collect()] == list(range(300))
+
+
+def test_quantiles_of_several_columns_move_no_values(spark):
+    import numpy as np
+
+    from hitlake.operators import ranks
+
+    rng = np.random.default_rng(4)
+    wide = np.concatenate([rng.normal(size=900) * 10.0 ** rng.integers(-300, 300, 900), [1.7e308, -1.7e308, 5e-324]])
+    columns = {"a": wide, "b": np.round(rng.normal(size=903), 1), "c": np.concatenate([[np.inf, -np.inf, -np.inf], rng.normal(size=900)]), "d.e": np.full(903, 7.0)}
+    df = spark.createDataFrame([tuple(float(x) for x in r) for r in zip(*columns.values())] + [(None, float("nan"), None, None)], "a double, b double, c double, `d.e` double").repartition(3)
+    shares = [0.0, 0.003, 0.25, 0.5, 0.77, 1.0]
+    got = ranks.quantiles_of(df, {c: shares for c in columns})
+    for c, values in columns.items():
+        ordered = np.sort(values)
+        want = []
+        for s in shares:
+            low, part = int(s * 902), s * 902 - int(s * 902)
+            high = min(902, low + 1)
+            want.append(ordered[low] if ordered[low] == ordered[high] or not part else ordered[low] + (ordered[high] - ordered[low]) * part)
+        assert got[c] == pytest.approx(want), c
+    assert ranks.quantiles_of(df.limit(0), {"a": shares, "b": [0.5]}) == {"a": [None] * 6, "b": [None]}

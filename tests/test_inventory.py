@@ -3,24 +3,37 @@
 import glob
 import json
 import os
-import shutil
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from hitlake import schema
 from hitlake.plans import api
 from hitlake.sources import inventory, sinks
 
 SLOT = (100.0, 0.0, 0.0, 1.0)
-LOCAL = "source_file string, row_ix long, local_id int, name string"
+LOCAL = schema.LOCAL_NAMES
 
 
-def one_file(spark, rows, kind, path):
-    """One Parquet file under a name of its own, with small row groups."""
-    spark.createDataFrame(rows, kind).coalesce(1).write.option("parquet.block.size", 4096).option("parquet.page.size", 1024).mode("overwrite").parquet(f"{path}.d")
+def one_file(spark, rows, kind, path, group=100_000):
+    """One Parquet file under a name of its own, with page checksums."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    shutil.move(glob.glob(f"{path}.d/part-*")[0], path)
-    shutil.rmtree(f"{path}.d")
+    names = kind.names
+    table = pa.Table.from_pylist([dict(zip(names, r)) for r in rows], to_arrow_schema(kind))
+    pq.write_table(table, path, row_group_size=group, write_page_checksum=True)
+
+
+def break_page(path, column, group=-1):
+    """Turn bytes of a column's first page in one row group."""
+    meta = pq.read_metadata(path)
+    at = meta.row_group(group % meta.num_row_groups).column(column)
+    with open(path, "r+b") as file:
+        file.seek((at.dictionary_page_offset or at.data_page_offset) + at.total_compressed_size - 2)
+        byte = file.read(1)
+        file.seek(-1, 1)
+        file.write(bytes([byte[0] ^ 0xFF]))
 
 
 def add_files(spark, base, numbers, named=True):
@@ -52,11 +65,7 @@ def test_every_kind_of_damage_fails_its_file_only(spark, tmp_path):
         file.write(b"PAR1 not parquet")
     with open(f"{inputs.materials}/{name(2)}", "r+b") as file:
         file.truncate(os.path.getsize(file.name) - 9)
-    with open(f"{inputs.volumes}/{name(4)}", "r+b") as file:  # one byte of a page
-        file.seek(60)
-        byte = file.read(1)
-        file.seek(60)
-        file.write(bytes([byte[0] ^ 0xFF]))
+    break_page(f"{inputs.volumes}/{name(4)}", 3)  # one byte
     out = str(tmp_path / "out")
     failed = {r["source_file"]: r["reason"] for r in api.build_training_set(spark, inputs, out).collect()}
     assert failed == {name(1): "unreadable photons", name(2): "unreadable materials", name(4): "unreadable volumes"}
@@ -64,10 +73,11 @@ def test_every_kind_of_damage_fails_its_file_only(spark, tmp_path):
     assert {(r["source_file"], r["total_hits"]) for r in api.training_rows(spark, out).collect()} == {(name(f), h) for f in (0, 3, 5) for h in (0, 1)}
     # Mended files are built by the next run, and the files that are done are left alone.
     before = {f: os.path.getmtime(f) for f in glob.glob(f"{out}/rows/split=*/file_idx=*/*")}
+    assert before
     add_files(spark, str(tmp_path), (1, 2, 4), named=False)
     assert api.build_training_set(spark, inputs, out).collect() == []
     assert {s[:2] for s in states(spark, out).values()} == {("completed", 12)} and len(table(spark, out)) == 72
-    assert before
+    assert before.items() <= {f: os.path.getmtime(f) for f in glob.glob(f"{out}/rows/split=*/file_idx=*/*")}.items()
 
 
 def test_a_bundle_damaged_in_its_last_rows(spark, tmp_path):
@@ -78,15 +88,8 @@ def test_a_bundle_damaged_in_its_last_rows(spark, tmp_path):
     for f in (0, 1):
         os.remove(f"{inputs.photons}/{name(f)}")
     bundle = f"{inputs.photons}/bundle.parquet"
-    one_file(spark, hits, schema.RAW_OPTICAL, bundle)
-    import pyarrow.parquet as pq
-
-    meta = pq.ParquetFile(bundle).metadata
-    assert meta.num_row_groups > 2
-    at = meta.row_group(meta.num_row_groups - 1).column(schema.RAW_OPTICAL.names.index("time_in_ns"))
-    with open(bundle, "r+b") as file:
-        file.seek((at.dictionary_page_offset or at.data_page_offset) + 2)
-        file.write(b"\xff" * 40)
+    one_file(spark, hits, schema.RAW_OPTICAL, bundle, group=9_000)
+    break_page(bundle, schema.RAW_OPTICAL.names.index("time_in_ns"))
     inv = {r["name"]: (r["state"], r["n_footer"], r["n_read"]) for r in inventory.refresh(spark, inputs.folders(), str(tmp_path / "inv")).where("kind = 'photons'").collect()}
     assert inv["bundle.parquet"][0] == "cut" and 0 < inv["bundle.parquet"][2] < inv["bundle.parquet"][1] == 40000
     failed = {r["source_file"]: r["reason"] for r in api.build_training_set(spark, inputs, str(tmp_path / "out")).collect()}
