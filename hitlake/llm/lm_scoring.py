@@ -9,9 +9,10 @@ out of the target, so that having been counted does not make it look near.
 
 Counts are exact: a run of four bytes is one 32-bit key, Spark adds the keys up over every token of every document into
 a written table, which grows with the corpus, and contexts, pairs and bytes follow from it. The table is cut into
-ranges of contexts of at most about `most_sent` keys. Scoring sends one range after the other to the tasks; a token's
-loss needs its own context only, so the ranges' sums add up to the loss with the whole table, and what is sent at once
-stays bounded however many keys there are.
+ranges of contexts of at most about `most_sent` keys. Each range is one pass over the texts: it is collected, sent to the
+tasks, its losses are written, and it is dropped before the next one is collected. A token's loss needs its own context
+only, so the ranges' sums add up to the loss with the whole table. The driver and each task hold one range (36 bytes a
+key) and the 65,536 pairs at a time, however many keys there are; the price is one reading of the texts for each range.
 
 Defined cases: null or empty text = no tokens, losses and score 0.0; repeated rows each give a row and count each; no
 target document: every target count is 0 and the scores compare a uniform model; other columns are ignored; a null
@@ -235,11 +236,21 @@ def score_documents(rows: DataFrame, models: Models, counted: bool = True) -> Da
                         sums[:, i] = part.losses(*tallied(keys(data[lo:hi])), bool(flag[i]), counted)
                 yield pa.StructArray.from_arrays([pa.array(n), pa.array(sums[0]), pa.array(sums[1])], names=["n", "target", "background"])
 
-        return run
-
-    parts = [losses(context.broadcast(models.part(i)))("text", "is_target") for i in range(len(models.cuts))]
-    scored = rows.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce("is_target", F.lit(False)).alias("is_target")).select("doc_id", *[p.alias(f"_part{i}") for i, p in enumerate(parts)])
-    whole = lambda c: sum((F.col(f"_part{i}.{c}") for i in range(1, len(parts))), F.col(f"_part0.{c}"))
-    per = F.greatest(F.col("_part0.n"), F.lit(1))
-    out = scored.select("doc_id", F.col("_part0.n").alias("n_tokens"), (whole("target") / per).alias("target_loss"), (whole("background") / per).alias("background_loss"))
+        return run("text", "is_target")
+
+    own = rows.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    if len(models.cuts) == 1:  # one range, one pass: nothing has to be added up
+        summed = own.select("doc_id", losses(context.broadcast(models.part(0))).alias("_s")).select("doc_id", "_s.*")
+    else:
+        own = materialise(own.withColumn("_row", F.monotonically_increasing_id()))  # a row keeps its number in all passes
+        parts = None
+        for i in range(len(models.cuts)):
+            shared = context.broadcast(models.part(i))
+            done = materialise(own.select("_row", losses(shared).alias("_s")).select("_row", "_s.*"))
+            shared.destroy()
+            parts = done if parts is None else parts.unionByName(done)
+        summed = parts.groupBy("_row").agg(F.max("n").alias("n"), F.sum("target").alias("target"), F.sum("background").alias("background"))
+        summed = own.select("_row", "doc_id").join(summed, "_row")
+    per = F.greatest("n", F.lit(1))
+    out = summed.select("doc_id", F.col("n").alias("n_tokens"), (F.col("target") / per).alias("target_loss"), (F.col("background") / per).alias("background_loss"))
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -171,3 +171,21 @@ def test_lm_probabilities_add_up():
     loss = lambda t: part.losses(*L.tallied(L.keys(np.frombuffer(t, np.uint8))), False, counted=False)[0]
     total = sum(np.exp(loss(b"aba") - loss(b"aba" + bytes([b]))) for b in range(256))
     assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_ranges_are_passes_of_their_own(spark, small, odd):
+    """With many ranges no plan holds two of them, and the scores are those of one range."""
+    for docs in (small.limit(60), odd):
+        rows = L.marked(docs, docs.where("doc_id % 3 = 0").select("doc_id")).repartition(3)
+        rows = L.materialise(rows)
+        whole = L.fit(rows)
+        cut = L.fit(rows, most_sent=whole.counts.count() // 8)
+        assert len(whole.cuts) == 1 and len(cut.cuts) >= 4
+        one, many = L.score_documents(rows, whole), L.score_documents(rows, cut)
+        plan = many._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan and one._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+        columns = ("n_tokens", "target_loss", "background_loss", "score")
+        key = lambda r: (str(r["doc_id"]), r["n_tokens"], round(r["target_loss"], 6))
+        a, b = (sorted(df.collect(), key=key) for df in (one, many))
+        assert len(a) == len(b) == rows.count()
+        assert all(x["doc_id"] == y["doc_id"] and all(x[c] == pytest.approx(y[c], abs=1e-9) for c in columns) for x, y in zip(a, b))
