@@ -243,3 +243,26 @@ def test_quantiles_of_several_columns_move_no_values(spark):
             want.append(ordered[low] if ordered[low] == ordered[high] or not part else ordered[low] + (ordered[high] - ordered[low]) * part)
         assert got[c] == pytest.approx(want), c
     assert ranks.quantiles_of(df.limit(0), {"a": shares, "b": [0.5]}) == {"a": [None] * 6, "b": [None]}
+
+
+def test_clustered_detector(spark, monkeypatch):
+    """Most centres in spots a thousandth of the detector wide: lists stay short on every level, and results are those of every voxel."""
+    import random
+
+    rng = random.Random(8)
+    centres = [[rng.uniform(-1000, 1000) for _ in range(3)] for _ in range(150)]
+    for spot in ([10.0, 20.0, 30.0], [-400.0, 5.0, 600.0]):
+        centres += [[c + rng.gauss(0, 0.4) for c in spot] for _ in range(700)]
+    centres += centres[200:220]
+    voxels = spark.createDataFrame([(i, f"v{i}", c, "top") for i, c in enumerate(centres)], VOXEL)
+    hits = [(f"a{i}", *[rng.uniform(-1100, 1100) for _ in range(3)]) for i in range(60)] + [(f"b{i}", *[c + rng.gauss(0, 1.0) for c in (10.0, 20.0, 30.0)]) for i in range(60)]
+    hits += [("nan", float("nan"), 0.0, 0.0), ("far", 1e9, -1e9, 3.0), ("none", None, 0.0, 1.0)]
+    df = spark.createDataFrame(hits, "photon_id string, x double, y double, z double")
+    points = nearest.centres(voxels)
+    by_level = nearest.levels(points, nearest.fitted_cell(points)[1])
+    assert len(by_level) > 2 and max(f.selectExpr("max(size(_near))").first()[0] for _, f in by_level) <= nearest.MOST_NEAR
+    want = {r["photon_id"]: r["voxel_index"] for r in nearest.nearest_brute(df.where("photon_id <> 'nan' and x is not null"), voxels).collect()} | {"nan": "-1", "none": "-1"}
+    assert {r["photon_id"]: r["voxel_index"] for r in nearest.nearest_grid(df, voxels).collect()} == want
+    monkeypatch.setattr(nearest, "MOST_TREE", 0)
+    near = df.where("abs(x) < 5000")
+    assert {r["photon_id"]: r["voxel_index"] for r in nearest.nearest_grid(near, voxels).collect()}.items() <= want.items()
