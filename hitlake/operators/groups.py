@@ -11,20 +11,92 @@ LITERAL_GROUPS = (
 )
 
 
+#: Groups and patterns of names, in order; the first that fits counts (fixed values).
+RULES = (
+    ("V_detector", r"^V\d{4}$"),
+    ("S_module_bottom", r"^S\d{4}B$"),
+    ("S_module_top", r"^S\d{4}T$"),
+    ("PMT_main", r"^PMT\d{6}$"),
+    ("PMT_3inch", r"^PMT300\d{4}$"),
+    ("V_penetration", r"^V\d{4}_pen$"),
+    ("S_wrap_bottom", r"^S\d{4}B_wrap$"),
+    ("S_wrap_top", r"^S\d{4}T_wrap$"),
+    ("fiber_sipm", r"^fiber_S\d{4}_s$"),
+    ("fiber_core", r"^fiber_core_l[\d.]+$"),
+    ("fiber_cl1", r"^fiber_cl1_l[\d.]+$"),
+    ("fiber_cl2_tpb", r"^fiber_cl2_l[\d.]+_tpb\d+$"),
+    ("PMT_vacuum", r"^PMT\d{6}_vacuum$"),
+    ("PMT_window", r"^PMT\d{6}_window$"),
+    ("PMT_3inch_vacuum", r"^PMT300\d{4}_vacuum$"),
+    ("PMT_3inch_window", r"^PMT300\d{4}_window$"),
+    ("V_click_top_0", r"^V\d{4}_click_top_0$"),
+    ("V_click_top_1", r"^V\d{4}_click_top_1$"),
+    ("V_click_top_2", r"^V\d{4}_click_top_2$"),
+    ("V_hv_cable_string_1", r"^V\d{4}_hv_cable_string_1$"),
+    ("V_hv_cable_string_2", r"^V\d{4}_hv_cable_string_2$"),
+    ("V_hv_cable_string_3", r"^V\d{4}_hv_cable_string_3$"),
+    ("V_hv_cable_string_4", r"^V\d{4}_hv_cable_string_4$"),
+    ("V_hv_cable_string_5", r"^V\d{4}_hv_cable_string_5$"),
+    ("V_hv_cable_string_6", r"^V\d{4}_hv_cable_string_6$"),
+    ("V_hv_cable_string_7", r"^V\d{4}_hv_cable_string_7$"),
+    ("V_hv_cable_string_8", r"^V\d{4}_hv_cable_string_8$"),
+    ("V_hv_cable_string_9", r"^V\d{4}_hv_cable_string_9$"),
+    ("V_hv_clamp_string_1", r"^V\d{4}_hv_clamp_string_1$"),
+    ("V_hv_clamp_string_2", r"^V\d{4}_hv_clamp_string_2$"),
+    ("V_hv_clamp_string_3", r"^V\d{4}_hv_clamp_string_3$"),
+    ("V_hv_clamp_string_4", r"^V\d{4}_hv_clamp_string_4$"),
+    ("V_hv_clamp_string_5", r"^V\d{4}_hv_clamp_string_5$"),
+    ("V_hv_clamp_string_6", r"^V\d{4}_hv_clamp_string_6$"),
+    ("V_hv_clamp_string_7", r"^V\d{4}_hv_clamp_string_7$"),
+    ("V_hv_clamp_string_8", r"^V\d{4}_hv_clamp_string_8$"),
+    ("V_hv_clamp_string_9", r"^V\d{4}_hv_clamp_string_9$"),
+    ("V_signal_asic_string_1", r"^V\d{4}_signal_asic_string_1$"),
+    ("V_signal_asic_string_2", r"^V\d{4}_signal_asic_string_2$"),
+    ("V_signal_asic_string_3", r"^V\d{4}_signal_asic_string_3$"),
+    ("V_signal_asic_string_4", r"^V\d{4}_signal_asic_string_4$"),
+    ("V_signal_asic_string_5", r"^V\d{4}_signal_asic_string_5$"),
+    ("V_signal_asic_string_6", r"^V\d{4}_signal_asic_string_6$"),
+    ("V_signal_asic_string_7", r"^V\d{4}_signal_asic_string_7$"),
+    ("V_signal_asic_string_8", r"^V\d{4}_signal_asic_string_8$"),
+    ("V_signal_asic_string_9", r"^V\d{4}_signal_asic_string_9$"),
+    ("V_signal_cable_string_1", r"^V\d{4}_signal_cable_string_1$"),
+    ("V_signal_cable_string_2", r"^V\d{4}_signal_cable_string_2$"),
+    ("V_signal_cable_string_3", r"^V\d{4}_signal_cable_string_3$"),
+    ("V_signal_cable_string_4", r"^V\d{4}_signal_cable_string_4$"),
+    ("V_signal_cable_string_5", r"^V\d{4}_signal_cable_string_5$"),
+    ("V_signal_cable_string_6", r"^V\d{4}_signal_cable_string_6$"),
+    ("V_signal_cable_string_7", r"^V\d{4}_signal_cable_string_7$"),
+    ("V_signal_cable_string_8", r"^V\d{4}_signal_cable_string_8$"),
+    ("V_signal_cable_string_9", r"^V\d{4}_signal_cable_string_9$"),
+    ("V_signal_clamp_string_1", r"^V\d{4}_signal_clamp_string_1$"),
+    ("V_signal_clamp_string_2", r"^V\d{4}_signal_clamp_string_2$"),
+    ("V_signal_clamp_string_3", r"^V\d{4}_signal_clamp_string_3$"),
+    ("V_signal_clamp_string_4", r"^V\d{4}_signal_clamp_string_4$"),
+    ("V_signal_clamp_string_5", r"^V\d{4}_signal_clamp_string_5$"),
+    ("V_signal_clamp_string_6", r"^V\d{4}_signal_clamp_string_6$"),
+    ("V_signal_clamp_string_7", r"^V\d{4}_signal_clamp_string_7$"),
+    ("V_signal_clamp_string_8", r"^V\d{4}_signal_clamp_string_8$"),
+    ("V_signal_clamp_string_9", r"^V\d{4}_signal_clamp_string_9$"),
+    ("V_insulator_0", r"^V\d{4}_insulator_du_holder_0$"),
+    ("V_insulator_1", r"^V\d{4}_insulator_du_holder_1$"),
+    ("V_insulator_2", r"^V\d{4}_insulator_du_holder_2$"),
+    ("tyvek_bot", r"^my_tyvek_bot_foil$"),
+    ("tyvek_pit", r"^my_tyvek_pit_foil$"),
+    ("tyvek_top", r"^my_tyvek_top_foil$"),
+    ("tyvek_zyl", r"^my_tyvek_zyl_foil$"),
+    ("tyvek_bottom", r"^tyvek_bottom_foil$"),
+    ("tyvek_prism", r"^tyvek_prism_foil$"),
+    ("cu_rod_0", r"^string_\d+_cu_rod_0$"),
+    ("cu_rod_1", r"^string_\d+_cu_rod_1$"),
+    ("cu_rod_2", r"^string_\d+_cu_rod_2$"),
+    ("tristar_xlarge", r"^tristar_xlarge_string_\d+$"),
+    ("string_support", r"^string_support_structure_string_\d+$"),
+)
+
+
 def rules() -> list[tuple[str, str]]:
-    """(group, pattern) in order; the first that fits counts. Families that differ by a number are made from one rule."""
-    found = [("V_detector", r"^V\d{4}$"), ("S_module_bottom", r"^S\d{4}B$"), ("S_module_top", r"^S\d{4}T$"), ("PMT_main", r"^PMT\d{6}$"), ("PMT_3inch", r"^PMT300\d{4}$"), ("V_penetration", r"^V\d{4}_pen$")]
-    found += [("S_wrap_bottom", r"^S\d{4}B_wrap$"), ("S_wrap_top", r"^S\d{4}T_wrap$")]
-    found += [("fiber_sipm", r"^fiber_S\d{4}_s$"), ("fiber_core", r"^fiber_core_l[\d.]+$"), ("fiber_cl1", r"^fiber_cl1_l[\d.]+$"), ("fiber_cl2_tpb", r"^fiber_cl2_l[\d.]+_tpb\d+$")]
-    found += [(f"PMT_{part}", rf"^PMT\d{{6}}_{part}$") for part in ("vacuum", "window")]
-    found += [(f"PMT_3inch_{part}", rf"^PMT300\d{{4}}_{part}$") for part in ("vacuum", "window")]
-    found += [(f"V_click_top_{i}", rf"^V\d{{4}}_click_top_{i}$") for i in range(3)]
-    found += [(f"V_{kind}_string_{i}", rf"^V\d{{4}}_{kind}_string_{i}$") for kind in ("hv_cable", "hv_clamp", "signal_asic", "signal_cable", "signal_clamp") for i in range(1, 10)]
-    found += [(f"V_insulator_{i}", rf"^V\d{{4}}_insulator_du_holder_{i}$") for i in range(3)]
-    found += [(f"tyvek_{part}", rf"^my_tyvek_{part}_foil$") for part in ("bot", "pit", "top", "zyl")]
-    found += [(f"tyvek_{part}", rf"^tyvek_{part}_foil$") for part in ("bottom", "prism")]
-    found += [(f"cu_rod_{i}", rf"^string_\d+_cu_rod_{i}$") for i in range(3)]
-    return [*found, ("tristar_xlarge", r"^tristar_xlarge_string_\d+$"), ("string_support", r"^string_support_structure_string_\d+$")]
+    """(group, pattern) in order."""
+    return list(RULES)
 
 
 def assign_group(name: Column) -> Column:

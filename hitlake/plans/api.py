@@ -12,6 +12,7 @@ from hitlake.operators import dictionary, groups, ranks, reconcile, split, stats
 from hitlake.plans import build
 from hitlake.schema import KEY, Geometry
 from hitlake.sources import inventory, readers, sinks
+from hitlake.sources import names as version
 from hitlake.sources.scratch import existing, materialise
 
 
@@ -29,6 +30,11 @@ class Inputs:
         return {"captures": self.captures, "photons": self.photons, "materials": self.materials, "volumes": self.volumes}
 
 
+def _generation(spark: SparkSession, output: str) -> str:
+    """The folder of the dictionaries; starting over makes a new one."""
+    return f"{output}/{spark.read.text(f'{output}/dictionaries').first()[0]}"
+
+
 def _indexed(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(files.select("source_file", F.col("file_rank").alias("file_idx")), "source_file")
 
@@ -38,6 +44,8 @@ class _Job:
 
     def __init__(self, spark: SparkSession, inputs: Inputs, output: str, reset: bool):
         self.spark, self.inputs, self.output, self.reset = spark, inputs, output, reset
+        if reset or existing(lambda: spark.read.text(f"{output}/dictionaries")) is None:
+            spark.createDataFrame([(f"dictionaries-{uuid.uuid4().hex}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{output}/dictionaries")
         self.inventory = inventory.refresh(spark, inputs.folders(), f"{output}/inventory", reset)
         self.lost = materialise(inventory.failures(self.inventory))
         self.held = materialise(self.inventory.select("kind", "path", "seen_at", F.explode("holds").alias("source_file")))
@@ -58,6 +66,9 @@ class _Job:
         rows.write.mode("overwrite" if known is None else "append").parquet(f"{self.output}/files")
         return rows if known is None else known.unionByName(rows)
 
+    def dictionary(self, column: str) -> str:
+        return f"{_generation(self.spark, self.output)}/{column}"
+
     def paths(self, kind: str, files: DataFrame) -> list[str] | None:
         """The physical files that hold some logical ones; None (the whole folder) if they are too many to name."""
         found = self.held.where(F.col("kind") == kind).join(files, "source_file", "left_semi").select("path").distinct().limit(inventory.MOST_PATHS + 1).collect()
@@ -92,9 +103,7 @@ class _Job:
         known = {}
         for column, (local, out, empty) in MAPPED.items():
             names = materialise(dictionary.last_of_file(self.rows(column, todo)))
-            old = None if self.reset else existing(lambda c=column: readers.read_dictionary(self.spark, f"{self.output}/{c}.json"))
-            full = materialise(dictionary.extend(dictionary.collect_names(names, empty), old))
-            sinks.write_dictionary(full, f"{self.output}/{column}.json")
+            full = materialise(version.grow(self.spark, self.dictionary(column), materialise(dictionary.collect_names(names, empty))))
             ids = dictionary.remap(ids, names, full, local, out, empty)
             known[column] = names, full
         bad = dictionary.quarantine(ids, ("mat_id", "vol_id")).join(self.files, "file_idx").select("source_file", "reason")
@@ -154,7 +163,7 @@ def build_training_set(
     todo = todo.join(bad, "source_file", "left_anti")
     weight = split.weight_of_counts(per_file.join(ok, "source_file"), sample_files)
     voxels = materialise(readers.read_voxels(spark, inputs.voxels))
-    dictionaries = {c: readers.read_dictionary(spark, f"{output}/{c}.json") for c in MAPPED}
+    dictionaries = {c: version.read(spark, job.dictionary(c)) for c in MAPPED}
     build.write_dimensions(output, reset, voxel_metadata=targets.voxel_metadata(voxels), geometry=build.geometry_table(spark, geometry, primaries), material_map=dictionaries["materials"], volume_map=dictionaries["volumes"])
 
     ordered = materialise(ranks.numbered(todo, "source_file", "_place"))
@@ -227,7 +236,7 @@ def photon_report(spark: SparkSession, inputs: Inputs, n_files: int = 1000, seed
 
 def group_spectra(spark: SparkSession, output: str) -> DataFrame:
     """Hit statistics by volume group of a written training set; volumes are named by its own dictionary."""
-    names = readers.read_dictionary(spark, f"{output}/volumes.json")
+    names = version.read(spark, f"{_generation(spark, output)}/volumes")
     rows = training_rows(spark, output).select(*KEY, F.col("volID").cast("int").alias("id"), "total_hits", "voxels_hit")
     named = rows.join(dictionary.inverted(names), "id", "left").withColumn("name", F.coalesce("name", F.lit("")))
     return groups.spectrum_stats(named, groups.grouped_names(names))

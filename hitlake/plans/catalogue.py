@@ -14,7 +14,7 @@ from hitlake.operators import dictionary, groups, match, nearest, reconcile, spl
 from hitlake.plans import api, build
 from hitlake.plans.oracle import ORACLE_SQL  # noqa: F401  re-exported for the driver's entry
 from hitlake.schema import KEY, LAYERS, PHI
-from hitlake.sources import inventory, readers, sinks, views
+from hitlake.sources import bucketed, inventory, names, readers, sinks, views
 from hitlake.sources.scratch import materialise, scratch
 from hitlake.streaming import incremental
 
@@ -705,14 +705,15 @@ def grown_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capture files of half of the bundles, listed and checked; then the others come, and only these are checked."""
+    """Capture files one level deep for half of the bundles, listed and checked; then flat ones come, and only these are checked."""
     base = f"{scratch(spark)}/inventory-{uuid.uuid4().hex}"
     folders = {"captures": f"{base}/raw/captures"}
     _bundled(spark, sf_dir, f"{base}/raw", f"file_idx % {BUNDLES} < 4", ("captures",))
     first = inventory.refresh(spark, folders, f"{base}/state").select("path", F.lit(True).alias("_old"))
-    _bundled(spark, sf_dir, f"{base}/raw", f"file_idx % {BUNDLES} >= 4", ("captures",))
-    both = inventory.refresh(spark, folders, f"{base}/state").join(first, "path", "left")
-    return both.select(F.regexp_extract("name", "^run=(.*)/", 1).alias("run"), "state", "n_read", F.size("holds").alias("n_files"), F.col("_old").isNull().alias("is_new"))
+    rest = _raw_tables(spark, sf_dir)["captures"].where(f"file_idx % {BUNDLES} >= 4")
+    rest.repartition("file_idx").drop("file_idx").write.mode("append").parquet(f"{base}/raw/captures")
+    both = inventory.refresh(spark, folders, f"{base}/state").where("n_read > 0").join(first, "path", "left").withColumn("run", F.regexp_extract("name", "^run=(.*)/", 1))
+    return both.groupBy("run", "state", F.col("_old").isNull().alias("is_new")).agg(F.sum("n_read").alias("n_read"), F.sum(F.size("holds")).alias("n_files"))
 
 
 @query
@@ -739,6 +740,46 @@ def dictionary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.extend(dictionary.collect_names(local), readers.read_dictionary(spark, path))
 
 
+@query
+def dictionary_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two jobs extend one dictionary from the same version: the second finds its number taken and adds to the first one's."""
+    path = f"{scratch(spark)}/names-{uuid.uuid4().hex}"
+    named = views.captures(spark, sf_dir).select("file_idx", F.col("phys_volume").alias("name")).distinct()
+    of = lambda n: named.where(F.col("file_idx") < n).select("name").distinct()
+    start = names.grow(spark, path, of(1))
+    late = dictionary.extend(named.select("name").distinct(), start)  # worked out before the other job is done
+    names.grow(spark, path, of(3))
+    if names.take(spark, path, 2, late):
+        raise AssertionError("version 2 was taken twice")
+    return names.grow(spark, path, named.select("name").distinct())
+
+
+@query
+def bucketed_window_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`time_window_join` over captures and hits written in buckets of the capture key: nothing is shuffled after that."""
+    at = uuid.uuid4().hex
+    tables = {k: bucketed.write(rows, f"hitlake_{k}_{at}", f"{scratch(spark)}/bucketed-{k}-{at}", 16) for k, rows in (("captures", views.captures(spark, sf_dir)), ("photons", views.photons(spark, sf_dir)))}
+    nc = match.dedup_last_wins(tables["captures"])
+    return match.time_window_join(match.detector_filter(tables["photons"]), nc).select("photon_id", *KEY, "time")
+
+
+@query
+def ordered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names by (length, name), written in ranges and read back with their places."""
+    path = f"{scratch(spark)}/ordered-{uuid.uuid4().hex}"
+    rows = views.captures(spark, sf_dir).select(F.col("phys_volume").alias("name")).distinct().withColumn("n_chars", F.length("name"))
+    sinks.write_ordered(rows, path, "n_chars", "name")
+    return readers.read_ordered(spark, path)
+
+
+@query
+def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yield summary through its JSON report."""
+    path, row = f"{scratch(spark)}/summary-{uuid.uuid4().hex}", photon_yield_summary(spark, sf_dir)
+    sinks.write_json_report(row, path)
+    return readers.read_json_report(spark, path, row.schema)
+
+
 @query
 def geometry_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume names out of a written geometry text, with their place by (length, name)."""

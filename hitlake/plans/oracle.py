@@ -220,7 +220,9 @@ _BODIES = {
       FROM (SELECT source_file, file_idx, any_value(file_idx % 8 IN (1, 2, 3)) AS b, count(*) AS n, count(*) FILTER (coalesce(p.split, 'train') = 'train') AS n_train, CAST(sum(total_hits) AS BIGINT) AS hits
         FROM full_hits JOIN files USING (file_idx) LEFT JOIN {_BY_PATH.replace("FROM evt JOIN files", "FROM sound JOIN files").replace("FROM evt)", "FROM sound)")} p USING (file_idx, evtid) GROUP BY 1, 2)""",
     "grown_counts": "SELECT n AS n_in, n AS n_out, 'equal' AS verdict, round(CAST(1.0::DOUBLE / n AS REAL)::DOUBLE, 9) AS weight, hits AS n_hits, files AS n_files FROM (SELECT count(*) AS n, CAST(sum(total_hits) AS BIGINT) AS hits, count(DISTINCT file_idx) AS files FROM full_hits)",
-    "file_inventory": "SELECT CAST(file_idx % 8 AS VARCHAR) AS run, 'ok' AS state, count(*) AS n_read, CAST(count(DISTINCT file_idx) AS INT) AS n_files, any_value(file_idx % 8 >= 4) AS is_new FROM cap GROUP BY 1",
+    "file_inventory": "SELECT CASE WHEN file_idx % 8 < 4 THEN CAST(file_idx % 8 AS VARCHAR) ELSE '' END AS run, 'ok' AS state, file_idx % 8 >= 4 AS is_new, count(*) AS n_read, count(DISTINCT file_idx) AS n_files FROM cap GROUP BY ALL",
+    "dictionary_growth": """SELECT name, CAST(row_number() OVER (ORDER BY step, name) AS INT) AS id FROM (SELECT phys_volume AS name, min(CASE WHEN file_idx < 1 THEN 0 WHEN file_idx < 3 THEN 1 ELSE 2 END) AS step FROM cap GROUP BY 1)""",
+    "ordered_names": "SELECT name, CAST(length(name) AS INT) AS n_chars, row_number() OVER (ORDER BY length(name), name) - 1 AS position FROM phys",
     "written_counts": f"""SELECT n AS n_in, n AS n_out, n_train, n - n_train AS n_validation, 0::BIGINT AS difference, 100.0::DOUBLE AS pct_recovered, 0.0::DOUBLE AS pct_lost, {_pct('n_train', 'n')} AS pct_train, {_pct('n - n_train', 'n')} AS pct_validation, 'equal' AS verdict
       FROM (SELECT count(*) AS n, count(*) FILTER (p.split = 'train') AS n_train FROM nc JOIN {_BY_PATH} p USING (file_idx, evtid))""",
     "written_spectra": f"SELECT CASE WHEN volume = '' THEN 'noVolume' ELSE 'unmatched' END AS group_name, count(*) AS n_events, round(avg(total_hits), 6) AS mean_hits, round(avg(voxels_hit), 6) AS mean_voxels, round(median(total_hits), 6) AS median_hits, round(median(voxels_hit), 6) AS median_voxels FROM full_hits GROUP BY 1",
@@ -235,6 +237,7 @@ _BODIES = {
     "unmatched_report": f"SELECT 'unmatched names: ' || count(*) AS value FROM phys WHERE ({_GROUP}) = 'unmatched' UNION ALL SELECT name FROM phys WHERE ({_GROUP}) = 'unmatched'",
 }
 _BODIES["dictionary_file"] = _BODIES["dictionary_build"]
+_BODIES["bucketed_window_join"], _BODIES["json_report"] = _BODIES["time_window_join"], _BODIES["photon_yield_summary"]
 _BODIES["resumed_build"] = _BODIES["written_training_set"]
 
 ORACLE_SQL: dict[str, str] = {name: VIEWS + body for name, body in _BODIES.items()}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hitlake import schema
 from hitlake.operators import ranks
@@ -55,6 +56,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def read_ordered(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of `sinks.write_ordered` with their place (column position, from 0): that of the file, then that in the file."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    begins = sizes.select("_file", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_begin"))  # a row per file
+    return rows.join(F.broadcast(begins), "_file").withColumn("position", F.col("_begin") + F.col("_row")).drop("_file", "_row", "_begin")
+
+
+def read_json_report(spark: SparkSession, path: str, kind: T.StructType) -> DataFrame:
+    return spark.read.schema(kind).json(path)
+
+
 def manifest(files: DataFrame) -> DataFrame:
     """File index, file and run name from distinct paths (column source_file)."""
     parts = F.split("source_file", "/")

@@ -26,6 +26,11 @@ def write_json_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_ordered(rows: DataFrame, path: str, *order: str) -> None:
+    """Rows in an order that lasts: ranges of it in numbered files, each sorted. `readers.read_ordered` gives the places back."""
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
 def read_training_set(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a training set; both splits have to be there."""
     rows = spark.read.parquet(path)

@@ -130,8 +130,6 @@ def test_batches_equal_one_build_and_survive_a_kill(spark, tmp_path, monkeypatch
     monkeypatch.setattr(sinks, "append_record", append)
     assert len({r["source_file"] for r in spark.read.parquet(f"{parts}/rows").collect()}) == 4
     assert len({r["source_file"] for r in api.training_rows(spark, parts).collect()}) == 2
-    api.build_training_set(spark, inputs, parts, files_per_batch=2, most_batches=1)
-    assert len({r["source_file"] for r in api.training_rows(spark, parts).collect()}) == 4
     api.build_training_set(spark, inputs, parts, files_per_batch=2)
     assert table(spark, parts) == table(spark, whole)
     assert states(spark, parts) == states(spark, whole)
@@ -171,3 +169,45 @@ def test_zero_targets_and_wide_detectors(spark, tmp_path, monkeypatch):
     assert {len(t) for t in got.values()} == {29000} and len(got) == 53
     assert {i: n for i, n in enumerate(got[0, 1, 2]) if n} == {7: 3, 28999: 4} and not any(got[0, 1, 3]) and not any(got[0, 1, 4])
     assert all(got[1, i, 0][i] == i + 1 and sum(got[1, i, 0]) == i + 1 for i in range(50))
+
+
+def test_two_jobs_extend_one_dictionary(spark, tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from hitlake.sources import names
+
+    path = str(tmp_path / "names")
+    make = lambda *found: spark.createDataFrame([(n,) for n in found], "name string")
+    assert names.read(spark, path) is None
+    take, raced = names.take, []
+
+    def slow(spark, path, number, full):
+        if not raced:  # another job comes between reading and writing
+            raced.append(names.grow)
+            monkeypatch.setattr(names, "take", take)
+            names.grow(spark, path, make("c", "a"))
+        return take(spark, path, number, full)
+
+    monkeypatch.setattr(names, "take", slow)
+    assert {r["name"]: r["id"] for r in names.grow(spark, path, make("b", "a", "")).collect()} == {"a": 1, "c": 2, "": 3, "b": 4}
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda k: names.grow(spark, path, make(*[f"{k}{i}" for i in range(5)], "a")), "xyz"))
+    rows = names.read(spark, path).collect()
+    assert len(rows) == 19 and sorted(r["id"] for r in rows) == list(range(1, 20))
+
+
+def test_bucketed_join_shuffles_no_hits(spark, tmp_path):
+    from hitlake.operators import match
+    from hitlake.plans.catalogue import QUERIES, _deduped
+    from hitlake.sources import bucketed, views
+
+    sf = "/root/testdata/sf0.001"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables that are too large to send
+    found = QUERIES["bucketed_window_join"](spark, sf)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    want = match.time_window_join(match.detector_filter(views.photons(spark, sf)), _deduped(spark, sf)).select("photon_id").collect()
+    assert sorted(r["photon_id"] for r in found.collect()) == sorted(r["photon_id"] for r in want)
+    again = bucketed.write(spark.range(10).selectExpr("cast(id as int) as file_idx", "id as evtid", "id as nc_id"), "hitlake_again", str(tmp_path / "again"), 4)
+    assert again.count() == 10
