@@ -7,7 +7,10 @@ are trained from labelled samples: random strings (label 1) and ordinary identif
 as they stand, common words, their compounds and paths, numbers, rulers, alphabets). One triple adds between -4 and
 `MOST` nats, so that no few unseen triples decide. Every run of token characters, of any length, is scored; one outside
 base spans is added as kind `markov` if its ratio is at least `min_llr` nats, which pay the prior odds against a secret,
-and at least `min_mean` nats a character, so that length alone does not make a secret. Short runs cannot reach
+and at least `min_mean` nats a character, so that length alone does not make a secret. Where a run as a whole is ordinary,
+its pieces between the separators `+/_=-` are scored the same way, each by itself, and the span is the piece: so a secret
+behind a name (`SESSION_KEY_ID=...`), in a path or a compound does not pay for the ordinary part. A random run loses the
+name before its last `=` and ordinary words at its ends (`narrowed`). Short runs cannot reach
 `min_llr` (at most `MOST` nats a character): strings under about 16 characters are seldom found.
 
 Defined cases: null text = empty text (no spans); repeated rows each give a row; other columns are ignored by `scan`
@@ -53,6 +56,9 @@ transform translate university update upload user validate value variable vector
 arbeit auskunft bahn beamte dampf donau fahrt gesellschaft geschwindigkeit handwerk kapitän kranken lebens mittel rechts schiff schutz straßen
 überwachung unternehmen verordnung versicherung wirtschaft zeitung bonjour développement gouvernement maison naturellement quelque toujours
 acontecimiento ayuntamiento ciudad desarrollo entonces mañana siempre trabajo""".split()
+SEPARATORS = "+/_=-"
+VALUE = 8  # characters of a piece that counts as random, and of a value behind `=`
+ORDINARY = 4  # characters of an ordinary word at an end
 LEAST, MOST = -4.0, 2.5  # nats that one triple may add
 
 
@@ -64,6 +70,8 @@ class RatioModel:
         self.codes = np.full(1 << 8, size - 1, np.int64)
         for i, c in enumerate(ALPHABET):
             self.codes[ord(c)] = i
+        self.letters = self.codes.copy()  # without the separators
+        self.letters[[ord(c) for c in SEPARATORS]] = size - 1
         table = np.zeros((2, size, size, size))
         for (label, gram), n in counts.items():
             table[(label, *self.codes[np.frombuffer(gram.encode("latin-1", "replace"), np.uint8)])] += n
@@ -81,9 +89,9 @@ class RatioModel:
         """The log-likelihood ratio of one run."""
         return float(sum(self.runs(np.frombuffer(token.encode("latin-1", "replace"), np.uint8), 1)[2]))
 
-    def runs(self, data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, log-likelihood ratio) of every run of token characters in UTF-8 bytes that is `least` or longer."""
-        c = self.codes[data]
+    def runs(self, data: np.ndarray, least: int, pieces: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, log-likelihood ratio) of every run of token characters in UTF-8 bytes that is `least` or longer; with `pieces`, separators end a run."""
+        c = (self.letters if pieces else self.codes)[data]
         inside = c < self.size - 1
         edges = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
         start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
@@ -171,8 +179,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def added_spans(data: np.ndarray, offsets: np.ndarray, model: RatioModel, min_llr: float, min_mean: float) -> dict[int, list[tuple[int, int]]]:
-    """For each text (by place) with any: the byte spans of runs that the models call random. All texts are scored at once."""
+def added_spans(data: np.ndarray, offsets: np.ndarray, model: RatioModel, min_llr: float, min_mean: float, pieces: bool = False) -> dict[int, list[tuple[int, int]]]:
+    """For each text (by place) with any: the byte spans of runs (or pieces of runs) that the models call random. All texts are scored at once."""
     split = np.zeros(len(data) + 1, bool)
     split[offsets] = True
     found: dict[int, list[tuple[int, int]]] = {}
@@ -186,7 +194,7 @@ def added_spans(data: np.ndarray, offsets: np.ndarray, model: RatioModel, min_ll
         keep = np.ones(len(spaced), bool)
         keep[gaps] = False
         spaced[keep] = part
-        start, end, score = model.runs(spaced, least)
+        start, end, score = model.runs(spaced, least, pieces)
         hit = (score >= min_llr) & (score >= min_mean * (end - start))
         for a, b in zip(start[hit].tolist(), end[hit].tolist()):
             i = int(np.searchsorted(gaps, a, "right")) - 1
@@ -195,6 +203,34 @@ def added_spans(data: np.ndarray, offsets: np.ndarray, model: RatioModel, min_ll
     return found
 
 
+def narrowed(run: np.ndarray, a: int, b: int, model: RatioModel, min_mean: float) -> tuple[int, int]:
+    """A random run (its bytes and places) without a name before its last `=` and without ordinary words at its ends.
+
+    An end is cut at a piece of ORDINARY characters or more that is likelier ordinary; shorter ones tell too little.
+    """
+    begin = bytes(run[: max(0, len(run) - VALUE)]).rfind(b"=") + 1
+    start, end, score = model.runs(run[begin:], 1, pieces=True)
+    start, end = start + begin, end + begin
+    strong = np.flatnonzero((end - start >= VALUE) & (score >= min_mean * (end - start)))
+    if not len(strong):
+        return a, b
+    plain = np.flatnonzero((end - start >= ORDINARY) & (score < 0))
+    before, after = plain[plain < strong[0]], plain[plain > strong[-1]]
+    return a + (int(start[before[-1] + 1]) if len(before) else begin), a + int(end[after[0] - 1]) if len(after) else b
+
+
+def random_spans(data: np.ndarray, offsets: np.ndarray, model: RatioModel, min_llr: float, min_mean: float) -> dict[int, list[tuple[int, int]]]:
+    """The runs that the models call random, without ordinary pieces at their ends, and random pieces of the other runs."""
+    whole = added_spans(data, offsets, model, min_llr, min_mean)
+    for i, runs in whole.items():
+        base = int(offsets[i])
+        whole[i] = [narrowed(data[base + a : base + b], a, b, model, min_mean) for a, b in runs]
+    for i, found in added_spans(data, offsets, model, min_llr, min_mean, pieces=True).items():
+        runs = whole.get(i, [])
+        whole[i] = runs + [(a, b) for a, b in found if not any(s < b and a < e for s, e in runs)]
+    return whole
+
+
 def all_spans(text: str, base: list[tuple[int, int, int]], raw: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """The base spans, and those of the models (places of UTF-8 bytes) that overlap none of them."""
     if not raw:
@@ -216,7 +252,7 @@ def scan(docs: DataFrame, model: RatioModel, min_llr: float = 22.0, min_mean: fl
     def find(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             rows = []
-            added = added_spans(*utf8(column), shared.value, min_llr, min_mean)
+            added = random_spans(*utf8(column), shared.value, min_llr, min_mean)
             for i, text in enumerate(texts(column)):
                 base = base_spans(text)
                 spans = all_spans(text, base, added.get(i, []))
@@ -239,7 +275,7 @@ def redact(docs: DataFrame, model: RatioModel, min_llr: float = 22.0, min_mean:
     def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             out = []
-            added = added_spans(*utf8(column), shared.value, min_llr, min_mean)
+            added = random_spans(*utf8(column), shared.value, min_llr, min_mean)
             for i, text in enumerate(column.to_pylist()):
                 spans = all_spans(text, base_spans(text), added.get(i, [])) if text else []
                 parts, at = [], 0
