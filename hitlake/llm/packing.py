@@ -31,6 +31,7 @@ SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 MOST_SENT = 1_000_000  # keys of 8 bytes
+DOCUMENTS = 250  # whose ids a task holds at once
 MOST_TASKS = 20_000  # with more blocks than that a task packs several, one after the other
 
 
@@ -70,7 +71,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder(tokenizer_path), array.array("I", [end_id]).tobytes()
         names = ["doc_id", "piece", "start", "length", "ids"]
-        for batch in batches:
+        for batch in (whole.slice(lo, DOCUMENTS) for whole in batches for lo in range(0, whole.num_rows, DOCUMENTS)):
             rows: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
                 ids = encoder.ids(text) + end

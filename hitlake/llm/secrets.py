@@ -186,8 +186,8 @@ def added_spans(data: np.ndarray, offsets: np.ndarray, model: RatioModel, min_ll
     found: dict[int, list[tuple[int, int]]] = {}
     least = int(np.ceil(min_llr / MOST))
     lo = 0
-    while lo < len(offsets) - 1:  # texts of about 4 MiB at a time; a run never crosses from one text to the next
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (1 << 22), "right")) - 1)
+    while lo < len(offsets) - 1:  # texts of about 1 MiB at a time, as every byte takes some 50 here; a run never crosses from one text to the next
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (1 << 20), "right")) - 1)
         part = data[offsets[lo] : offsets[hi]]
         gaps = offsets[lo:hi] - offsets[lo] + np.arange(hi - lo)
         spaced = np.full(len(part) + hi - lo, 32, np.uint8)
