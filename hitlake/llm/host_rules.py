@@ -2,15 +2,16 @@
 
 Each document is measured (words, symbols, repeated lines, repeated 3-word windows). Rule failures are added up by host
 (the `source` column; null is a host of its own) before anything is shuffled, each host's failure rate is shrunk with a
-beta prior whose parameters are fitted to the rates of all hosts by the method of moments, and the host's standing is
-joined back to the documents. Standing is the prior's mean rate over the host's shrunken rate, between `tightest` and 1:
-1 for hosts that fail no more than hosts do on the whole, a half for those that fail twice as often. The limits of the
-strict rules are multiplied by it, so the worse a host, the less its documents may be off; on an ordinary host only
-clear failures go.
+beta prior whose parameters are fitted to the rates of all hosts by the method of moments, and the rate is joined
+back to the documents. There it is the prior of each document: host and document decide together. The document's
+evidence is its symbols as a share of their limit plus its repeated lines as a share of theirs; half a limit in all says
+nothing, and each doubling makes failing `2 ** POWER` times as likely. A document goes if the odds of its host times its
+evidence say that it rather fails than not. So the worse a host, the less its documents may be off: a document at a whole
+limit goes on ordinary hosts and stays on those that hardly ever fail; one without symbols and repeats stays on any host.
 
-Base rules (either fails the document): fewer than 50 words; over half of the words inside 3-word windows found twice
-or more in the text. Strict rules, at standing 1: symbols over a tenth of the word characters; repeated lines over 30 in
-100 of the words. For the host's failures a document counts if it fails a base rule or a strict rule at standing 1.
+Base rules (either fails the document, whatever its host): fewer than 50 words; over half of the words inside 3-word
+windows found twice or more in the text. Strict rules: symbols over a tenth of the word characters; repeated lines over
+30 in 100 of the words. For the host's failures a document counts if it fails any rule.
 
 Defined cases: null text = no words (fails); repeated rows each give a row and count each; empty table, empty result;
 other columns are ignored by `verdicts` and kept by `keep_documents`; names used inside begin with `_hl_`.
@@ -18,6 +19,8 @@ other columns are ignored by `verdicts` and kept by `keep_documents`; names used
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +28,8 @@ from hitlake.llm.common import GAP, materialise
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-MOST_SENT_HOSTS = 100_000  # rows of a name and two numbers
+MOST_SENT_HOSTS = 100_000  # rows of a name and a number
+POWER = 4
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -68,8 +72,8 @@ def measure(docs: DataFrame) -> DataFrame:
     return done.withColumns({"_hl_base_failed": failed, "_hl_strict_failed": strict})
 
 
-def host_verdicts(measured: DataFrame, tightest: float = 0.25) -> DataFrame:
-    """(_hl_host, docs, failures, rate, standing): failures added up by host and shrunk with a fitted beta prior."""
+def host_verdicts(measured: DataFrame) -> DataFrame:
+    """(_hl_host, docs, failures, rate): failures added up by host and shrunk with a fitted beta prior."""
     hosts = measured.groupBy(F.col("source").alias("_hl_host")).agg(F.count("*").alias("docs"), F.count(F.when(F.col("_hl_base_failed") | F.col("_hl_strict_failed"), 1)).alias("failures"))
     rates = hosts.agg(F.avg(F.col("failures") / F.col("docs")).alias("mean"), F.var_pop(F.col("failures") / F.col("docs")).alias("spread"), F.avg(1 / F.col("docs")).alias("thin"))
     # Between-host variance: the variance of the rates less what sampling documents alone would give.
@@ -78,29 +82,34 @@ def host_verdicts(measured: DataFrame, tightest: float = 0.25) -> DataFrame:
     strength = F.greatest(m * (1 - m) / between - 1, F.lit(1e-3))
     prior = rates.select((m * strength + 0.5).alias("alpha"), ((1 - m) * strength + 0.5).alias("beta"))
     rate = (F.col("failures") + F.col("alpha")) / (F.col("docs") + F.col("alpha") + F.col("beta"))
-    standing = F.greatest(F.lit(tightest), F.least(F.lit(1.0), F.col("alpha") / (F.col("alpha") + F.col("beta")) / F.col("rate")))
-    return hosts.join(F.broadcast(prior)).withColumn("rate", rate).withColumn("standing", standing).drop("alpha", "beta")  # prior: one row
+    return hosts.join(F.broadcast(prior)).withColumn("rate", rate).drop("alpha", "beta")  # prior: one row
+
+
+def evidence(symbols: Column, word_chars: Column, dup_lines: Column, words: Column) -> Column:
+    """How much likelier the measures make it that the document fails: (twice the shares of the two limits) ** POWER."""
+    shares = 20 * symbols / F.greatest(word_chars, F.lit(1)) + 20 * dup_lines / (3 * F.greatest(words, F.lit(1)))
+    return _let(shares, lambda x: reduce(Column.__mul__, [x] * POWER))
 
 
-def _judge(measured: DataFrame, tightest: float) -> DataFrame:
+def _judge(measured: DataFrame) -> DataFrame:
     """Host verdicts joined back. A host table of checked, small size is sent to the tasks, so that texts stay where they
     are; a larger one meets the documents in a shuffle join, whose hot hosts adaptive execution splits.
     """
-    hosts = materialise(host_verdicts(measured, tightest).select("_hl_host", F.col("rate").alias("_hl_rate"), F.col("standing").alias("_hl_standing")))
+    hosts = materialise(host_verdicts(measured).select("_hl_host", F.col("rate").alias("_hl_rate")))
     few = hosts.count() <= MOST_SENT_HOSTS
     joined = measured.join(F.broadcast(hosts) if few else hosts, measured["source"].eqNullSafe(hosts["_hl_host"]))
-    symbols = F.col("_hl_n_symbols") > 0.1 * F.col("_hl_standing") * F.col("_hl_word_chars")
-    lines = F.col("_hl_n_dup_lines") > 0.3 * F.col("_hl_standing") * F.col("_hl_n_words")
-    return joined.withColumn("_hl_kept", ~F.col("_hl_base_failed") & ~symbols & ~lines)
+    fails = F.col("_hl_rate") * evidence(*[F.col(f"_hl_{c}") for c in ("n_symbols", "word_chars", "n_dup_lines", "n_words")])
+    judged = joined.withColumn("_hl_fail_chance", fails / (fails + (1 - F.col("_hl_rate"))))
+    return judged.withColumn("_hl_kept", ~F.col("_hl_base_failed") & (F.col("_hl_fail_chance") <= 0.5))
 
 
-def verdicts(docs: DataFrame, tightest: float = 0.25) -> DataFrame:
-    """One row per document: doc_id, the measures, base_failed, kept, host_rate, standing (of the host)."""
+def verdicts(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, the measures, base_failed, kept, host_rate, fail_chance (of the strict rules alone)."""
     measured = materialise(measure(docs.select("doc_id", "text", "source")).drop("text"))
-    names = [F.col(f"_hl_{c}").alias(c) for c in MEASURES]
-    return _judge(measured, tightest).select("doc_id", *names, F.col("_hl_base_failed").alias("base_failed"), F.col("_hl_kept").alias("kept"), F.col("_hl_rate").alias("host_rate"), F.col("_hl_standing").alias("standing"))
+    names = [F.col(f"_hl_{c}").alias(c) for c in (*MEASURES, "base_failed", "kept")]
+    return _judge(measured).select("doc_id", *names, F.col("_hl_rate").alias("host_rate"), F.col("_hl_fail_chance").alias("fail_chance"))
 
 
-def keep_documents(docs: DataFrame, tightest: float = 0.25) -> DataFrame:
+def keep_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    return _judge(materialise(measure(docs)), tightest).where("_hl_kept").select(*docs.columns)
+    return _judge(materialise(measure(docs))).where("_hl_kept").select(*docs.columns)

@@ -44,7 +44,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.verdicts(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("host_rate", "standing")})
+    return host_rules.verdicts(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("host_rate", "fail_chance")})
 
 
 def op8_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,11 +108,10 @@ j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 h AS (SELECT source, count(*) AS docs, count(*) FILTER (base_failed OR strict_failed) AS failures FROM j GROUP BY source),
 s AS (SELECT avg(failures::DOUBLE / docs) AS mean, var_pop(failures::DOUBLE / docs) AS spread, avg(1::DOUBLE / docs) AS thin FROM h),
 q AS (SELECT mean, greatest(mean * (1 - mean) / greatest(spread - mean * (1 - mean) * thin, mean * (1 - mean) / 1000, 1e-9::DOUBLE) - 1, 1e-3::DOUBLE) AS strength FROM s),
-r AS (SELECT source, (mean * strength + 0.5::DOUBLE) / (strength + 1) AS expected, (failures + mean * strength + 0.5::DOUBLE) / (docs + strength + 1) AS rate FROM h, q),
-t AS (SELECT source, rate, greatest(0.25::DOUBLE, least(1::DOUBLE, expected / rate)) AS standing FROM r)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (n_symbols > 0.1::DOUBLE * standing * word_chars) AND NOT (n_dup_lines > 0.3::DOUBLE * standing * n_words) AS kept, round(rate, 6) AS host_rate, round(standing, 6) AS standing
-FROM j JOIN t ON j.source IS NOT DISTINCT FROM t.source
+r AS (SELECT source, (failures + mean * strength + 0.5::DOUBLE) / (docs + strength + 1) AS rate FROM h, q),
+x AS (SELECT j.*, rate, (20 * n_symbols) / greatest(word_chars, 1) + (20 * n_dup_lines) / (3 * greatest(n_words, 1)) AS share FROM j JOIN r ON j.source IS NOT DISTINCT FROM r.source),
+c AS (SELECT *, rate * (share * share * share * share) AS fails FROM x)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fails / (fails + (1 - rate)) <= 0.5::DOUBLE AS kept, round(rate, 6) AS host_rate, round(fails / (fails + (1 - rate)), 6) AS fail_chance FROM c
 """,
     "op11_lexical_search": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, [t FOR t IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_NO_TERM}') IF t <> ''] AS terms FROM documents),

@@ -39,7 +39,7 @@ def test_quality(stages):
         count = Counter(tri)
         return len(words) < 50 or 2 * len({i + k for i, t in enumerate(tri) if count[t] > 1 for k in range(3)}) > len(words)
 
-    def strict(text):  # at standing 1; hosts of this table are much alike, so between the limits at standing 1 and a half
+    def strict(text):  # as a share of the limit; hosts of this table are much alike, between half a limit and a whole one they decide
         words, lines = sum(map(len, re.split(r"[\x20\x09-\x0d]+", text))), [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
         return max(10 * sum(c in "#*$%&|<>" for c in text) / words, (len(lines) - len(set(lines))) / 0.3 / len([w for w in re.split(r"[\x20\x09-\x0d]+", text) if w]))
 

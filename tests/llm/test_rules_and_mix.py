@@ -45,18 +45,37 @@ def host_table(spark, bad):
 
 
 @pytest.mark.parametrize("bad", [False, True])
-def test_host_standing_decides(spark, bad):
+def test_host_and_document_decide_together(spark, bad):
     got = {r["doc_id"]: r for r in H.verdicts(host_table(spark, bad)).collect()}
     for d, r in got.items():
         if d < 9000:  # clear failures go on ordinary hosts too, slight ones stay
-            assert r["kept"] == (d % 100 != 0) and not r["base_failed"] and r["standing"] > 0.9
-        else:  # on the bad host slight ones go as well
-            assert r["kept"] == (d >= 9018) and r["base_failed"] == (d < 9015) and 0.25 <= r["standing"] < 0.4
+            assert r["kept"] == (d % 100 != 0) and not r["base_failed"] and r["host_rate"] < 0.2
+        else:  # on the bad host slight ones go as well, clean ones stay
+            assert r["kept"] == (d >= 9018) and r["base_failed"] == (d < 9015) and r["host_rate"] > 0.5
     assert (len(got) > 400) == bad
 
 
-def test_standing_follows_the_shrunken_rate(spark):
-    """By hand: rates, prior by moments, standing."""
+def test_hosts_alike_and_unlike(spark):
+    """The same document, at 0.6 of a limit, on hosts that all fail as often, and on hosts that fail 1 to 19 times of 20."""
+    slight = " ".join(f"w{i * 7}" for i in range(60)) + " " + "#" * 14
+    chars = len(slight.replace(" ", ""))
+    for failing in ([4] * 10, [1, 3, 5, 8, 10, 12, 14, 16, 18, 19]):
+        rows = [(100 * h + i, "short" if i < n else slight, f"h{h}") for h, n in enumerate(failing) for i in range(20)]
+        got = H.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        kept = {}
+        for r in got:
+            if not r["base_failed"]:
+                odds = r["host_rate"] / (1 - r["host_rate"]) * (2 * 10 * 14 / chars) ** 4
+                assert r["fail_chance"] == pytest.approx(odds / (1 + odds)) and r["kept"] == (odds <= 1)
+                kept.setdefault(r["doc_id"] // 100, set()).add(r["kept"])
+        assert all(len(k) == 1 for k in kept.values())
+        order = [k.pop() for _, k in sorted(kept.items())]
+        assert order == sorted(order, reverse=True)  # the worse the host, the less is kept
+        assert len(set(order)) == len(set(failing[:2]))  # hosts alike: one verdict; unlike: both
+
+
+def test_rate_is_shrunk_with_the_fitted_prior(spark):
+    """By hand: rates, prior by moments."""
     df = host_table(spark, True)
     measured = H.measure(df)
     got = {r["_hl_host"]: r for r in H.host_verdicts(measured).collect()}
@@ -66,7 +85,6 @@ def test_standing_follows_the_shrunken_rate(spark):
     strength = max(mean * (1 - mean) / between - 1, 1e-3)
     for h, r in got.items():
         assert r["rate"] == pytest.approx((r["failures"] + mean * strength + 0.5) / (20 + strength + 1))
-        assert r["standing"] == pytest.approx(max(0.25, min(1, (mean * strength + 0.5) / (strength + 1) / r["rate"])))
 
 
 def test_keep_documents(odd, small):
