@@ -6,7 +6,12 @@ branch-and-bound search: around the largest piece left, undominated fillings of
 number of pieces, are tried fullest first; a branch whose waste already exceeds what a better packing may waste is cut.
 Best-fit decreasing or a greedy packing gives the first best known packing, and the search stops at the lower bound (by
 total length, and by the most pieces a sequence can hold) or after `search_nodes` nodes, keeping the best packing so far
-(valid in any case). Splitting into blocks costs less than one sequence a block.
+(valid in any case). Only lengths are packed; the ids meet their places in one join afterwards.
+
+What a block loses on its own, a sequence that the other blocks' leftovers would have filled, is made good in rounds:
+sequences that are not full meet again in new blocks, each sequence as a whole, so that their packing so far is the one to
+beat, until they are one block. A block among several needs no search within one sequence of its bound for this reason;
+the last block is searched in full.
 
 Defined cases: null text = empty text (one piece, the end id); repeated rows are packed one by one; other columns are
 ignored; an empty table gives an empty result.
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -241,12 +247,14 @@ def lower_bound(order: list[int], capacity: int) -> int:
     return max(-(-sum(order) // capacity), -(-len(order) // max(1, most)))
 
 
-def pack(lengths: list[int], capacity: int, search_nodes: int = 20_000) -> list[list[int]]:
-    """Bins of lengths: bin completion from the better of best-fit decreasing and `near_fit`."""
+def pack(lengths: list[int], capacity: int, search_nodes: int = 20_000, known: list[list[int]] | None = None, slack: int = 0) -> list[list[int]]:
+    """Bins of lengths: bin completion from the best of `known`, best-fit decreasing and `near_fit`; a packing within
+    `slack` sequences of the lower bound is good enough.
+    """
     order = sorted(lengths, reverse=True)
-    best = best_fit(order, capacity)
+    best = min(([known] if known else []) + [best_fit(order, capacity)], key=len)
     total = sum(order)
-    bound = lower_bound(order, capacity)
+    bound = lower_bound(order, capacity) + slack
     if len(best) <= bound or not order:
         return best
     best = min(best, near_fit(order, capacity), key=len)
@@ -302,42 +310,75 @@ def pack(lengths: list[int], capacity: int, search_nodes: int = 20_000) -> list[
     return best
 
 
+def _place(capacity: int, single: bool, slack: int):
+    """Packs one block of (_key, _copy, length, _seq, _at): a whole block of pieces if `_seq` is null, else of sequences."""
+
+    def place(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["length", "_key", "_copy"], ascending=[False, True, True], kind="stable")
+        lengths, block = rows["length"].tolist(), int(rows["_block"].iloc[0])
+        known = None if rows["_seq"].isna().all() else [g.tolist() for _, g in rows.groupby("_seq")["length"]]
+        found = pack(lengths, capacity, known=known, slack=0 if single else slack)
+        if known is not None and len(found) == len(known):
+            return rows.drop(columns="_block").assign(_room=capacity - rows.groupby("_seq")["length"].transform("sum"))
+        at: dict[int, list[int]] = {}
+        for i, x in enumerate(lengths):
+            at.setdefault(x, []).append(i)
+        sequence, offset, room = (np.zeros(len(rows), np.int64) for _ in range(3))
+        for number, bin_ in enumerate(found):
+            begin = 0
+            for x in bin_:
+                i = at[x].pop()
+                sequence[i], offset[i], room[i] = block + number, begin, capacity - sum(bin_)
+                begin += x
+        return rows.drop(columns="_block").assign(_seq=sequence, _at=offset, _room=room)
+
+    return place
+
+
+def place_lengths(rows: DataFrame, capacity: int = 1024, block_pieces: int = 8192) -> DataFrame:
+    """(_key, _copy, length, _seq, _at) from (_key, _copy, length): each piece's sequence and its place there.
+
+    A round deals pieces, later whole sequences that are not full, into blocks of about `block_pieces` pieces. Rounds end
+    with one block, or when over three quarters of a round's total length would come again: then the lengths leave room
+    everywhere, and another deal gains little. `rows` is read several times: a written table. A block's sequence numbers begin with 2**20 times its own
+    number over all rounds, above the number of pieces that it can hold.
+    """
+    kind = "_key bigint, _copy int, length bigint, _seq bigint, _at bigint, _room bigint"
+    left = rows.selectExpr("_key", "_copy", "length", "CAST(NULL AS bigint) AS _seq", "CAST(NULL AS bigint) AS _at")
+    dealt_by, count, first, done = F.xxhash64("_key", "_copy"), rows.count(), 0, []
+    while True:
+        blocks = max(1, -(-count // block_pieces))
+        numbered = left.withColumn("_block", (F.pmod(dealt_by, F.lit(blocks)) + first) * F.lit(1 << 20))
+        # Dealt by range, so that tasks hold blocks evenly, not as many as happen to hash together.
+        dealt = numbered.repartitionByRange(min(blocks, MOST_TASKS), "_block")
+        packed = materialise(dealt.groupBy("_block").applyInPandas(_place(capacity, blocks == 1, 1), kind))
+        again = packed.where("_room > 0")
+        more, part, whole = packed.selectExpr("count_if(_room > 0)", "sum(if(_room > 0, length, 0))", "sum(length)").first() if blocks > 1 else (0, 0, 0)
+        if not more or 4 * part > 3 * whole:
+            done.append(packed)
+            break
+        done.append(packed.where("_room = 0"))
+        left, dealt_by, first, count = again.drop("_room"), F.xxhash64("_seq"), first + blocks, more
+    return reduce(DataFrame.unionByName, done).drop("_room")
+
+
 def pack_pieces(cut: DataFrame, capacity: int = 1024, block_pieces: int = 8192) -> DataFrame:
-    """Add sequence_id and offset to pieces, a written table. Blocks are hash buckets of about `block_pieces` pieces, ids and all.
+    """Add sequence_id and offset to pieces, a written table, ids and all.
 
     Pieces alike in id, place and content are numbered, so that many copies spread over the blocks too; which of them
     gets which number makes no difference. So the packing depends on the pieces alone, not on their order or files.
     """
-    blocks = max(1, -(-cut.count() // block_pieces))
     same = ["doc_id", "piece", "ids_crc32"]
     keys = F.xxhash64(*same, F.col("doc_id").isNull())
     many = materialise(cut.groupBy(keys.alias("_many")).agg(F.count("*").alias("_n")).where("_n > 1").select("_many"))
     marked = cut.withColumn("_key", keys)
     many = F.broadcast(many) if many.count() <= MOST_SENT else many  # numbers only; more of them meet the pieces in a shuffle
     once, again = (marked.join(many, marked["_key"] == many["_many"], how).drop("_many") for how in ("left_anti", "left_semi"))
-    again = again.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("length")))
-    keyed = once.withColumn("_copy", F.lit(0)).unionByName(again).withColumn("_block", F.pmod(F.xxhash64("_key", "_copy"), F.lit(blocks))).drop("_key", "_copy")
-    kind = cut.schema["doc_id"].dataType.simpleString()
-    columns = ["doc_id", "piece", "start", "length", "ids", "ids_crc32"]
-
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        at: dict[int, list[int]] = {}
-        for i, x in enumerate(rows["length"].tolist()):
-            at.setdefault(x, []).append(i)
-        sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        base = int(rows["_block"].iloc[0])
-        for number, bin_ in enumerate(pack(rows["length"].tolist(), capacity)):
-            begin = 0
-            for x in bin_:
-                i = at[x].pop()
-                sequence[i], offset[i] = base + number * blocks, begin
-                begin += x
-        return rows[columns].assign(sequence_id=sequence, offset=offset)
-
-    # Dealt by range, so that tasks hold blocks evenly, not as many as happen to hash together.
-    dealt = keyed.repartitionByRange(min(blocks, MOST_TASKS), "_block")
-    return dealt.groupBy("_block").applyInPandas(place, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    numbered = F.row_number().over(Window.partitionBy("_key").orderBy("length")) - 1
+    light = once.select("_key", F.lit(0).alias("_copy"), "length").unionByName(again.select("_key", numbered.alias("_copy"), "length"))
+    placed = place_lengths(materialise(light), capacity, block_pieces).select("_key", "_copy", F.col("_seq").alias("sequence_id"), F.col("_at").alias("offset"))
+    keyed = once.withColumn("_copy", F.lit(0)).unionByName(again.withColumn("_copy", numbered))
+    return keyed.join(placed, ["_key", "_copy"]).select("doc_id", "piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024) -> DataFrame:
