@@ -338,27 +338,28 @@ def _place(capacity: int, single: bool, slack: int):
 def place_lengths(rows: DataFrame, capacity: int = 1024, block_pieces: int = 8192) -> DataFrame:
     """(_key, _copy, length, _seq, _at) from (_key, _copy, length): each piece's sequence and its place there.
 
-    A round deals pieces, later whole sequences that are not full, into blocks of about `block_pieces` pieces. Rounds end
-    with one block, or when over three quarters of a round's total length would come again: then the lengths leave room
-    everywhere, and another deal gains little. `rows` is read several times: a written table. A block's sequence numbers begin with 2**20 times its own
-    number over all rounds, above the number of pieces that it can hold.
+    A round deals pieces, later whole sequences that are not full, into blocks of about `block_pieces` pieces or an eighth
+    as many sequences. Rounds end with one block, or when over three quarters of a round's total length would come again:
+    then the lengths leave room everywhere, and another deal gains little. `rows` is read several times: a written table.
+    A block's sequence numbers begin with 2**20 times its own number over all rounds, and it holds fewer sequences.
     """
     kind = "_key bigint, _copy int, length bigint, _seq bigint, _at bigint, _room bigint"
     left = rows.selectExpr("_key", "_copy", "length", "CAST(NULL AS bigint) AS _seq", "CAST(NULL AS bigint) AS _at")
-    dealt_by, count, first, done = F.xxhash64("_key", "_copy"), rows.count(), 0, []
+    dealt_by, first, done = F.xxhash64("_key", "_copy"), 0, []
+    blocks = max(1, -(-rows.count() // block_pieces))
     while True:
-        blocks = max(1, -(-count // block_pieces))
         numbered = left.withColumn("_block", (F.pmod(dealt_by, F.lit(blocks)) + first) * F.lit(1 << 20))
         # Dealt by range, so that tasks hold blocks evenly, not as many as happen to hash together.
         dealt = numbered.repartitionByRange(min(blocks, MOST_TASKS), "_block")
         packed = materialise(dealt.groupBy("_block").applyInPandas(_place(capacity, blocks == 1, 1), kind))
         again = packed.where("_room > 0")
-        more, part, whole = packed.selectExpr("count_if(_room > 0)", "sum(if(_room > 0, length, 0))", "sum(length)").first() if blocks > 1 else (0, 0, 0)
+        more, part, whole = packed.selectExpr("count_if(_room > 0 AND _at = 0)", "sum(if(_room > 0, length, 0))", "sum(length)").first() if blocks > 1 else (0, 0, 0)
         if not more or 4 * part > 3 * whole:
             done.append(packed)
             break
         done.append(packed.where("_room = 0"))
-        left, dealt_by, first, count = again.drop("_room"), F.xxhash64("_seq"), first + blocks, more
+        left, dealt_by, first = again.drop("_room"), F.xxhash64("_seq"), first + blocks
+        blocks = max(1, -(-more * 8 // block_pieces))
     return reduce(DataFrame.unionByName, done).drop("_room")
 
 
