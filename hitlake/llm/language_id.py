@@ -14,7 +14,8 @@ The score is the product of two shares, each a logistic of a margin: that of the
 the least of the language's pairs.
 
 Training rows: at most `rows` vectors in all, spread evenly over the languages, those with the smallest hashes. They are
-made by the tasks, so what comes to the driver is `rows` vectors of at most `DIMENSIONS` numbers, however long the texts.
+made by the tasks and written. The mean vectors come to the driver, which finds the families; every machine is then fitted
+in a task of its own (`fit`), and the driver gets its weights. `training_rows` and `train` do the same in one process.
 
 Defined cases: `und` with score 0.0 if the text is null or has no letter (Unicode category L), or if there is nothing to
 learn from; with one learned language all other texts get it. A null language is never learned. Repeated rows give a row
@@ -34,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitlake.llm.common import utf8
+from hitlake.llm.common import materialise, utf8
 
 DIMENSIONS = 1 << 13
 ORDERS = (2, 3, 4)
@@ -64,16 +65,17 @@ def has_letter(text: str) -> bool:
     return _LETTER.search(text) is not None
 
 
-def training_rows(docs: DataFrame, rows: int = 4000) -> tuple[list[str], np.ndarray]:
-    """(languages, vectors) of at most `rows` rows of (text, lang), as many of each language as there are, evenly.
+def training_vectors(docs: DataFrame, rows: int = 4000) -> DataFrame | None:
+    """(lang, at, value): the vectors of at most `rows` rows of (text, lang), as many of each language as there are, evenly.
 
-    A share of the hash range is cut off first for each language, so that a frequent one does not pass through one task.
+    `at` holds the places that are not zero. A share of the hash range is cut off first for each language, so that a
+    frequent one does not pass through one task. None if there is no language.
     """
     known = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     sizes = known.groupBy("lang").agg(F.count("*").alias("_n"))
     most = sizes.count()
     if not most:
-        return [], np.zeros((0, DIMENSIONS), np.float32)
+        return None
     per = max(1, rows // most)
     key = F.xxhash64("text", "lang")
     place = (key.cast("double") + 2.0**63) / 2.0**64
@@ -87,13 +89,30 @@ def training_rows(docs: DataFrame, rows: int = 4000) -> tuple[list[str], np.ndar
             at = [np.flatnonzero(v) for v in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int16())), pa.array([v[i] for v, i in zip(found, at)], pa.list_(pa.float32()))], names=["lang", "at", "value"])
 
-    got = first.select("lang", "text").mapInArrow(make, "lang string, at array<smallint>, value array<float>").toArrow()
-    vectors = np.zeros((got.num_rows, DIMENSIONS), np.float32)
-    for i, (at, value) in enumerate(zip(got.column("at").to_pylist(), got.column("value").to_pylist())):
-        vectors[i, at] = value
-    order = np.lexsort((vectors.sum(axis=1), np.array(got.column("lang").to_pylist())))  # whatever the order of arrival
-    langs = got.column("lang").to_pylist()
-    return [langs[i] for i in order], vectors[order]
+    return first.select("lang", "text").mapInArrow(make, "lang string, at array<smallint>, value array<float>")
+
+
+def ordered_vectors(rows: pa.Table) -> tuple[list[str], np.ndarray]:
+    """(languages, vectors) of (lang, at, value), in one order whatever the order of arrival."""
+    langs = rows.column("lang").to_pylist()
+    at, value = (rows.column(c).combine_chunks() for c in ("at", "value"))
+    places, values, ends = at.flatten().to_numpy(), value.flatten().to_numpy(), np.concatenate([[0], np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False))])
+    sums, one = np.zeros(len(langs), np.float32), np.zeros(DIMENSIONS, np.float32)
+    for i, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])):
+        one[:] = 0
+        one[places[lo:hi]] = values[lo:hi]
+        sums[i] = one.sum()
+    order = np.lexsort((sums, np.array(langs, dtype=object).astype(str))) if langs else np.zeros(0, np.int64)
+    vectors = np.zeros((len(langs), DIMENSIONS), np.float32)
+    for row, i in enumerate(order.tolist()):
+        vectors[row, places[ends[i] : ends[i + 1]]] = values[ends[i] : ends[i + 1]]
+    return [langs[i] for i in order], vectors
+
+
+def training_rows(docs: DataFrame, rows: int = 4000) -> tuple[list[str], np.ndarray]:
+    """The languages and vectors of `training_vectors`, in this process: for samples that fit the driver."""
+    found = training_vectors(docs, rows)
+    return ordered_vectors(found.toArrow()) if found is not None else ([], np.zeros((0, DIMENSIONS), np.float32))
 
 
 def machine(x: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 12) -> tuple[np.ndarray, float]:
@@ -177,6 +196,44 @@ def train(languages: list[str], vectors: np.ndarray, families: list[list[str]] |
     return model
 
 
+def fit(docs: DataFrame, rows: int = 4000, families: list[list[str]] | None = None) -> Model:
+    """The model of `train(*training_rows(docs, rows), families)`; each machine is fitted in a task, from the vectors of its languages."""
+    found = training_vectors(docs, rows)
+    if found is None:
+        return Model([])
+    found = materialise(found)
+
+    def mean(group: pa.Table) -> pa.Table:
+        langs, vectors = ordered_vectors(group)
+        return pa.table({"lang": langs[:1], "mean": pa.array([vectors.mean(axis=0)], pa.list_(pa.float32()))})
+
+    def weights(group: pa.Table) -> pa.Table:
+        langs, vectors = ordered_vectors(group)
+        plus = dict(zip(group.column("lang").to_pylist(), group.column("plus").to_pylist()))
+        w, bias = machine(vectors, np.where([plus[x] for x in langs], 1.0, -1.0))
+        return pa.table({"unit": group.column("unit").slice(0, 1), "weights": pa.array([np.append(w, bias).astype(np.float32)], pa.list_(pa.float32()))})
+
+    flat = lambda column: column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
+    if families is None:
+        means = found.groupBy("lang").applyInArrow(mean, "lang string, mean array<float>").toArrow().sort_by("lang")  # a vector a language
+        names = means.column("lang").to_pylist()
+        families = clustered(names, flat(means.column("mean")), math.ceil(math.sqrt(len(names))))
+    model = Model(families)
+    sides = [(sum(families, []), set(f)) for f in families] if len(families) > 1 else []
+    pairs = [(f, a, b) for f, languages in enumerate(families) for i, a in enumerate(languages) for b in languages[i + 1 :]]
+    units = [(u, x, x in plus) for u, (of, plus) in enumerate(sides + [([a, b], {a}) for _, a, b in pairs]) for x in of]
+    model.pairs = [{} for _ in families]
+    if units:
+        sent = F.broadcast(docs.sparkSession.createDataFrame(units, "unit int, lang string, plus boolean"))  # names only
+        got = found.join(sent, "lang").groupBy("unit").applyInArrow(weights, "unit int, weights array<float>").toArrow().sort_by("unit")
+        fitted = flat(got.column("weights"))
+        if sides:
+            model.of_family = fitted[: len(sides)].copy()
+        for (f, a, b), row in zip(pairs, fitted[len(sides) :]):
+            model.pairs[f][a, b] = row
+    return model
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of every document (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a vector for each family and pair, whatever the input

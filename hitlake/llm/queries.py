@@ -69,8 +69,7 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_rows(docs: DataFrame) -> DataFrame:
     """Predictions of a model learned from the rows that are not held out."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    model = language_id.train(*language_id.training_rows(docs.where(~held_out)))
-    return language_id.predict(docs, model).withColumn("held_out", held_out)
+    return language_id.predict(docs, language_id.fit(docs.where(~held_out))).withColumn("held_out", held_out)
 
 
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
