@@ -21,7 +21,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more in 5-word shingles, one stays."""
+    """Of documents linked by a similarity of 0.8 or more in 5-word shingles, one stays.
+
+    Candidates come from operator 10's SimHash search and from min-hash bands; all are verified on their shingles.
+    """
     return similar.drop_near_duplicates(docs)
 
 

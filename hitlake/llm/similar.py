@@ -1,9 +1,14 @@
 """Near-duplicate removal by shingle similarity: of texts linked by Jaccard similarity >= 0.8 one stays.
 
 A text stands for the set of its 5-word shingles (XXH64 with seed 42 over ASCII-lower-cased words; fewer words: the
-whole sequence; no word: the empty set). Texts of one set meet at once. Different sets become candidates when one of
-their min-hash bands agrees; with 32 bands of 5 a pair of similarity 0.8 is missed with probability 3e-6, more similar
-ones less often. The candidates' components are then verified: within a component all pairs are compared, block
+whole sequence; no word: the empty set). Texts of one set meet at once. Different sets become candidates in two ways:
+
+* their fingerprints are within 4 bits: operator 10's SimHash (over the set) and its exact search by the generalised
+  pigeonhole principle;
+* one of their min-hash bands agrees, for similar texts that differ in more bits; with 32 bands of 5 a pair of similarity
+  0.8 is missed with probability 3e-6, more similar ones less often.
+
+The candidates' components are then verified: within a component all pairs are compared, block
 against block in separate tasks, by exact Jaccard similarity, so only pairs that reach the limit are linked.
 
 Defined cases: those of `simhash.drop_near_duplicates`.
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitlake.llm.common import materialise, utf8
-from hitlake.llm.simhash import connected, keep_first, shingle_hashes
+from hitlake.llm.simhash import connected, keep_first, link_fingerprints, shingle_hashes, simhash
 
 BANDS, DEPTH = 32, 5
 _RNG = np.random.default_rng(42)
@@ -42,18 +47,19 @@ def band_keys(hashes: np.ndarray, slab: int = 1 << 12) -> list[int]:
 
 
 def set_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, sid, keys): sid is a 64-bit digest of the shingle set, keys its bands."""
+    """(doc_id, text_hash, sid, fp, keys): sid is a 64-bit digest of the shingle set, fp its SimHash, keys its bands."""
 
-    @F.arrow_udf("struct<sid: bigint, keys: array<bigint>>")
+    @F.arrow_udf("struct<sid: bigint, fp: bigint, keys: array<bigint>>")
     def run(column: pa.Array) -> pa.Array:
         data, offsets = utf8(column)
         raw = data.tobytes()
-        sids, keys = [], []
+        sids, fps, keys = [], [], []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
             found = shingle_set(raw[a:b])
             sids.append(xxhash.xxh64_intdigest(found.tobytes(), 7) - (1 << 63))
+            fps.append(simhash(found))
             keys.append(band_keys(found))
-        return pa.StructArray.from_arrays([pa.array(sids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["sid", "keys"])
+        return pa.StructArray.from_arrays([pa.array(sids, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["sid", "fp", "keys"])
 
     return docs.select("doc_id", "text", run(F.col("text").cast("string")).alias("s")).select("doc_id", F.xxhash64("text").alias("text_hash"), "s.*")
 
@@ -121,6 +127,15 @@ def candidate_links(sets: DataFrame) -> DataFrame:
     return keys.join(low, "key").where("sid <> dst").select(F.col("sid").alias("src"), "dst").distinct()
 
 
+def fingerprint_links(sets: DataFrame, max_distance: int = 4) -> DataFrame:
+    """(src, dst) that connect all sets with fingerprints within `max_distance` bits, as `simhash.link_fingerprints` finds them."""
+    low = materialise(sets.groupBy("fp").agg(F.min("sid").alias("low")))
+    same = sets.join(low, "fp").where("sid <> low").select(F.col("sid").alias("src"), F.col("low").alias("dst"))
+    ends = [low.select(F.col("fp").alias(end), F.col("low").alias(f"{end}_sid")) for end in ("src", "dst")]
+    near = link_fingerprints(low.select("fp"), max_distance).join(ends[0], "src").join(ends[1], "dst")
+    return same.unionByName(near.select(F.col("src_sid").alias("src"), F.col("dst_sid").alias("dst")))
+
+
 def verified_links(members: DataFrame, limit: float = 0.8, block: int = 256) -> DataFrame:
     """(src, dst) of similarity >= `limit` among members (root, sid, text), all pairs of each root."""
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -136,9 +151,9 @@ def verified_links(members: DataFrame, limit: float = 0.8, block: int = 256) ->
 def grouped(docs: DataFrame, limit: float = 0.8) -> DataFrame:
     """(doc_id, text_hash, root, component_id = smallest doc_id that verified links reach), one row per input row."""
     keyed = materialise(set_keys(docs))
-    sets = materialise(keyed.groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("text_hash", "doc_id")).alias("shown"), F.first("keys").alias("keys")))
+    sets = materialise(keyed.groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("text_hash", "doc_id")).alias("shown"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     nodes = sets.select(F.col("sid").alias("node"))
-    met = materialise(candidate_links(sets))
+    met = materialise(fingerprint_links(sets).unionByName(candidate_links(sets)).distinct())
     roots = connected(met.select(F.col("src").alias("node")).union(met.select(F.col("dst").alias("node"))).distinct(), met)
     shown = roots.join(sets, roots["node"] == sets["sid"]).select("root", "sid", F.col("shown.doc_id").alias("shown_id"), F.col("shown.text_hash").alias("shown_hash"))
     # One row stands for a set, whatever the number of its copies.
