@@ -16,7 +16,8 @@ def test_sparse_rows_give_back_what_dense_rows_hold(spark):
     rows = spark.createDataFrame([(1, {"0": 2, "6": 1}), (2, {}), (3, {"3": 5, "x": 9}), (4, None)], "k int, voxel_hits map<string,int>")
     dense = targets.dense_rows(rows, voxels, KEYS)
     found = {r["k"]: (r["n_voxels"], [tuple(p) for p in r["hit"]]) for r in targets.sparse_rows(dense, KEYS).collect()}
-    assert found == {1: (7, [(0, 2), (6, 1)]), 2: (7, []), 3: (7, [(3, 5)]), 4: (7, [])}
+    at_once = {r["k"]: (r["n_voxels"], [tuple(p) for p in r["hit"]]) for r in targets.dense_rows(rows, voxels, KEYS, listed=True).collect()}
+    assert found == at_once == {1: (7, [(0, 2), (6, 1)]), 2: (7, []), 3: (7, [(3, 5)]), 4: (7, [])}
 
 
 def test_dense_targets_are_made_in_as_many_tasks_as_there_are_partitions(spark):
