@@ -9,6 +9,16 @@ from hitlake.sources.scratch import in_turn, together
 from tests.test_inventory import add_files, states, table
 
 
+def test_batches_share_one_search(spark, tmp_path, monkeypatch):
+    inputs, made, levels = add_files(spark, str(tmp_path), range(4)), [], nearest.levels
+    api.build_training_set(spark, inputs, str(tmp_path / "whole"))
+    monkeypatch.setattr(nearest, "levels", lambda *a: made.append(1) or levels(*a))
+    api.build_training_set(spark, inputs, str(tmp_path / "parts"), files_per_batch=1)
+    assert len(made) == 1
+    assert table(spark, str(tmp_path / "parts")) == table(spark, str(tmp_path / "whole"))
+    assert states(spark, str(tmp_path / "parts")) == states(spark, str(tmp_path / "whole"))
+
+
 def test_hits_are_matched_and_searched_once(spark, tmp_path):
     hits = spark.createDataFrame([(0, 1, 2, 1965, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 20.0)], "file_idx int, evtid long, nc_id long, det_uid int, x float, y float, z float, px float, py float, pz float, time double")
     hits.write.parquet(str(tmp_path / "hits"))
@@ -24,6 +34,25 @@ def test_hits_are_matched_and_searched_once(spark, tmp_path):
     assert (row["total_hits"], row["wall"], row["voxels_hit"], row["voxel_hits"], row["split"]) == (1, 1, 1, {"a": 1}, "train")
 
 
+@pytest.mark.parametrize("name", ["reset_build", "resumed_build"])
+def test_second_jobs_build_only_what_they_return(spark, tmp_path, monkeypatch, name):
+    built = []
+    rows = "cast(1 as int) as file_idx, 1L as evtid, 1L as nc_id, 'train' as split, 1 as total_hits"
+
+    def fake(spark, inputs, output, **more):
+        built.append(output)
+        spark.range(1).selectExpr(*rows.split(", ")).write.mode("overwrite").parquet(f"{output}/rows")
+
+    monkeypatch.setattr(catalogue, "_raw_files", lambda *a: None)
+    for cache in ("_raw", "_written"):
+        monkeypatch.setattr(catalogue, cache, {})
+    monkeypatch.setattr(api, "build_training_set", fake)
+    monkeypatch.setattr(api, "training_rows", lambda spark, out: spark.read.parquet(f"{out}/rows"))
+    monkeypatch.setattr(catalogue, "_row_summary", lambda rows: rows)
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 1
+    assert len(built) == 2 and len(set(built)) == 1  # not a third one for its raw files
+
+
 def test_text_is_no_parquet_file_at_a_glance(spark, tmp_path, monkeypatch):
     """No footer is looked for in a file that does not end like one."""
     inputs = add_files(spark, str(tmp_path), range(1))
