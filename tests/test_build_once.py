@@ -62,6 +62,13 @@ def test_text_is_no_parquet_file_at_a_glance(spark, tmp_path, monkeypatch):
     assert {r["name"]: r["state"] for r in found.collect()} == {"run000/output_0.parquet": "ok", "note.parquet": "unreadable"}
 
 
+def test_bundles_are_written_by_a_task_each(spark, tmp_path):
+    """Hashing put some of the bundles into one task and left others idle."""
+    catalogue._bundled(spark, "/root/testdata/sf0.001", str(tmp_path), kinds=("photons",))
+    places = [int(f.name.split("-")[1]) for f in tmp_path.glob("photons/run=*/part-*.parquet")]
+    assert places and len(set(places)) == len(places)
+
+
 def test_steps_together_and_in_turn(spark):
     assert together(spark, lambda: 1, lambda: "b") == [1, "b"]
     assert list(in_turn(spark, lambda i: i * i, 7)) == [0, 1, 4, 9, 16, 25, 36] and list(in_turn(spark, lambda i: i, 0)) == []
