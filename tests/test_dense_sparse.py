@@ -43,3 +43,17 @@ def test_incremental_folders_follow_batches_not_files(spark, tmp_path):
         incremental.incremental_build(spark, f"{base}/in", rows.schema, f"{base}/state", f"{base}/out", lambda batch: batch, files_per_batch=3)
     assert spark.read.parquet(f"{base}/out").select("id").distinct().count() == spark.read.parquet(f"{base}/out").count() == 600
     assert len(glob.glob(f"{base}/out/batch=*/split=*")) == 4
+
+
+def test_listed_targets_make_no_arrays_of_zeros(spark, monkeypatch):
+    """They once cost captures times voxels."""
+    wide = 100_000
+    voxels = spark.range(wide).select(F.col("id").cast("int").alias("ord"), F.col("id").cast("string").alias("index"))
+    entries = [(F.col("id") * 500).cast("string"), F.lit(3), F.lit("7"), F.lit(1), F.lit("8"), F.lit(0), F.lit("gone"), F.lit(4)]
+    rows = spark.range(200).select(F.col("id").alias("k"), F.create_map(*entries).alias("voxel_hits"))
+    full = targets.sparse_rows(targets.dense_rows(rows, voxels, KEYS), KEYS)
+    want = {i: (wide, sorted([(7, 1), (i * 500, 3)])) for i in range(200)}
+    found = lambda df: {r["k"]: (r["n_voxels"], [tuple(p) for p in r["hit"]]) for r in df.collect()}
+    assert found(full) == want
+    monkeypatch.setattr(targets, "CELLS", None)  # blocks of zeros cannot be made without it
+    assert found(targets.dense_rows(rows, voxels, KEYS, listed=True)) == want
