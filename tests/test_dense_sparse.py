@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hitlake.operators import targets
 from hitlake.plans.build import write_training_set
+from hitlake.sources import sinks
 from hitlake.streaming import incremental
 
 KEYS = ("k",)
@@ -57,3 +58,18 @@ def test_listed_targets_make_no_arrays_of_zeros(spark, monkeypatch):
     assert found(full) == want
     monkeypatch.setattr(targets, "CELLS", None)  # blocks of zeros cannot be made without it
     assert found(targets.dense_rows(rows, voxels, KEYS, listed=True)) == want
+
+
+def test_a_folder_a_file_is_not_a_task_a_folder(spark, tmp_path):
+    """Thousands of folders were listed by as many tasks, which took longer than reading them."""
+    path = str(tmp_path / "out")
+    rows = spark.range(60).select((F.col("id") % 60).cast("int").alias("file_idx"), "id", F.explode(F.array(F.lit("train"), F.lit("validation"))).alias("split"))
+    write_training_set(rows, path)
+    context, listing = spark.sparkContext, spark.conf.get(sinks.LISTING)
+    context.setJobGroup("listing", "folders")
+    assert sinks.read_training_set(spark, path).count() == 120
+    stages = [s for j in context.statusTracker().getJobIdsForGroup("listing") for s in context.statusTracker().getJobInfo(j).stageIds]
+    tasks = [context.statusTracker().getStageInfo(s).numTasks for s in stages]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks and max(tasks) <= 4 * context.defaultParallelism < 60
+    assert spark.conf.get(sinks.LISTING) == listing
