@@ -74,3 +74,20 @@ def test_steps_together_and_in_turn(spark):
     assert list(in_turn(spark, lambda i: i * i, 7)) == [0, 1, 4, 9, 16, 25, 36] and list(in_turn(spark, lambda i: i, 0)) == []
     with pytest.raises(ZeroDivisionError):
         together(spark, lambda: 1, lambda: 1 / 0)
+
+
+def test_a_file_of_many_batches_is_read_once_a_group(spark, tmp_path, monkeypatch):
+    """Eight logical files in one physical file of each kind, a batch each: it was read for every batch."""
+    assert api.grouped(0) == [] and api.grouped(1) == [(0, 0)] and api.grouped(8) == [(0, 0), (1, 2), (3, 6), (7, 7)]
+    parts = add_files(spark, str(tmp_path / "parts"), range(8))
+    inputs = api.Inputs(*(str(tmp_path / "one" / k) for k in parts.folders()), parts.voxels)
+    for kind, folder in inputs.folders().items():
+        spark.read.parquet(f"{parts.folders()[kind]}/run*").coalesce(1).write.parquet(folder)
+    api.build_training_set(spark, inputs, str(tmp_path / "whole"))
+    opened, rows = [], api._Job.rows
+    monkeypatch.setattr(api._Job, "rows", lambda job, kind, files: opened.append(kind) or rows(job, kind, files))
+    api.build_training_set(spark, inputs, str(tmp_path / "one by one"), files_per_batch=1)
+    assert opened.count("photons") == 4
+    assert table(spark, str(tmp_path / "one by one")) == table(spark, str(tmp_path / "whole"))
+    assert states(spark, str(tmp_path / "one by one")) == states(spark, str(tmp_path / "whole"))
+    assert len({r["batch"] for r in spark.read.parquet(str(tmp_path / "one by one" / "record")).where("status = 'completed'").collect()}) == 8
